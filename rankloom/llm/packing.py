@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
-#: Text pieces whose ids a worker remembers; it forgets all beyond that.
+#: Text pieces whose ids a worker remembers, the first it meets.
 REMEMBERED = 400_000
 #: A length's pieces are numbered in this many parts, so that a hot length is no single task.
 PARTS = 256
@@ -41,18 +41,35 @@ def tokenizer_file(name: str = VOCABULARY) -> str:
 def id_bytes(path: str | None = None) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space, so a text's ids are those of its parts between blanks and newlines, which recur.
+    The vocabulary drops white space, so a text's ids are those of its parts between blanks and newlines, which recur. A
+    part in plain Latin letters that is new is cut as the vocabulary's splitter would, and only the merges are left
+    to the library; any other part, and one that may hold a special token, goes through all of it.
     """
+    import regex
     from tokenizers import Tokenizer
 
-    encode, known = Tokenizer.from_file(path or tokenizer_file()).encode, {"": b""}
+    vocabulary = Tokenizer.from_file(path or tokenizer_file())
+    encode, merge = vocabulary.encode, vocabulary.model.tokenize
+    cuts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+    # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    known, merged = {"": b""}, {}
+
+    def of_cut(cut: str) -> bytes:
+        if (out := merged.get(cut)) is None:
+            spelled = cut if cut.isascii() else "".join(letters[b] for b in cut.encode())
+            out = np.array([t.id for t in merge(spelled)], "<u4").tobytes()
+            if len(merged) < REMEMBERED and len(cut) <= 64:
+                merged[cut] = out
+        return out
 
     def fresh(part: str) -> bytes:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        out = np.array(encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= 64:
+        if part.isprintable() and (part.isascii() or max(part) < "\u0250" and "\u0130" not in part) and "<|" not in part:
+            out = b"".join(map(of_cut, cuts(part.lower())))
+        else:
+            out = np.array(encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(known) < REMEMBERED and len(part) <= 64:
             known[part] = out
         return out
 
