@@ -1 +1 @@
-
+"""Stateless operators on streams."""
