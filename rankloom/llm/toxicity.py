@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest
+from .common import crc_rest, staged
 
 #: Labelled rows of each class at most; terms of the model at most; documents of the sample that a term must be in.
 MOST, TERMS, LEAST = 5_000, 40_000, 4
@@ -70,28 +70,19 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, most_terms: int = TERMS, least: int = LEAST, seed: int = 1) -> Machine:
-    """AdaGrad on the logistic loss. rows: the sorted term hashes of each document."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 1) -> Machine:
+    """AdaGrad on the logistic loss. rows: each document's terms; chosen: the model's terms, sorted."""
     y = np.asarray(labels, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Machine(prior)
-    sizes = np.array([len(r) for r in rows])
-    all_terms, place = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    n, pos = np.bincount(place), np.bincount(place, weights=y[doc])
-    rate = y.mean()
-    z = (pos - n * rate) / np.sqrt(n * rate * (1 - rate))  # how far a term's share of toxic rows is from all rows'
-    good = np.flatnonzero((n >= least) & (np.abs(z) >= 3))
-    good = np.sort(good[np.argsort(-np.abs(z[good]), kind="stable")[:most_terms]])
-    at = np.minimum(np.searchsorted(good, place), max(0, len(good) - 1))
-    keep = good[at] == place if len(good) else np.zeros(len(place), bool)
-    doc, place = doc[keep], at[keep]
-    starts = np.searchsorted(doc, np.arange(len(rows) + 1))
+    places = [Machine(0.0, chosen).places(r) for r in rows]
+    place = np.concatenate(places)
+    starts = np.cumsum([0, *map(len, places)])
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS)), prior
-    gw, gv, gb = np.full(len(good), 1e-6), np.full(v.shape, 1e-6), 1e-6
+    w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)), prior
+    gw, gv, gb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
@@ -112,11 +103,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, most_terms: int = TERMS, lea
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= 0.2 * RATE * dv / np.sqrt(gv[used])
             b -= RATE * g.sum() / np.sqrt(gb)
-    return Machine(float(b), all_terms[good], w, v)
+    return Machine(float(b), chosen, w, v)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns: Column | None = None, most: int = MOST) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of the sample; collected: at most 2 * ``most`` rows."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns: Column | None = None, most: int = MOST) -> DataFrame:
+    """(id, y, terms) of the sample, staged: at most 2 * ``most`` rows."""
     learns = crc_rest(F.col("doc_id")) != 0 if learns is None else learns
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learns).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -128,8 +119,40 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns: Col
             found = [terms(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.record_batch([pa.array([str(x) for x in batch.column(0).to_pylist()]), batch.column(1), pa.array(found, pa.binary())], names=["id", "y", "terms"])
 
-    rows = sorted(chosen.select("doc_id", "y", "text").mapInArrow(run, "id string, y int, terms binary").collect())
-    return [np.frombuffer(r.terms, np.uint64) for r in rows], np.array([r.y for r in rows])
+    return staged(chosen.select("doc_id", "y", "text").mapInArrow(run, "id string, y int, terms binary"), "toxicity-sample")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_terms: int = TERMS, **how) -> Machine:
+    """The machine of a sample. Terms are counted on the workers; collected are the counts of those in enough rows of
+    one class to tell (bounded by the sample), and of each row the places of the chosen terms."""
+    rows = sample(docs, labels, label, **how)
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or toxic in (0, n):
+        return fit([], np.full(n, int(bool(toxic))), np.zeros(0, np.uint64))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(1)]
+            y = np.repeat(np.asarray(batch.column(0)), [len(f) for f in found])
+            every, at = np.unique(np.concatenate(found), return_inverse=True)
+            yield pa.record_batch([pa.array(every.view(np.int64)), pa.array(np.bincount(at, minlength=len(every))), pa.array(np.bincount(at, weights=y, minlength=len(every)).astype(np.int64))], names=["term", "n", "pos"])
+
+    rate, term = toxic / n, F.col("term")
+    spread = F.sqrt(F.col("n") * F.lit(rate * (1 - rate)))
+    found = rows.select("y", "terms").mapInArrow(counts, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    far = found.where((F.col("n") >= LEAST) & (F.abs(F.col("pos") - F.col("n") * rate) >= 3 * spread))
+    best = far.orderBy(F.desc(F.abs(F.col("pos") - F.col("n") * rate) / spread), term).limit(most_terms).select("term").collect()
+    chosen = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
+    model = rows.sparkSession.sparkContext.broadcast(Machine(0.0, chosen))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = model.value
+            kept = [m.terms[m.places(np.frombuffer(t.as_py(), np.uint64))].tobytes() for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "y", "terms"])
+
+    few = sorted(rows.mapInArrow(own, "id string, y int, terms binary").collect())
+    return fit([np.frombuffer(r.terms, np.uint64) for r in few], np.array([r.y for r in few]), chosen)
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
@@ -163,12 +186,11 @@ def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFram
 
 def report(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    machine = fit(*sample(docs, labels, label))
-    out = scored(docs.select("doc_id", "text"), machine)
+    out = scored(docs.select("doc_id", "text"), fitted(docs, labels, label))
     return out.select("doc_id", (crc_rest(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """``docs`` without the rows that the machine finds toxic."""
     column = "_toxicity"
-    return scored(docs, fit(*sample(docs, labels, label)), column).where(F.col(column) < 0.5).drop(column)
+    return scored(docs, fitted(docs, labels, label), column).where(F.col(column) < 0.5).drop(column)
