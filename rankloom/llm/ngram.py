@@ -1,6 +1,6 @@
 """A bigram model with interpolated modified Kneser-Ney smoothing, counted in Spark and memory-mapped by workers.
 
-Counting. Words are 64-bit hashes. A task sorts and merges the bigrams of two million tokens at a time and sends
+Counting. Words are 64-bit hashes. A task sorts and merges the bigrams of a million tokens at a time and sends
 each slice of the contexts' hash range one block, as sorted arrays. A slice's reducer merges its blocks and writes the
 model's arrays to the shared folder: the sorted hashes of its bigrams with their counts, and of its contexts with
 their totals. What the lower order needs, the number of tokens and of distinct words before each word, goes out in a
@@ -36,8 +36,9 @@ from .common import crc_rest, staged, staged_path
 from .store import mapped, put
 
 #: Tokens that a task merges at once, and scores at once; tokens of a slice; slices at least.
-FLUSH, SCORE_AT_ONCE, SLICE, SLICES = 2_000_000, 500_000, 2_000_000, 16
+FLUSH, SCORE_AT_ONCE, SLICE, SLICES = 1_000_000, 250_000, 1_000_000, 16
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\x00end")), np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
+_END = xxhash.xxh64_digest(b"\x00end")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -45,8 +46,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space alone count
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+def hashed(words: list[bytes]) -> bytes:
+    return b"".join(map(xxhash.xxh64_digest, words))
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -62,21 +63,20 @@ def sliced(hashes: np.ndarray, count: int) -> np.ndarray:
 
 def tokens(texts, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(token hashes, ends of the texts in them, texts so far): whole texts, until there are ``at_once`` tokens."""
-    words: list[bytes] = []
+    parts: list[bytes] = []
     ends: list[int] = []
     total = done = 0
     for text in texts:
-        w = words_of(text)
-        words += w
-        words.append(b"\x00end")
-        total += len(w) + 1
+        part = hashed(words_of(text)) + _END
+        parts.append(part)
+        total += len(part) // 8
         ends.append(total)
         if total >= at_once:
             done += len(ends)
-            yield hashed(words), np.array(ends), done
-            words, ends, total = [], [], 0
+            yield np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(ends), done
+            parts, ends, total = [], [], 0
     if ends:
-        yield hashed(words), np.array(ends), done + len(ends)
+        yield np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(ends), done + len(ends)
 
 
 def contexts(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
