@@ -63,7 +63,7 @@ class Item:
 def items(page: str) -> list[Item]:
     """The page in order. Kinds: word:…, the tag's name, '\\n' for a comment that a labelled page marks."""
     out: list[Item] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, in the main part
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, noise, in the main part, noise only as an article's header
     at, end = 0, len(page)
 
     def text(to: int) -> None:
@@ -97,15 +97,20 @@ def items(page: str) -> list[Item]:
                         break
             noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
             words = _named(attrs)
-            inner = name == "header" and main  # an article's own header has its title
-            noise = noise or (name in _NOISE_TAGS and not inner) or (name not in ("html", "body", "article", "main") and not _MAIN_WORDS.intersection(words) and bool(_NOISE_WORDS.intersection(words))) or (name == "article" and "comment" in words) or bool(attrs and _HIDDEN.search(attrs))
+            own = name in _NOISE_TAGS or (name not in ("html", "body", "article", "main") and not _MAIN_WORDS.intersection(words) and bool(_NOISE_WORDS.intersection(words))) or (name == "article" and "comment" in words) or bool(attrs and _HIDDEN.search(attrs))
+            # of an article's own header, headings are text and the rest is not
+            in_header = bool(stack) and stack[-1][3]
+            own_header = name == "header" and main and not noise or in_header and not own
+            if in_header and not own and name in _HEADINGS:
+                noise = own_header = False
+            noise = noise or own
             main = main or name in ("article", "main") or "articlebody" in "".join(words)
             out.append(Item(name, noise=noise))
             if name in _RAW:
                 ending = re.compile(f"</{name}(?![\\w-])[^>]*>?", re.I).search(page, at)
                 at = ending.end() if ending else end
             elif name not in _VOID and not attrs.endswith("/"):
-                stack.append((name, noise, main))
+                stack.append((name, noise, main, own_header))
         elif m[6]:
             name = m[6].lower()
             noise = stack[-1][1] if stack else False

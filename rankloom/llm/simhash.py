@@ -173,10 +173,13 @@ def hexed(fp: str = "fp"):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, once."""
-    kept = components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
+    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, once.
+
+    Rows without an id can stand for no component; they stay, identical ones once.
+    """
+    named = components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = named.unionAll(named.sparkSession.range(1).select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]))).withColumnRenamed("doc_id", "_kept")
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-    w = W.partitionBy("doc_id").orderBy(whole)
+    w = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), whole)).orderBy(whole)
     return out.withColumn("_first", F.row_number().over(w)).where("_first = 1").select(*docs.columns)
