@@ -66,6 +66,8 @@ _WORD = "|".join(sorted([*_DIGIT_WORDS, *_SIGNS, *_TIMES], key=len, reverse=True
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|\+?[0-9]+)(?:[\s,;./_-]{{1,4}}(?:{_WORD}|[0-9]+))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_WORD}|\+?[0-9]+", re.I)
 _SPELLED_HINT = re.compile(rf"(?:{'|'.join(sorted(_DIGIT_WORDS, key=len, reverse=True))})[\s,;./_-]{{1,4}}(?:{_WORD}|[0-9])")
+_ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}").fullmatch
+_POINTED = re.compile(r"[0-9](?:\s{1,4}(?:dot|point|punkt|punto)\s{1,4}|\.)[a-z0-9]")
 _BYTE_WORDS = {w.encode() for w in _DIGIT_WORDS}
 _BREAKS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Letters that stand for a digit, in a word that has digits.
@@ -157,22 +159,27 @@ class View:
         return first, last, edited
 
 
-def _spelled(match: re.Match) -> str:
-    out, times = "", 1
-    for token in _TOKEN.findall(match[0]):
-        word = token.lower()
+def _spelled(text: str) -> str:
+    out, times, at = "", 1, 0
+    for token in _TOKEN.finditer(text):
+        word = token[0].lower()
+        if text[at : token.start()] == "." and out[-1:].isdigit():
+            out += "."
+        at = token.end()
         if word in _TIMES:
             times = _TIMES[word]
             continue
-        out += _DIGIT_WORDS.get(word, _SIGNS.get(word, token)) * times
+        out += _DIGIT_WORDS.get(word, _SIGNS.get(word, word)) * times
         times = 1
     return out
 
 
 def _numbers(match: re.Match) -> list[tuple[int, int, str]]:
-    """One edit for a run that spells at least four digits; none for prose."""
+    """One edit for a run that spells at least four digits, or an address; none for prose."""
     words = [t.lower() for t in _TOKEN.findall(match[0])]
-    return [(*match.span(), _spelled(match))] if sum(w in _DIGIT_WORDS for w in words) >= 3 and sum(len(w) if w[-1].isdigit() else 1 for w in words) >= 4 else []
+    spelled = _spelled(match[0])
+    enough = sum(w in _DIGIT_WORDS for w in words) >= 3 and sum(c.isdigit() for c in spelled) >= 4
+    return [(*match.span(), spelled)] if spelled != match[0] and (enough or _ADDRESS(spelled)) else []
 
 
 def _characters(text: str) -> list[tuple[int, int, str]]:
@@ -193,6 +200,9 @@ def _disguises(text: str) -> list[tuple[int, int, str]]:
                 edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
     elif "@" in text:
         edits += [(*m.span(), ".") for m in _DOT.finditer(text)]
+        for m in re.finditer(r"(?<=[A-Za-z0-9._%+-]@)(?=[A-Za-z0-9-])", text):
+            if host := _HOST.match(text, m.start()):
+                edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, host.start(), host.end())]
     return edits
 
 
@@ -221,7 +231,7 @@ def disguised_spans(text: str) -> list[Span]:
         view = View(plain, _disguises(plain))
         if base.edits or view.edits:
             found |= {s for x in plain_spans(view.text) if x[0] == "email" for s, edited in [_composed(base, view, x)] if edited}
-    edits = [e for m in _SPELLED.finditer(plain) for e in _numbers(m)] if _spells(low) else []
+    edits = [e for m in _SPELLED.finditer(plain) for e in _numbers(m)] if _spells(low) or (dotted or low.count(".") >= 3) and _POINTED.search(low) else []
     dots = [(*m.span(), ".") for m in _DOT.finditer(plain) if m.start() and m.end() < len(plain) and plain[m.start() - 1].isdigit() and plain[m.end()].isdigit()] if _DOTTED_HINT.search(low) else []
     letters = [(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for m in _LETTER_DIGITS.finditer(plain) for i, c in enumerate(m[0]) if c in "OoIl|"] if _LETTER_HINT.search(plain) else []
     if base.edits or edits or dots or letters:

@@ -43,6 +43,9 @@ def test_plain_spans_equal_the_patterns():
         ("１９２.１６８.1.1", "ip", "１９２.１６８.1.1"),
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("card 4111 1111 1111 11l1.", "card", "4111 1111 1111 11l1"),
+        ("at 192 dot 168 dot 1 dot 1 here", "ip", "192 dot 168 dot 1 dot 1"),
+        ("at 192.168.one.one here", "ip", "192.168.one.one"),
+        ("mail john@example dot com now", "email", "john@example dot com"),
         ("四 four " + "one " * 15 + "end", "card", "four " + "one " * 14 + "one"),
     ],
 )
