@@ -137,6 +137,29 @@ def _probes(queries: DataFrame, centroids: DataFrame, few: int, column: str) ->
     return queries.select("qid", V.doubles(F.col(column)).alias("qvec")).mapInArrow(run, "qid string, qvec array<double>, cluster long")
 
 
+def partition_centroids(tokens: DataFrame, partitions: int, share: float = 0.3, seed: int = 0, column: str = "dvec") -> DataFrame:
+    """(cluster, centroid) of a late-interaction index: k-means on a share of the token vectors, chosen by a hash."""
+    from .cluster import fit_centroids
+
+    some = tokens.where(F.pmod(F.xxhash64("docid", "pos"), F.lit(1000)) < int(1000 * share))
+    return fit_centroids(some.select(F.col(column).alias("embedding")), partitions, seed)
+
+
+def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES) -> DataFrame:
+    """(qid, docid, rank, score): documents with a token in a probed partition, scored in full by ``max_sim``.
+
+    query_tokens: (qid, qpos, qvec); doc_tokens: (docid, pos, dvec). Each query token probes its nearest partitions.
+    """
+    from .cluster import assigned
+
+    keyed = doc_tokens.withColumn("key", F.concat_ws("|", "docid", "pos"))
+    homes = assigned(keyed.select(F.col("key").alias("docid"), F.col("dvec").alias("embedding")), centroids).select(F.col("docid").alias("key"), "cluster")
+    where = keyed.select("key", "docid").join(homes, "key").select("cluster", "docid").distinct()
+    near = _probes(query_tokens.select("qid", F.col("qvec").alias("embedding")), centroids, probes, "embedding").select("qid", "cluster").distinct()
+    chosen = near.join(where, "cluster").select("qid", "docid").distinct()
+    return top_of_each(max_sim(query_tokens, chosen.join(doc_tokens, "docid").select("qid", "docid", "dvec")), k).select("qid", "docid", "rank", "score")
+
+
 def pool_stats(run: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
     """(pooled, occurrences, missing): distinct documents, their occurrences, and those without a text."""
     top = run.where(F.col("rank") <= k).select("docid")

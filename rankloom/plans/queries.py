@@ -411,6 +411,14 @@ def late_interaction_maxsim(spark, d):
     return rounded(retrieve.max_sim(q, near), "score")
 
 
+@query()
+def late_interaction_search(spark, d):
+    tok = vectors(spark, d).select("docid", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.slice("embedding", p * 16 + 1, 16))).alias("pos", "dvec"))
+    q = tok.where("vec_id % 50 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), F.col("dvec").alias("qvec"))
+    found = retrieve.late_interaction(q, tok.drop("vec_id"), retrieve.partition_centroids(tok, 16), 100, 2)
+    return rounded(found, "score")
+
+
 # ---- mining --------------------------------------------------------------------------------------------------------
 
 
