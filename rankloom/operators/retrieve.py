@@ -49,21 +49,28 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int |
 
 
 def _scored(shared, k: int, digits: int | None):
+    """A task's own best k of each query, sent once, at its end."""
+
+    def best_of(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
+        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        names = np.array(names, object)
+        scores, kept = np.zeros((len(q), 0)), np.zeros((len(q), 0), "U1")
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
-                ids = np.array(part.column(0).to_pylist(), object)
-                x = np.asarray(part.column(1).flatten()).reshape(len(ids), -1)
+                ids = np.array(part.column(0).to_pylist(), "U")
                 order = np.argsort(ids, kind="stable")
-                ids, s = ids[order], q @ x[order].T
+                x = np.asarray(part.column(1).flatten()).reshape(len(ids), -1)[order]
+                s = q @ x.T
                 if digits is not None:
                     s = np.round(s, digits) + 0.0
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(q)), best.shape[1])
-                yield pa.record_batch([pa.array(names[rows].tolist(), pa.string()), pa.array(ids[best.ravel()].tolist(), pa.string()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["qid", "docid", "score"])
+                near = np.argsort(-s, axis=1, kind="stable")[:, :k]  # columns are in the order of ids, so ties are too
+                scores, kept = best_of(np.concatenate([scores, np.take_along_axis(s, near, 1)], 1), np.concatenate([kept, ids[order][near]], 1))
+        rows = np.repeat(np.arange(len(q)), scores.shape[1])
+        yield pa.record_batch([pa.array(np.array(names, object)[rows].tolist(), pa.string()), pa.array(kept.ravel().tolist(), pa.string()), pa.array(scores.ravel())], names=["qid", "docid", "score"])
 
     return run
 
