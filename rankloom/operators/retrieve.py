@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 #: Queries of a block, and documents that a task scores against it at once.
 QUERY_BLOCK, AT_ONCE = 1024, 4096
 
+_TERM = re.compile(r"[a-z0-9]+").findall
+
 
 def top_of_each(scored: DataFrame, k: int, group: str = "qid", by: str = "score", tie: str = "docid") -> DataFrame:
     """``scored`` with ``rank``, the k best of each group. The filter on the window makes map tasks keep k rows at most."""
@@ -48,29 +52,125 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int |
     return top_of_each(out, k).select("qid", "docid", "rank", "score")
 
 
+class _Best:
+    """The best k scores of each query so far, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.scores, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), "U1")
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: (queries, documents), the documents in the order of ids."""
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+        scores, ids = np.concatenate([self.scores, np.take_along_axis(scores, near, 1)], 1), np.concatenate([self.ids, ids[near]], 1)
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, names: list[str], above: float = -np.inf) -> pa.RecordBatch:
+        i, j = np.nonzero(self.scores > above)
+        return pa.record_batch([pa.array(np.array(names, object)[i].tolist(), pa.string()), pa.array(self.ids[i, j].tolist(), pa.string()), pa.array(self.scores[i, j])], names=["qid", "docid", "score"])
+
+
 def _scored(shared, k: int, digits: int | None):
     """A task's own best k of each query, sent once, at its end."""
 
-    def best_of(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        scores, kept = np.zeros((len(q), 0)), np.zeros((len(q), 0), "U1")
+        best = _Best(len(q), k)
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
                 ids = np.array(part.column(0).to_pylist(), "U")
                 order = np.argsort(ids, kind="stable")
-                x = np.asarray(part.column(1).flatten()).reshape(len(ids), -1)[order]
-                s = q @ x.T
-                if digits is not None:
-                    s = np.round(s, digits) + 0.0
-                near = np.argsort(-s, axis=1, kind="stable")[:, :k]  # columns are in the order of ids, so ties are too
-                scores, kept = best_of(np.concatenate([scores, np.take_along_axis(s, near, 1)], 1), np.concatenate([kept, ids[order][near]], 1))
-        rows = np.repeat(np.arange(len(q)), scores.shape[1])
-        yield pa.record_batch([pa.array(np.array(names, object)[rows].tolist(), pa.string()), pa.array(kept.ravel().tolist(), pa.string()), pa.array(scores.ravel())], names=["qid", "docid", "score"])
+                s = q @ np.asarray(part.column(1).flatten()).reshape(len(ids), -1)[order].T
+                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
+        yield best.rows(names)
+
+    return run
+
+
+def _words(text: str | None) -> list[str]:
+    return _TERM((text or "").lower())
+
+
+def _field_counts(vocabulary, count: int):
+    """Of a task: for each field, documents that have a term of the topics, and (as term null) documents and lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, total = vocabulary.value, [Counter() for _ in range(count)], [[0, 0] for _ in range(count)]
+        for batch in batches:
+            for f in range(count):
+                for text in batch.column(f):
+                    words = _words(text.as_py())
+                    total[f][0] += 1
+                    total[f][1] += len(words)
+                    found[f].update(known.keys() & set(words))
+        rows = [(f, t, n, 0) for f in range(count) for t, n in found[f].items()] + [(f, None, *total[f]) for f in range(count)]
+        cols = list(zip(*rows, strict=True))
+        yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["field", "term", "n", "words"])
+
+    return run
+
+
+def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: int = TOP_K, digits: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, docid, rank, score): the k best documents of each topic (qid, qtext) by the sum of the fields' weights.
+
+    The same scores as ``bm25``, which makes a row for each term that a topic and a document share; here a task turns
+    documents into rows of term weights and multiplies them with a block of topics, and sends its best k. Topics go
+    out in blocks of at most ``QUERY_BLOCK``; what is broadcast is their words.
+    """
+    spark, names = docs.sparkSession, list(fields)
+    blocks = max(1, -(-topics.count() // QUERY_BLOCK))
+    numbered = topics.select("qid", "qtext", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
+    out = None
+    for block in range(blocks):
+        rows = numbered.where(F.col("block") == block).orderBy("qid").collect()
+        if not rows:
+            continue
+        wanted = [Counter(_words(r.qtext)) for r in rows]
+        known = {t: i for i, t in enumerate(sorted({t for w in wanted for t in w}))}
+        matrix = np.zeros((len(known), len(rows)))
+        for j, w in enumerate(wanted):
+            for t, n in w.items():
+                matrix[known[t], j] = n
+        vocabulary = spark.sparkContext.broadcast(known)
+        counts = docs.select(*names).mapInArrow(_field_counts(vocabulary, len(names)), "field int, term string, n long, words long")
+        counts = counts.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+        total = {r.field: (r.n, r.words) for r in counts if r.term is None}
+        idf = np.zeros((len(names), len(known)))
+        for r in counts:
+            if r.term is not None:
+                idf[r.field, known[r.term]] = np.log1p((total[r.field][0] - r.n + 0.5) / (r.n + 0.5))
+        mean = [total[f][1] / total[f][0] if f in total and total[f][1] else 1.0 for f in range(len(names))]
+        shared = spark.sparkContext.broadcast(([r.qid for r in rows], known, matrix, idf, mean, [float(w) for w in fields.values()]))
+        part = docs.select("docid", *names).mapInArrow(_bm25_scored(shared, k, digits, k1, b), "qid string, docid string, score double")
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = spark.createDataFrame([], "qid string, docid string, score double")
+    return top_of_each(out, k).select("qid", "docid", "rank", "score")
+
+
+def _bm25_scored(shared, k: int, digits: int | None, k1: float, b: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, known, matrix, idf, mean, weights = shared.value
+        best, get = _Best(len(qids), k), known.get
+        step = max(16, min(1024, (1 << 22) // max(1, len(known))))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                ids = np.array(part.column(0).to_pylist(), "U")
+                order = np.argsort(ids, kind="stable")
+                value = np.zeros((len(ids), len(known)))
+                for f, weight in enumerate(weights):
+                    texts = part.column(1 + f).to_pylist()
+                    for i, at in enumerate(order):
+                        words = _words(texts[at])
+                        own = np.array([p for p in map(get, words) if p is not None], np.int64)
+                        if len(own):
+                            place, tf = np.unique(own, return_counts=True)
+                            value[i, place] += weight * idf[f, place] * tf / (tf + k1 * (1 - b + b * len(words) / mean[f]))
+                s = (value @ matrix).T
+                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
+        yield best.rows(qids, 0.0)
 
     return run
 

@@ -46,7 +46,7 @@ def mine_training(generated: DataFrame, docs: DataFrame, vectors: DataFrame, enc
 
 def rerank(topics: DataFrame, docs: DataFrame, qrels: DataFrame, make: Callable = models.OverlapReranker, k: int = retrieve.TOP_K) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First-stage run, re-ranked run, and the re-ranked run's metrics."""
-    first = retrieve.top_of_each(retrieve.bm25(topics, docs), k)
+    first = retrieve.bm25_top(topics, docs, {"doctext": 1.0}, k)
     scored = models.reranker_scores(retrieve.candidates(first, topics, docs, k), make)
     second = evaluate.reranked(scored)
     return first, second, evaluate.metrics(second, qrels)

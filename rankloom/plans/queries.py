@@ -353,8 +353,7 @@ def dense_top100(spark, d):
 
 
 def _bm25_run(spark, d, k=100):
-    scored = retrieve.bm25(topics(spark, d), docs(spark, d))
-    return retrieve.top_of_each(rounded(scored, "score"), k).select("qid", "docid", "rank", "score")
+    return retrieve.bm25_top(topics(spark, d), docs(spark, d), {"doctext": 1.0}, k, 6)
 
 
 @query(f"WITH {_BMRUN} SELECT qid, docid, rank, round(score, 6) AS score FROM bmrun")
@@ -365,8 +364,13 @@ def bm25_top100(spark, d):
 @query(f"WITH {_BM25}, {_bm25('title', 'head')}, u AS (SELECT qid, docid, sum(score) AS score FROM (FROM body UNION ALL FROM head) GROUP BY ALL) SELECT * FROM (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, docid) AS rank, round(score, 6) AS score FROM u) WHERE rank <= 100")
 def bm25_multifield(spark, d):
     fields = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("docid"), F.col("text").alias("contents"), F.concat("source", F.lit(" "), "lang").alias("title"))
-    scored = retrieve.bm25_fields(topics(spark, d), fields, {"contents": 1.0, "title": 1.0})
-    return retrieve.top_of_each(rounded(scored, "score"), 100).select("qid", "docid", "rank", "score")
+    return retrieve.bm25_top(topics(spark, d), fields, {"contents": 1.0, "title": 1.0}, 100, 6)
+
+
+@query(f"WITH {_BM25} SELECT qid, docid, round(score, 6) AS score FROM body WHERE qid::INT % 10 = 0")
+def bm25_all_scores(spark, d):
+    """The relational form: every document that shares a term with a topic."""
+    return rounded(retrieve.bm25(topics(spark, d).where(F.col("qid").cast("int") % 10 == 0), docs(spark, d)), "score")
 
 
 @query(f"WITH {_RUN} SELECT count(*) AS pooled, sum(n)::BIGINT AS occurrences, count(*) FILTER (docid NOT IN (SELECT doc_id::VARCHAR FROM documents)) AS missing FROM (SELECT docid, count(*) AS n FROM run GROUP BY docid)")
@@ -509,7 +513,7 @@ def generate_queries(spark, d):
 def rerank_and_evaluate(spark, d):
     t = topics(spark, d)
     texts = docs(spark, d)
-    first = retrieve.top_of_each(rounded(retrieve.bm25(t, texts), "score"), 20)
+    first = retrieve.bm25_top(t, texts, {"doctext": 1.0}, 20, 6)
     second = evaluate.reranked(rounded(models.reranker_scores(retrieve.candidates(first, t, texts)), "score"))
     return evaluate.metrics(second, first.where("rank = 1").select("qid", "docid", F.lit(1).alias("rel")))
 
