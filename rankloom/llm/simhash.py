@@ -10,6 +10,13 @@ Equal fingerprints are merged before the search, so copies cost nothing. A searc
 one star per group of linked fingerprints, so its output is never larger than its input. Buckets over four times the
 usual size are cut into chunks, and every two chunks meet in a group of their own.
 
+Near copies beyond those 4 bits, as a corpus filter wants them, have the same search on a wider ring: 336 bits in 28
+segments of 12, of the distinct shingles of five words. Texts whose shingle sets have a Jaccard similarity of 0.8 differ
+in 15 % of such bits on average, 51; a link is at most ``NEAR_DISTANCE`` bits, 1.4 standard deviations above that. Some
+segment must agree, and the chain of segments from there must keep its share of the budget at every fifth segment. A
+hot group of near copies costs a bucket its size, not its square: rows that a pivot joins are not compared among
+themselves, only with rows outside of their component.
+
 Edge cases. Null or empty text, or white space alone: no shingles, fingerprint zero, linked like any other. Fewer
 words than a shingle: the whole sequence is the one shingle. Repeated rows and repeated doc_ids: each row is
 returned. Null doc_id: it has a fingerprint, but names no component. Empty table: empty result.
@@ -37,6 +44,12 @@ SHIFTS = tuple(sum(SEGMENTS[:i]) for i in range(5))
 #: Rows of a search group, the least size of a chunk, and candidate pairs looked at in one go.
 GROUP, CHUNK, AT_ONCE = 50_000, 1_024, 1 << 20
 
+#: Of near copies: words of a shingle, segments of the ring, bits of each, differing bits of a link, and segments between
+#: two looks at the budget.
+NEAR_WORDS, NEAR_SEGMENTS, NEAR_BITS, NEAR_DISTANCE, LANE = 5, 28, 12, 60, 5
+#: Of near copies: the least size of a chunk, and the size up to which a bucket's pairs are listed without pivots.
+NEAR_CHUNK, NEAR_SMALL, PIVOTS = 16_384, 64, 8
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -157,11 +170,157 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInPandas(search, "a long, b long")
 
 
+_WIDE_BYTES = NEAR_SEGMENTS * NEAR_BITS // 8
+_LANES = np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(-(-_WIDE_BYTES // 8))], np.uint64)
+_WIDE_PLACE = (np.arange(_WIDE_BYTES, dtype=np.int64) * 256)[None, :]
+_BIT_SUMS = _BITS.astype(np.float32)
+
+
+def wide_fingerprint(text: str | None, words: int = NEAR_WORDS, seed: int = SEED) -> bytes:
+    """Bitwise majority over the distinct shingles, for 336 bits, the lowest first.
+
+    The bits of a shingle are mixes of its XXH64. No words: all zero.
+    """
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return bytes(_WIDE_BYTES)
+    digest = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)]
+    h = np.array(list({digest(s, seed) for s in shingles}), np.uint64)
+    counts = np.zeros(_WIDE_BYTES * 256, np.int64)
+    for lo in range(0, len(h), 8192):
+        x = h[lo : lo + 8192, None] * _LANES[None, :]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        counts += np.bincount((x.astype("<u8").view(np.uint8)[:, :_WIDE_BYTES] + _WIDE_PLACE).ravel(), minlength=len(counts))
+    ones = (counts.reshape(-1, 256).astype(np.float32) @ _BIT_SUMS).ravel()  # exact below 2^24 shingles
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp): the wide fingerprint as bytes."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([wide_fingerprint(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary")
+
+
+def segments_of(fps: list[bytes]) -> np.ndarray:
+    """(rows, segments, bits) of 0 and 1."""
+    flat = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, _WIDE_BYTES)
+    return np.unpackbits(flat, axis=1, bitorder="little").reshape(-1, NEAR_SEGMENTS, NEAR_BITS)
+
+
+def ring_from(bits: np.ndarray, first: int) -> np.ndarray:
+    """Rows of segments as numbers of 64 bits: ``LANE`` segments each, in the order of the chain from ``first``."""
+    lanes = -(-NEAR_SEGMENTS // LANE)
+    out = np.zeros((len(bits), lanes * LANE, NEAR_BITS), np.uint8)
+    out[:, :NEAR_SEGMENTS] = np.roll(bits, -first, axis=1)
+    wide = np.zeros((len(bits), lanes, 64), np.uint8)
+    wide[:, :, : LANE * NEAR_BITS] = out.reshape(len(bits), lanes, LANE * NEAR_BITS)
+    return np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, ring: np.ndarray, at: int = 0, so_far: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows keep the chain's budget from lane ``at`` on, to the last, which is the full check."""
+    kept, total = np.arange(len(a)), np.zeros(len(a), np.int64) if so_far is None else so_far
+    for lane in range(at, ring.shape[1]):
+        total = total + np.bitwise_count(ring[a[kept], lane] ^ ring[b[kept], lane])
+        ok = total <= NEAR_DISTANCE * min(LANE * lane + LANE, NEAR_SEGMENTS) // NEAR_SEGMENTS
+        kept, total = kept[ok], total[ok]
+    return kept
+
+
+def near_linked(ring: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """A label for each row: the least row it is linked with. bucket: sorted; rows of a bucket agree in the first segment."""
+    label = np.arange(len(ring))
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(bucket)))
+    room = np.repeat(np.where(size <= NEAR_SMALL, begin + size, 0), size)  # end of the row's bucket, if it is a small one
+    row, step = np.arange(len(ring)), 1
+    while len(row := row[row + step < room[row]]):
+        kept = near_pairs(row, row + step, ring)
+        joined(label, row[kept], row[kept] + step)
+        step += 1
+    budget = NEAR_DISTANCE * LANE // NEAR_SEGMENTS
+    for lo, n in zip(begin[size > NEAR_SMALL], size[size > NEAR_SMALL], strict=True):
+        own = np.arange(lo, lo + n)
+        for pivot in own[:: -(-n // PIVOTS)]:
+            hit = own[near_pairs(np.full(n, pivot), own, ring)]
+            joined(label, np.full(len(hit), pivot), hit)
+        roots, count = np.unique(label[lo : lo + n], return_counts=True)
+        outside = own[label[lo : lo + n] != roots[count.argmax()]] if count.max() > 1 else own
+        place = np.full(n, -1)
+        place[outside - lo] = np.arange(len(outside))
+        block = max(1, AT_ONCE // int(n))
+        for x in range(0, len(outside), block):
+            rows = outside[x : x + block]
+            bits = np.bitwise_count(ring[rows, 0][:, None] ^ ring[lo : lo + n, 0][None, :])
+            i, j = np.nonzero(bits <= budget)
+            once = (place[j] < 0) | (place[j] > x + i)  # of two rows outside, the pair comes up twice
+            i, j = i[once], j[once]
+            a, b = rows[i], lo + j
+            kept = near_pairs(a, b, ring, 1, bits[i, j].astype(np.int64))
+            joined(label, a[kept], b[kept])
+    return label
+
+
+def near_links(distinct: DataFrame) -> DataFrame:
+    """(a, b) of wide fingerprints: stars that join the near copies in ``distinct`` (fp)."""
+    n = distinct.count()
+    usual = max(NEAR_CHUNK, 4 * n // 2**NEAR_BITS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                fps = batch.column(0).slice(lo, 1024)
+                value = segments_of(fps.to_pylist()) @ (1 << np.arange(NEAR_BITS))
+                first = np.tile(np.arange(NEAR_SEGMENTS, dtype=np.int32), len(fps))
+                yield pa.record_batch([fps.take(pa.array(np.repeat(np.arange(len(fps)), NEAR_SEGMENTS))), pa.array(first), pa.array(value.ravel().astype(np.int32))], names=["fp", "first", "value"])
+
+    rows = distinct.select("fp").mapInArrow(spread, "fp binary, first int, value int")
+    # bounded: at most 28 segments of 2^12 values, and only those of more than a chunk
+    large = rows.groupBy("first", "value").agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("chunks")).where("chunks > 1")
+    rows = rows.join(F.broadcast(large), ["first", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("fp", "first", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    groups = max(1, -(-n // GROUP))
+    # of a group's rows the segment's value is in the fingerprint
+    rows = rows.select("fp", "x", "y", "first", F.pmod(F.xxhash64("value", "x", "y"), F.lit(groups)).cast("int").alias("part"))
+
+    def search(table: pa.Table) -> pa.Table:
+        first, fps = int(table.column("first")[0].as_py()), table.column("fp").combine_chunks()
+        bits = segments_of(fps.to_pylist())
+        value = bits[:, first] @ (1 << np.arange(NEAR_BITS))
+        x, y = (np.asarray(table.column(c)) for c in ("x", "y"))
+        order = np.lexsort((y, x, value))
+        keys = np.stack([value, x, y])[:, order]
+        bucket = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        label = near_linked(ring_from(bits[order], first), bucket)
+        at = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": fps.take(pa.array(order[label[at]])), "b": fps.take(pa.array(order[at]))})
+
+    return rows.groupBy("first", "part").applyInArrow(search, "a binary, b binary")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, linked as near copies."""
+    return _named(staged(wide_fingerprints(docs), "near"), near_links)
+
+
 def components(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the smallest doc_id reachable over links."""
-    prints = staged(fingerprints(docs, words), "simhash")
+    return _named(staged(fingerprints(docs, words), "simhash"), links)
+
+
+def _named(prints: DataFrame, linker) -> DataFrame:
+    """``prints`` (doc_id, fp) with the component that the links of its distinct fingerprints give."""
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = star_roots(links(distinct.select("fp")), "simhash-links")
+    roots = star_roots(linker(distinct.select("fp")), "simhash-links")
     of_root = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(of_root.join(least, "root").select("fp", "component_id"), "simhash-named")
@@ -173,11 +332,11 @@ def hexed(fp: str = "fp"):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest doc_id, once.
+    """The rows of ``docs`` that stay: of each component of near copies the row with the smallest doc_id, once.
 
     Rows without an id can stand for no component; they stay, identical ones once.
     """
-    named = components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = near_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = named.unionAll(named.sparkSession.range(1).select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]))).withColumnRenamed("doc_id", "_kept")
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])

@@ -5,7 +5,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rankloom.llm import packing, pii, simhash, toxicity
+from rankloom.llm import packing, pii, toxicity
+
+from .test_simhash import near_brute
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -21,21 +23,8 @@ def test_stages_against_brute_force(spark, sf):
     toxic = {r.doc_id for r in toxicity.report(out[""], labels).collect() if r.predicted}
     kept = {r.doc_id: r for r in out["toxicity"].collect()}
     assert kept.keys() == {r.doc_id for r in out[""].select("doc_id").collect()} - toxic
-    prints = sorted((i, simhash.fingerprint(r.text)) for i, r in kept.items())
-    parent = {i: i for i, _ in prints}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for k, (i, a) in enumerate(prints):
-        for j, b in prints[:k]:
-            if bin(a ^ b).count("1") <= 4:
-                p, q = find(i), find(j)
-                parent[max(p, q)] = min(p, q)
     one = {r.doc_id: r for r in out["near_dedup"].collect()}
-    assert one.keys() == {find(i) for i in parent}
+    assert one.keys() == set(near_brute(sorted(kept), [kept[i].text for i in sorted(kept)]))
     masked = {r.doc_id: r.text for r in out["pii"].collect()}
     assert masked == {i: pii.masked(r.text) for i, r in one.items()} and not any(pii.plain_spans(t) for t in masked.values())
     mixed = Counter(r.doc_id for r in out["mixing"].collect())

@@ -92,14 +92,88 @@ def test_components(spark, chunk, monkeypatch):
     assert got == sorted(zip([i for i, _, _ in rows], prints, groups([i for i, _, _ in rows], prints), strict=True))
 
 
+def near_brute(ids, texts):
+    """Components of near copies: every pair held against the rule of the chain, one by one."""
+    bits = [[int(x) for x in f"{int.from_bytes(simhash.wide_fingerprint(t), 'little'):0336b}"[::-1]] for t in texts]
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def close(a, b):
+        apart = [sum(x != y for x, y in zip(a[k * 12 : k * 12 + 12], b[k * 12 : k * 12 + 12], strict=True)) for k in range(28)]
+        chains = ([*apart[k:], *apart[:k]] for k in range(28) if not apart[k])
+        return sum(apart) <= 60 and any(all(sum(c[:n]) <= 60 * n // 28 for n in (5, 10, 15, 20, 25)) for c in chains)
+
+    for i, a in enumerate(bits):
+        for j in range(i):
+            if close(a, bits[j]):
+                p, q = find(ids[i]), find(ids[j])
+                parent[max(p, q)] = min(p, q)
+    return [find(i) for i in ids]
+
+
+def test_wide_fingerprint():
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \t") == bytes(42)
+    assert simhash.wide_fingerprint("A b c d e f") == simhash.wide_fingerprint("a B\nc d e f")
+    once = " ".join(f"w{i}" for i in range(20_000))
+    assert simhash.wide_fingerprint(f"{once} {once}") != simhash.wide_fingerprint(once[:50_000])  # all of a long text counts
+    bits = np.unpackbits(np.frombuffer(simhash.wide_fingerprint(once), np.uint8))
+    assert 120 < bits.sum() < 216
+
+
+@pytest.mark.parametrize("chunk,small", [(1, 64), (16_384, 0), (16_384, 64)])
+def test_near_components(spark, chunk, small, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_CHUNK", chunk)
+    monkeypatch.setattr(simhash, "NEAR_SMALL", small)
+    rows = near_rows() + [(5, None, "s"), (6, "", "s"), (4, "  ", "s"), (900, "one word", "s"), (901, "one word", "s"), (901, "one word", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(made(spark, rows)).collect()}
+    every = {i: t for i, t, _ in rows}
+    assert got == dict(zip(every, near_brute(list(every), list(every.values())), strict=True))
+
+
+def test_hot_buckets_lose_no_link():
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2, (3, 336), dtype=np.uint8)
+    bits = np.concatenate([s[None, :] ^ (rng.random((n, 336)) < rate) for s, n, rate in zip(seeds, (300, 90, 40), (0.06, 0.085, 0.12), strict=True)] + [rng.integers(0, 2, (120, 336), dtype=np.uint8)])
+    bits[:, :12] = seeds[0, :12]
+    bits = bits.astype(np.uint8).reshape(-1, 28, 12)
+    ring, bucket = simhash.ring_from(bits, 0), np.zeros(len(bits), np.int64)
+    want = np.arange(len(bits))
+    a, b = np.triu_indices(len(bits), 1)
+    kept = simhash.near_pairs(a, b, ring)
+    apart = (bits[a] != bits[b]).sum(axis=2)
+    assert np.array_equal(kept, np.flatnonzero(np.all([apart[:, :n].sum(axis=1) <= 60 * n // 28 for n in (5, 10, 15, 20, 25, 28)], axis=0)))
+    simhash.joined(want, a[kept], b[kept])
+    assert np.array_equal(simhash.near_linked(ring, bucket), want) and len(np.unique(want)) < 200
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(5)
+    rows, copies = [], set()
+    for g in range(60):
+        words = [f"v{rng.randrange(400)}" for _ in range(rng.randrange(100, 600))]
+        rows.append((g, " ".join(words), "s"))
+        for c in range(g % 3):
+            copy = list(words)
+            for at in range(0, len(copy), 80):  # a word in 80: similarity about 0.88
+                copy[at] = "changed"
+            copies.add(1000 + 10 * g + c)
+            rows.append((1000 + 10 * g + c, " ".join(copy) + " end" * c, "s"))
+    kept = {r.doc_id for r in simhash.one_of_each(made(spark, rows)).collect()}
+    assert set(range(60)) <= kept and len(kept & copies) <= 1
+
+
 def test_one_of_each(spark, odd, none):
     more = odd.unionByName(made(spark, [(None, "another without an id", "s"), (None, "another without an id", "s")]))
     kept = simhash.one_of_each(more)
     ids = [r.doc_id for r in kept.collect()]
-    every = [r.component_id for r in simhash.components(odd).collect()]
+    every = [r.component_id for r in simhash.near_components(odd).collect()]
     assert sorted(i for i in ids if i is not None) == sorted({i for i in every if i is not None}) and kept.columns == odd.columns
     assert ids.count(None) == 2
-    assert simhash.one_of_each(none).count() == 0 and simhash.components(none).count() == 0
+    assert simhash.one_of_each(none).count() == 0 and simhash.components(none).count() == 0 and simhash.near_components(none).count() == 0
 
 
 def test_long_paths(spark):
