@@ -10,12 +10,13 @@ Equal fingerprints are merged before the search, so copies cost nothing. A searc
 one star per group of linked fingerprints, so its output is never larger than its input. Buckets over four times the
 usual size are cut into chunks, and every two chunks meet in a group of their own.
 
-Near copies beyond those 4 bits, as a corpus filter wants them, have the same search on a wider ring: 336 bits in 28
-segments of 12, of the distinct shingles of five words. Texts whose shingle sets have a Jaccard similarity of 0.8 differ
-in 15 % of such bits on average, 51; a link is at most ``NEAR_DISTANCE`` bits, 1.4 standard deviations above that. Some
-segment must agree, and the chain of segments from there must keep its share of the budget at every fifth segment. A
-hot group of near copies costs a bucket its size, not its square: rows that a pivot joins are not compared among
-themselves, only with rows outside of their component.
+Near copies beyond those 4 bits, as a corpus filter wants them, are texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Candidates come from a wider ring: 336 bits in 28 segments of 12, of the distinct shingles.
+Texts at 0.8 differ in 15 % of such bits on average, 51; a candidate is at most ``NEAR_REACH`` bits, over six standard
+deviations above that, and some segment must agree, of the ring or of a second one with the same bits in another order.
+A candidate is a link only if the two shingle sets themselves, which lie in the shared folder as sorted hashes, are alike
+enough. A hot group of near copies costs a bucket its size, not its square: rows that a pivot joins are not compared
+among themselves, only with rows outside of their component, and a pair outside only in the first segment it agrees in.
 
 Edge cases. Null or empty text, or white space alone: no shingles, fingerprint zero, linked like any other. Fewer
 words than a shingle: the whole sequence is the one shingle. Repeated rows and repeated doc_ids: each row is
@@ -24,18 +25,21 @@ returned. Null doc_id: it has a fingerprint, but names no component. Empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, staged_path
 from .graph import star_roots
+from .store import piece, put
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Bits of the ring's segments, from the lowest.
@@ -47,6 +51,10 @@ GROUP, CHUNK, AT_ONCE = 50_000, 1_024, 1 << 20
 #: Of near copies: words of a shingle, segments of the ring, bits of each, differing bits of a link, and segments between
 #: two looks at the budget.
 NEAR_WORDS, NEAR_SEGMENTS, NEAR_BITS, NEAR_DISTANCE, LANE = 5, 28, 12, 60, 5
+#: Of near copies: differing bits of a candidate, rings, and bytes of shingle hashes that a task writes as one array.
+NEAR_REACH, RINGS, SETS_BYTES = 100, 1, 1 << 24
+#: Of a set's place: bits of the item where it begins, and bits of a task's files.
+ITEMS, FILES = 28, 12
 #: Of near copies: the least size of a chunk, and the size up to which a bucket's pairs are listed without pivots.
 NEAR_CHUNK, NEAR_SMALL, PIVOTS = 16_384, 64, 8
 
@@ -176,17 +184,18 @@ _WIDE_PLACE = (np.arange(_WIDE_BYTES, dtype=np.int64) * 256)[None, :]
 _BIT_SUMS = _BITS.astype(np.float32)
 
 
-def wide_fingerprint(text: str | None, words: int = NEAR_WORDS, seed: int = SEED) -> bytes:
-    """Bitwise majority over the distinct shingles, for 336 bits, the lowest first.
-
-    The bits of a shingle are mixes of its XXH64. No words: all zero.
-    """
+def shingles(text: str | None, words: int = NEAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """Sorted XXH64 of the distinct shingles."""
     w = (text or "").encode("utf-8", "replace").lower().split()
     if not w:
-        return bytes(_WIDE_BYTES)
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)]
-    h = np.array(list({digest(s, seed) for s in shingles}), np.uint64)
+    parts = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)]
+    return np.unique(np.fromiter((digest(s, seed) for s in parts), np.uint64))
+
+
+def wide_bits(h: np.ndarray) -> bytes:
+    """Bitwise majority over shingles ``h``, for 336 bits, the lowest first, each a mix of the hash; without any, zero."""
     counts = np.zeros(_WIDE_BYTES * 256, np.int64)
     for lo in range(0, len(h), 8192):
         x = h[lo : lo + 8192, None] * _LANES[None, :]
@@ -197,15 +206,44 @@ def wide_fingerprint(text: str | None, words: int = NEAR_WORDS, seed: int = SEED
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the wide fingerprint as bytes."""
+def wide_fingerprint(text: str | None, words: int = NEAR_WORDS, seed: int = SEED) -> bytes:
+    return wide_bits(shingles(text, words, seed))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets of sorted hashes have a Jaccard similarity of 0.8 or more."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
+
+
+def wide_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, fp, digest, place, n): the wide fingerprint, and the shingle set: its digest, place in ``folder`` and size."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, files = TaskContext.get().taskAttemptId(), 0
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([wide_fingerprint(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "fp"])
+            lo = 0
+            while lo < batch.num_rows:
+                sets: list[np.ndarray] = []
+                size = 0
+                while lo + len(sets) < batch.num_rows and size < SETS_BYTES:
+                    sets.append(shingles(batch.column(1)[lo + len(sets)].as_py()))
+                    size += sets[-1].nbytes
+                n = np.array([len(x) for x in sets])
+                room = np.maximum(n, 1)  # an empty set has a place of its own too
+                file, files = task << FILES | files, files + 1  # of an attempt: one that dies is never read
+                put(folder, str(file), np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in sets]).astype("<u8"))
+                digests = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets]
+                yield pa.record_batch([batch.column(0).slice(lo, len(sets)), pa.array(map(wide_bits, sets), pa.binary()), pa.array(digests, pa.binary()), pa.array((file << ITEMS) + np.cumsum(room) - room), pa.array(n)], names=["doc_id", "fp", "digest", "place", "n"])
+                lo += len(sets)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary, place long, n long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary")
+
+def shingles_at(folder: str, place: int, n: int) -> np.ndarray:
+    return piece(folder, str(place >> ITEMS), "<u8", place & (1 << ITEMS) - 1, n)
 
 
 def segments_of(fps: list[bytes]) -> np.ndarray:
@@ -224,33 +262,73 @@ def ring_from(bits: np.ndarray, first: int) -> np.ndarray:
     return np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, ring: np.ndarray, at: int = 0, so_far: np.ndarray | None = None) -> np.ndarray:
-    """Which pairs of rows keep the chain's budget from lane ``at`` on, to the last, which is the full check."""
+def near_pairs(a: np.ndarray, b: np.ndarray, ring: np.ndarray, at: int = 0, so_far: np.ndarray | None = None, reach: int | None = None) -> np.ndarray:
+    """Which pairs of rows keep the chain's budget from lane ``at`` on, to the last, which is the full check.
+
+    reach: the one budget of the full check instead, with which every lane only adds up.
+    """
     kept, total = np.arange(len(a)), np.zeros(len(a), np.int64) if so_far is None else so_far
     for lane in range(at, ring.shape[1]):
         total = total + np.bitwise_count(ring[a[kept], lane] ^ ring[b[kept], lane])
-        ok = total <= NEAR_DISTANCE * min(LANE * lane + LANE, NEAR_SEGMENTS) // NEAR_SEGMENTS
+        ok = total <= (NEAR_DISTANCE * min(LANE * lane + LANE, NEAR_SEGMENTS) // NEAR_SEGMENTS if reach is None else reach)
         kept, total = kept[ok], total[ok]
     return kept
 
 
-def near_linked(ring: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """A label for each row: the least row it is linked with. bucket: sorted; rows of a bucket agree in the first segment."""
+def settled(label: np.ndarray, a: np.ndarray, b: np.ndarray, same: Callable[[int, int], bool]) -> None:
+    """``joined`` for those pairs that ``same`` finds alike; it is asked only about rows not yet joined."""
+    apart = label[a] != label[b]
+    parent: dict[int, int] = {}
+    found: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q and same(x, y):
+            parent[max(p, q)] = min(p, q)
+            found.append((x, y))
+    if found:
+        joined(label, *np.array(found).T)
+
+
+def near_linked(ring: np.ndarray, bucket: np.ndarray, reach: int | None = None, same: Callable[[int, int], bool] | None = None, before: np.ndarray | None = None) -> np.ndarray:
+    """A label for each row: the least row it is linked with. bucket: sorted; rows of a bucket agree in the first segment.
+
+    reach, same: a pair within ``reach`` bits is a candidate, and a link if ``same``. before: values of the rows in the
+    segments before the first; pairs that agree in one of them are settled there.
+    """
     label = np.arange(len(ring))
+
+    def join(a: np.ndarray, b: np.ndarray, pivot: bool = False) -> None:
+        if same is None:
+            joined(label, a, b)
+            return
+        if before is not None and not pivot:
+            for lo in range(0, len(a), 1 << 16):
+                x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+                new = ~(before[x] == before[y]).any(axis=1)
+                settled(label, x[new], y[new], same)
+        else:
+            settled(label, a, b, same)
+
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(bucket)))
     room = np.repeat(np.where(size <= NEAR_SMALL, begin + size, 0), size)  # end of the row's bucket, if it is a small one
     row, step = np.arange(len(ring)), 1
     while len(row := row[row + step < room[row]]):
-        kept = near_pairs(row, row + step, ring)
-        joined(label, row[kept], row[kept] + step)
+        kept = near_pairs(row, row + step, ring, reach=reach)
+        join(row[kept], row[kept] + step)
         step += 1
-    budget = NEAR_DISTANCE * LANE // NEAR_SEGMENTS
+    budget = NEAR_DISTANCE * LANE // NEAR_SEGMENTS if reach is None else reach
     for lo, n in zip(begin[size > NEAR_SMALL], size[size > NEAR_SMALL], strict=True):
         own = np.arange(lo, lo + n)
         for pivot in own[:: -(-n // PIVOTS)]:
-            hit = own[near_pairs(np.full(n, pivot), own, ring)]
-            joined(label, np.full(len(hit), pivot), hit)
+            hit = own[near_pairs(np.full(n, pivot), own, ring, reach=reach)]
+            join(np.full(len(hit), pivot), hit, pivot=True)
         roots, count = np.unique(label[lo : lo + n], return_counts=True)
         outside = own[label[lo : lo + n] != roots[count.argmax()]] if count.max() > 1 else own
         place = np.full(n, -1)
@@ -263,68 +341,90 @@ def near_linked(ring: np.ndarray, bucket: np.ndarray) -> np.ndarray:
             once = (place[j] < 0) | (place[j] > x + i)  # of two rows outside, the pair comes up twice
             i, j = i[once], j[once]
             a, b = rows[i], lo + j
-            kept = near_pairs(a, b, ring, 1, bits[i, j].astype(np.int64))
-            joined(label, a[kept], b[kept])
+            kept = near_pairs(a, b, ring, 1, bits[i, j].astype(np.int64), reach)
+            join(a[kept], b[kept])
     return label
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b) of wide fingerprints: stars that join the near copies in ``distinct`` (fp)."""
+_TURNED = np.random.default_rng(SEED).permutation(NEAR_SEGMENTS * NEAR_BITS)
+
+
+def ring_values(bits: np.ndarray) -> np.ndarray:
+    """(rows, segments of all rings): the values of the segments; a second ring has the same bits in another order."""
+    rings = [bits, bits.reshape(-1, NEAR_SEGMENTS * NEAR_BITS)[:, _TURNED].reshape(bits.shape)]
+    return np.concatenate([r @ (1 << np.arange(NEAR_BITS)) for r in rings[:RINGS]], axis=1).astype(np.int16)
+
+
+def near_links(distinct: DataFrame, folder: str) -> DataFrame:
+    """(a, b) of places: stars that join the near copies in ``distinct`` (fp, place, n), whose shingles are in ``folder``."""
     n = distinct.count()
     usual = max(NEAR_CHUNK, 4 * n // 2**NEAR_BITS)
+    every = RINGS * NEAR_SEGMENTS
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
-                fps = batch.column(0).slice(lo, 1024)
-                value = segments_of(fps.to_pylist()) @ (1 << np.arange(NEAR_BITS))
-                first = np.tile(np.arange(NEAR_SEGMENTS, dtype=np.int32), len(fps))
-                yield pa.record_batch([fps.take(pa.array(np.repeat(np.arange(len(fps)), NEAR_SEGMENTS))), pa.array(first), pa.array(value.ravel().astype(np.int32))], names=["fp", "first", "value"])
-
-    rows = distinct.select("fp").mapInArrow(spread, "fp binary, first int, value int")
-    # bounded: at most 28 segments of 2^12 values, and only those of more than a chunk
+                part = batch.slice(lo, 1024)
+                value = ring_values(segments_of(part.column(0).to_pylist()))
+                first = np.tile(np.arange(every, dtype=np.int32), len(value))
+                again = pa.array(np.repeat(np.arange(len(value)), every))
+                yield pa.record_batch([*(c.take(again) for c in part.columns), pa.array(first), pa.array(value.ravel().astype(np.int32))], names=["fp", "place", "n", "first", "value"])
+
+    rows = distinct.select("fp", "place", "n").mapInArrow(spread, "fp binary, place long, n long, first int, value int")
+    # bounded: at most 28 segments a ring of 2^12 values, and only those of more than a chunk
     large = rows.groupBy("first", "value").agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("chunks")).where("chunks > 1")
     rows = rows.join(F.broadcast(large), ["first", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("fp", "first", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.select("fp", "place", "n", "first", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     groups = max(1, -(-n // GROUP))
     # of a group's rows the segment's value is in the fingerprint
-    rows = rows.select("fp", "x", "y", "first", F.pmod(F.xxhash64("value", "x", "y"), F.lit(groups)).cast("int").alias("part"))
+    rows = rows.select("fp", "place", "n", "x", "y", "first", F.pmod(F.xxhash64("value", "x", "y"), F.lit(groups)).cast("int").alias("part"))
 
     def search(table: pa.Table) -> pa.Table:
-        first, fps = int(table.column("first")[0].as_py()), table.column("fp").combine_chunks()
-        bits = segments_of(fps.to_pylist())
-        value = bits[:, first] @ (1 << np.arange(NEAR_BITS))
-        x, y = (np.asarray(table.column(c)) for c in ("x", "y"))
-        order = np.lexsort((y, x, value))
-        keys = np.stack([value, x, y])[:, order]
+        first = int(table.column("first")[0].as_py())
+        bits = segments_of(table.column("fp").to_pylist())
+        values = ring_values(bits)
+        x, y, place, sizes = (np.asarray(table.column(c)) for c in ("x", "y", "place", "n"))
+        order = np.lexsort((y, x, values[:, first]))
+        keys = np.stack([values[:, first], x, y])[:, order]
         bucket = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-        label = near_linked(ring_from(bits[order], first), bucket)
+        place, sizes = place[order], sizes[order]
+        sets = lru_cache(maxsize=256)(lambda i: shingles_at(folder, int(place[i]), int(sizes[i])))
+
+        def same(i: int, j: int) -> bool:
+            return 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and alike(sets(i), sets(j))
+
+        label = near_linked(ring_from(bits[order], first % NEAR_SEGMENTS), bucket, NEAR_REACH, same, values[order, :first] if first else None)
         at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": fps.take(pa.array(order[label[at]])), "b": fps.take(pa.array(order[at]))})
+        return pa.table({"a": place[label[at]], "b": place[at]})
 
-    return rows.groupBy("first", "part").applyInArrow(search, "a binary, b binary")
+    return rows.groupBy("first", "part").applyInArrow(search, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row, linked as near copies."""
-    return _named(staged(wide_fingerprints(docs), "near"), near_links)
+    folder = staged_path(docs.sparkSession, "near-shingles")
+    prints = staged(wide_fingerprints(docs, folder), "near")
+    # texts with the same shingles are one
+    distinct = staged(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("fp").alias("fp"), F.first("n").alias("n")), "near-distinct")
+    return _named(prints, distinct, near_links(distinct, folder), "digest", "place")
 
 
 def components(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id: the smallest doc_id reachable over links."""
-    return _named(staged(fingerprints(docs, words), "simhash"), links)
+    prints = staged(fingerprints(docs, words), "simhash")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    return _named(prints, distinct, links(distinct.select("fp")), "fp", "fp")
 
 
-def _named(prints: DataFrame, linker) -> DataFrame:
-    """``prints`` (doc_id, fp) with the component that the links of its distinct fingerprints give."""
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = star_roots(linker(distinct.select("fp")), "simhash-links")
-    of_root = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, key: str, node: str) -> DataFrame:
+    """``prints`` with the component that the links ``found`` of its distinct keys give. node: what links call a key."""
+    roots = star_roots(found, "simhash-links")
+    of_root = distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left").select(key, "least", F.coalesce("root", node).alias("root"))
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(of_root.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(of_root.join(least, "root").select(key, "component_id"), "simhash-named")
+    return prints.join(named, key).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str = "fp"):

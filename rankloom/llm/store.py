@@ -38,3 +38,15 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
                 copy.write(chunk)
         copy.flush()
         return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
+
+
+@lru_cache(maxsize=256)
+def _opened(folder: str, name: str):
+    system, path = _place(folder)
+    return system.open_input_file(f"{path}/{name}")
+
+
+def piece(folder: str, name: str, kind: str, at: int, count: int) -> np.ndarray:
+    """``count`` items of the array from ``at`` on, read alone."""
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(_opened(folder, name).read_at(count * width, at * width), kind) if count else np.zeros(0, kind)

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rankloom.llm import packing, pii, toxicity
 
-from .test_simhash import near_brute
+from .test_simhash import jaccard_groups, near_brute
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -35,3 +35,10 @@ def test_stages_against_brute_force(spark, sf):
         for at in range(0, len(ids), 4096):
             crc[i, at, zlib.crc32(ids[at : at + 4096].tobytes())] += n
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in out["packing"].collect()) == crc
+
+
+def test_near_dedup_keeps_one_of_each_group_of_exact_similarity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
+    assert kept == set(jaccard_groups(rows).values())

@@ -180,3 +180,48 @@ def test_long_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in graph.star_roots(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
+
+
+def jaccard_groups(rows):
+    """Components by the exact similarity of the sets of five-word shingles, every pair counted."""
+    sets = []
+    for _, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = {i: i for i, _, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, _, _) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                p, q = find(a), find(rows[j][0])
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i, _, _ in rows}
+
+
+def pairs_about(seed, lows):
+    """Two texts a seed, of 600 words, the second with some runs of words exchanged: similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(len(lows)):
+        words = [f"p{g}w{rng.randrange(10**6)}" for _ in range(600)]
+        other = list(words)
+        for at in range(0, 600, 600 // lows[g]):
+            other[at] = f"y{g}x{at}"
+        rows += [(10 * g + 1, " ".join(words), "s"), (10 * g + 2, " ".join(other), "s")]
+    return rows
+
+
+@pytest.mark.parametrize("chunk,small", [(20, 64), (16_384, 0), (16_384, 64)])
+def test_links_are_those_of_exact_similarity(spark, chunk, small, monkeypatch):
+    monkeypatch.setattr(simhash, "NEAR_CHUNK", chunk)
+    monkeypatch.setattr(simhash, "NEAR_SMALL", small)
+    rows = pairs_about(8, [12, 13, 14, 15, 16, 17, 18, 20] * 12) + [(5000, "", "s"), (5001, None, "s"), (5002, "a b", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(made(spark, rows)).collect()}
+    want = jaccard_groups(rows)
+    assert got == want and 20 < len(set(want.values())) - len(rows) // 2 < 80
