@@ -52,7 +52,7 @@ GROUP, CHUNK, AT_ONCE = 50_000, 1_024, 1 << 20
 #: two looks at the budget.
 NEAR_WORDS, NEAR_SEGMENTS, NEAR_BITS, NEAR_DISTANCE, LANE = 5, 28, 12, 60, 5
 #: Of near copies: differing bits of a candidate, rings, and bytes of shingle hashes that a task writes as one array.
-NEAR_REACH, RINGS, SETS_BYTES = 100, 1, 1 << 24
+NEAR_REACH, RINGS, SETS_BYTES = 100, 2, 1 << 24
 #: Of a set's place: bits of the item where it begins, and bits of a task's files.
 ITEMS, FILES = 28, 12
 #: Of near copies: the least size of a chunk, and the size up to which a bucket's pairs are listed without pivots.

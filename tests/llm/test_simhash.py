@@ -225,3 +225,23 @@ def test_links_are_those_of_exact_similarity(spark, chunk, small, monkeypatch):
     got = {r.doc_id: r.component_id for r in simhash.near_components(made(spark, rows)).collect()}
     want = jaccard_groups(rows)
     assert got == want and 20 < len(set(want.values())) - len(rows) // 2 < 80
+
+
+def test_candidates_need_no_chain():
+    """Pairs that agree in the first segment are found by the full distance, wherever their differences stand."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (200, 28, 12), dtype=np.uint8)
+    bits[1::2] = bits[::2]
+    for i in range(1, 200, 2):
+        bits[i, 1:6] ^= (rng.permutation(60) < 20).astype(np.uint8).reshape(5, 12)  # more than the chain allows of five segments
+        bits[i, 6:] ^= (rng.permutation(264) < 35).astype(np.uint8).reshape(22, 12)
+    label = simhash.near_linked(simhash.ring_from(bits, 0), np.repeat(np.arange(100), 2), simhash.NEAR_REACH, lambda i, j: True)
+    assert np.array_equal(label, np.repeat(np.arange(0, 200, 2), 2))
+
+
+def test_nearly_every_pair_at_the_limit_agrees_in_a_segment():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2, (20_000, 28, 12), dtype=np.uint8)
+    b = a ^ (rng.random(a.shape) < 0.1515)
+    hit = (simhash.ring_values(a) == simhash.ring_values(b.astype(np.uint8))).any(axis=1) & ((a != b).sum(axis=(1, 2)) <= simhash.NEAR_REACH)
+    assert hit.mean() > 0.998
