@@ -51,21 +51,27 @@ _SIGNS = {"plus": "+", "más": "+", "mas": "+", "dot": ".", "point": ".", "punkt
 _TIMES = {"double": 2, "triple": 3}
 # Endings that a bare "at ... dot ..." must have.
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|io|ai|co|me|tv|us|uk|de|fr|es|it|nl|be|ch|at|eu|pl|se|no|fi|dk|pt|cz|ru|ua|ca|mx|br|ar|cl|jp|cn|in|kr|au|nz|za|example|test|invalid|local|online|site|shop|cloud|email|mail"
+# All country endings and more general ones; after "dot" alone, as "point" stands in prose ("at this point to").
+_MORE_ENDINGS = _ENDINGS + "|" + "|".join(
+    "ac ad ae af ag al am ao aq as aw ax az ba bb bd bf bg bh bi bj bm bn bo bs bt bw by bz cc cd cf cg ci ck cm cr cu cv cw cx cy dj dm do dz ec ee eg er et fj fk fm fo ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im iq ir is je jm jo ke kg kh ki km kn kp kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw my mz na nc ne nf ng ni np nr nu om pa pe pf pg ph pk pm pn pr ps pw py qa re ro rs rw sa sb sc sd sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tw tz ug uy uz va vc ve vg vi vn vu wf ws ye yt zm zw xyz top club live news blog tech store agency studio world space website systems solutions services digital network group team academy health museum coop aero jobs mobi travel tel cat asia post".split()
+)
+_END = r"\s{1,8}(?:dot\s{1,8}(?:" + _MORE_ENDINGS + r")|(?:punkt|point|punto)\s{1,8}(?:" + _ENDINGS + r"))(?![A-Za-z0-9-])"
 
 _ODD = re.compile("[\x80-\x9f\xa0\xaa\xad\xb2\xb3\xb7\xb9\xbaıɐ-\U0010ffff]")
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase|ät|klammeraffe|a|@)", r"(?:dot|punkt|point|punto|period|\.)"
 _AT = re.compile(r"\s{0,8}(?:[\[({<|]\s{0,8}" + _AT_WORD + r"\s{0,8}[\])}>|]|&#64;|&#x40;|&commat;|%40)\s{0,8}|(?<=\w)\s{0,8}[_*~]{1,3}at[_*~]{1,3}\s{0,8}(?=\w)|(?<=[\w])\s{1,8}@\s{0,8}(?=[\w])|(?<=[\w])@\s{1,8}(?=[\w])", re.I)
 _DOT = re.compile(r"\s{0,8}(?:[\[({<|]\s{0,8}" + _DOT_WORD + r"\s{0,8}[\])}>|]|&#46;|&#x2e;|&period;|%2e)\s{0,8}|(?<=\w)\s{0,8}[_*~]{1,3}dot[_*~]{1,3}\s{0,8}(?=\w)", re.I)
 _BARE_DOT = re.compile(r"\s{1,8}(?:dot|punkt|point|punto|\.)\s{1,8}(?=[A-Za-z0-9-]+)", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s{1,8}(?:dot|punkt|point|punto)\s{1,8}[A-Za-z0-9_%+-]{1,64}){0,4}?(\s{1,8}(?:at|arroba|arobase)\s{1,8})[A-Za-z0-9-]{1,63}(?:(?:\s{1,8}(?:dot|punkt|point|punto)\s{1,8}|\.)[A-Za-z0-9-]{1,63}){0,5}\s{1,8}(?:dot|punkt|point|punto)\s{1,8}(?:" + _ENDINGS + r")(?![A-Za-z0-9-])", re.I)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s{1,8}(?:dot|punkt|point|punto)\s{1,8}[A-Za-z0-9_%+-]{1,64}){0,4}?(\s{1,8}(?:at|arroba|arobase)\s{1,8})[A-Za-z0-9-]{1,63}(?:(?:\s{1,8}(?:dot|punkt|point|punto)\s{1,8}|\.)[A-Za-z0-9-]{1,63}){0,5}" + _END, re.I)
 _AT_HINT = re.compile(r"[\[({<|&%_*~@](?:(?<=[\[({<|])\s{0,8}(?:a|ä|k|@)|(?<=&)(?:#64|#x40|commat)|(?<=%)40|(?<=[_*~])at[_*~]|(?<=\s@)|(?<=@)\s)")
 _DOT_HINT = re.compile(r"[\[({<|&%.](?:(?<=[\[({<|])\s{0,8}[dp.]|(?<=&)(?:#46|#x2e|period)|(?<=%)2e|(?<=\s\.)\s)")
 _DOT_WORDS = ("dot", "punkt", "point", "punto", "period")
-_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s{1,8}(?:dot|punkt|point|punto|\.)\s{1,8}|\.)[A-Za-z0-9-]{1,63}){0,4}\s{1,8}(?:dot|punkt|point|punto|\.)\s{1,8}(?:" + _ENDINGS + r")(?![A-Za-z0-9-])", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s{1,8}(?:dot|punkt|point|punto|\.)\s{1,8}|\.)[A-Za-z0-9-]{1,63}){0,4}(?:" + _END + r"|\s{1,8}\.\s{1,8}(?:" + _ENDINGS + r")(?![A-Za-z0-9-]))", re.I)
 _WORD = "|".join(sorted([*_DIGIT_WORDS, *_SIGNS, *_TIMES], key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_WORD}|\+?[0-9]+)(?:[\s,;./_-]{{1,4}}(?:{_WORD}|[0-9]+))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_WORD}|\+?[0-9]+", re.I)
-_SPELLED_HINT = re.compile(rf"(?:{'|'.join(sorted(_DIGIT_WORDS, key=len, reverse=True))})[\s,;./_-]{{1,4}}(?:{_WORD}|[0-9])")
+_DIGIT_WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
+_SPELLED_HINT = re.compile(rf"(?:{_DIGIT_WORD})[\s,;./_-]{{1,4}}(?:{_WORD}|[0-9])|[0-9][\s,;./_-]{{1,4}}(?:{_DIGIT_WORD})")
 _ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}").fullmatch
 _POINTED = re.compile(r"[0-9](?:\s{1,4}(?:dot|point|punkt|punto)\s{1,4}|\.)[a-z0-9]")
 _BYTE_WORDS = {w.encode() for w in _DIGIT_WORDS}
@@ -174,11 +180,11 @@ def _spelled(text: str) -> str:
     return out
 
 
-def _numbers(match: re.Match) -> list[tuple[int, int, str]]:
-    """One edit for a run that spells at least four digits, or an address; none for prose."""
+def _numbers(match: re.Match, least: int) -> list[tuple[int, int, str]]:
+    """One edit for a run with ``least`` digit words that spells at least four digits, or for an address."""
     words = [t.lower() for t in _TOKEN.findall(match[0])]
     spelled = _spelled(match[0])
-    enough = sum(w in _DIGIT_WORDS for w in words) >= 3 and sum(c.isdigit() for c in spelled) >= 4
+    enough = sum(w in _DIGIT_WORDS for w in words) >= least and sum(c.isdigit() for c in spelled) >= 4
     return [(*match.span(), spelled)] if spelled != match[0] and (enough or _ADDRESS(spelled)) else []
 
 
@@ -214,10 +220,9 @@ def _composed(outer: View, inner: View, span: Span) -> tuple[Span, bool]:
 
 
 def _spells(low: str) -> bool:
-    """Whether four digit words may stand in a row."""
+    """Whether a digit word may stand beside another one or a digit."""
     words = low.encode("utf-8", "replace").translate(_BREAKS).split()
-    hits = _BYTE_WORDS.intersection(words)
-    return bool(hits) and sum(map(words.count, hits)) >= 3 and _SPELLED_HINT.search(low) is not None
+    return not _BYTE_WORDS.isdisjoint(words) and _SPELLED_HINT.search(low) is not None
 
 
 def disguised_spans(text: str) -> list[Span]:
@@ -231,11 +236,14 @@ def disguised_spans(text: str) -> list[Span]:
         view = View(plain, _disguises(plain))
         if base.edits or view.edits:
             found |= {s for x in plain_spans(view.text) if x[0] == "email" for s, edited in [_composed(base, view, x)] if edited}
-    edits = [e for m in _SPELLED.finditer(plain) for e in _numbers(m)] if _spells(low) or (dotted or low.count(".") >= 3) and _POINTED.search(low) else []
+    runs = list(_SPELLED.finditer(plain)) if _spells(low) or (dotted or low.count(".") >= 3) and _POINTED.search(low) else []
     dots = [(*m.span(), ".") for m in _DOT.finditer(plain) if m.start() and m.end() < len(plain) and plain[m.start() - 1].isdigit() and plain[m.end()].isdigit()] if _DOTTED_HINT.search(low) else []
     letters = [(m.start() + i, m.start() + i + 1, "0" if c in "Oo" else "1") for m in _LETTER_DIGITS.finditer(plain) for i, c in enumerate(m[0]) if c in "OoIl|"] if _LETTER_HINT.search(plain) else []
-    if base.edits or edits or dots or letters:
-        view = View(plain, edits + dots + letters)
+    edits = [e for m in runs for e in _numbers(m, 3)]
+    looser = [e for m in runs for e in _numbers(m, 1)]
+    # a digit word of prose beside a number must not hide what the view without it shows
+    for numbers in [edits] + [looser] * (looser != edits) if base.edits or edits or looser or dots or letters else []:
+        view = View(plain, numbers + dots + letters)
         found |= {s for x in plain_spans(view.text) if x[0] != "email" for s, edited in [_composed(base, view, x)] if edited}
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1:]))
 

@@ -84,3 +84,11 @@ def test_redacted_keeps_columns(spark, odd, none):
 def test_long_texts_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1 " * 150_000, "+1((" * 60_000, "a@" * 100_000, "one two " * 40_000, "x at " * 50_000 + "dot", "[at" * 60_000, "1." * 100_000):
         pii.all_spans(text)
+
+
+def test_partly_spelled_numbers_and_more_endings():
+    for text, kind in [("card 4111 1111 1111 11 one one now", "card"), ("card 4111 1111 1111 111 one now", "card"), ("call +49 30 1234 five six now", "phone"), ("write jan at host dot xyz now", "email"), ("write jan at host dot gr now", "email")]:
+        span = max(pii.all_spans(text)[1], key=lambda s: s[2] - s[1])  # "+49 30 1234" is a phone number by itself
+        assert span[0] == kind and text[span[1] : span[2]] == text.split(" ", 1)[1][: -len(" now")], (text, span)
+    for text in ["one of 12 two or 3 things", "look at the dot matrix", "we came at this point to rest", "in 2019 one 4 two"]:
+        assert not pii.all_spans(text)[1], text
