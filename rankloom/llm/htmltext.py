@@ -4,18 +4,21 @@ A page becomes a sequence of items, text runs and tags. A text run scores the we
 tag its own weight; words in the main part score positive, tags negative, so the contiguous region with the highest
 sum is the article. One linear scan finds it. The weights are log-odds of a kind of item inside against outside of the
 regions marked in labelled pages. Words are told apart by where they stand: inside an article element, outside
-one although the page has one, in a link, elsewhere.
+one although the page has one, in a link, elsewhere. As sums stop short of an article's last list or first headline,
+the region then grows to the article element it lies in, or else to the blocks it begins and ends in.
 
-Elements that are no article text by their nature (menus, page headers, footers, asides, forms, scripts) or by the
-words of their class, id or role (advert, sidebar, cookie notice, comments and the like) take no part in the score and
-are left out of the text, also in the midst of the region.
+Menus, page footers, asides and scripts are no article text by their nature. Page headers, forms, and elements whose
+class, id or role is the name of an advert, sidebar, notice, comment or the like are none either, unless they hold the
+largest article element of the page or, without any, three quarters of its words. A name counts as a whole:
+"ad-banner" is one, "share-price" or "has-sidebar" is not. Of an article's own header, headings are text.
 
 Blocks: text between block tags; white space, and a line break tag, becomes one space; blocks are joined by one
 newline. Character references are decoded.
 
 Edge cases. Null or empty page, or one without words: empty text. Unclosed or stray tags: closed as the next
-block demands, or ignored. Unclosed comment or script: runs to the end. Repeated rows: each is extracted. Very long
-pages: the scan is linear. Empty table: empty result.
+block demands, or ignored. Unclosed comment or script: runs to the end. A tag that never ends: text. Runs of equal
+sum: the first. Repeated rows: each is extracted. Other columns, whatever their names, are not read. Very long pages:
+parsing, scan and growth are linear. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,108 +29,180 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_ITEM = re.compile(r"<!--(.*?)(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label|data-role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+from .markup import scan
+
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role|data-role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NOISE_TAGS = {"nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "math", "canvas", "object", "button", "select", "option", "label", "fieldset", "legend", "dialog", "menu", "audio", "video", "map", "head", "input", "datalist", "output", "progress", "meter"}
-_BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-# Words of a class, id or role that name what is no article text.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that are never article text, and those that are none unless they hold the page's article.
+_NEVER = frozenset("nav footer aside noscript template svg math canvas object button select option label legend dialog menu audio video map head input datalist output progress meter script style title textarea xmp iframe noembed noframes".split())
+_UNLESS_MAIN = frozenset("form fieldset header".split())
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that a region grows to, and open blocks that the start of another one ends (a paragraph ends at any block).
+_CONTAINERS = frozenset("html body div section td th center form fieldset article main".split())
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
+# Words of a class, id or role that name what is no article text, and words that may stand beside them.
 _NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsors sponsored promo promos promotion promoted banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs crumbs pagination pager toc sidebar sidebars aside rail widget widgets header masthead topbar toolbar footer foot footnav colophon copyright cookie cookies consent gdpr notice notices alert alerts popup modal overlay toast subscribe subscription newsletter signup login signin register paywall comment comments commentlist disqus discussion reply replies respond reviews related recommended recommendations suggestions trending popular share sharing social follow tags taglist form search searchbox searchform complementary contentinfo banner skip hidden tracking".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot sponsor sponsors sponsored promo promos promotion promotions banner banners nav navbar navigation navi menu menus breadcrumb breadcrumbs crumbs pagination pager sidebar sidebars aside rail widget widgets header masthead topbar toolbar footer foot footnav colophon cookie cookies consent gdpr notice notices alert alerts popup modal overlay toast subscribe subscription newsletter signup login signin paywall comment comments commentlist disqus respond related recommended recommendations suggestions trending share sharing social follow searchbox searchform complementary contentinfo skip tracking".split()
 )
-_MAIN_WORDS = frozenset("articlebody maincontent storybody main".split())
+_BESIDE = frozenset("box wrap wrapper container block section area list item items bar top bottom left right inner outer site page global primary secondary main post posts entry article articles story stories link links button buttons icons panel content body text unit slot zone row col column group media module region form media message policy law".split())
+_MAIN_NAMES = frozenset("main articlebody article-body".split())
 
 
-def _named(attrs: str) -> list[str]:
-    return [w.lower() for m in _NAMES.finditer(attrs) for w in _PART.findall(m[1])] if attrs else []
+class Item:
+    """A text run or a tag: kind (what its weight goes by), words, text, whether it is left out, and its element."""
 
+    __slots__ = ("kind", "noise", "owner", "text", "words")
 
-class Item:
-    """A text run or a tag: kind (what its weight goes by), words, text, and whether a block begins here."""
+    def __init__(self, kind: str, owner: int, text: str = "", words: int = 0):
+        self.kind, self.owner, self.text, self.words, self.noise = kind, owner, text, words, False
 
-    __slots__ = ("kind", "noise", "text", "words")
 
-    def __init__(self, kind: str, text: str = "", words: int = 0, noise: bool = False):
-        self.kind, self.text, self.words, self.noise = kind, text, words, noise
+class Element:
+    """Name, enclosing element, and its items from first to last; what its tag and its names say of it."""
 
+    __slots__ = ("first", "last", "main", "name", "named", "never", "parent", "state")
 
-def items(page: str) -> list[Item]:
-    """The page in order. Kinds: word:…, the tag's name, '\\n' for a comment that a labelled page marks."""
+    def __init__(self, name: str, parent: int, first: int):
+        self.name, self.parent, self.first, self.last = name, parent, first, -1
+        self.main = self.never = False
+        self.named, self.state = "", 0
+
+
+def _noise_name(names: list[str]) -> str:
+    """What noise the names tell of: "header", "noise" or nothing. Only a name whose every word fits tells."""
+    for name in names:
+        words = [w for w in map(str.lower, _PART.findall(name)) if len(w) > 1]
+        noise = [w for w in words if w in _NOISE_WORDS]
+        if noise and all(w in _NOISE_WORDS or w in _BESIDE for w in words):
+            return "header" if set(noise) <= {"header", "masthead"} else "noise"
+    return ""
+
+
+def parsed(page: str) -> tuple[list[Item], list[Element]]:
+    """The page in order, and its elements, each after the one it lies in. Item kinds: word:…, a tag's name, space,
+    and [ or ] for a comment that marks the region of a labelled page."""
     out: list[Item] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, noise, in the main part, noise only as an article's header
-    at, end = 0, len(page)
+    elements = [Element("", -1, 0)]
+    stack, blocks, scopes, opened = [0], [0], [Counter()], Counter()  # scopes: inline names open in each block
+    at = 0
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            e = elements[stack.pop()]
+            e.last = len(out)
+            opened[e.name] -= 1
+            if blocks[-1] == len(stack):
+                blocks.pop()
+                scopes.pop()
+            else:
+                scopes[-1][e.name] -= 1
 
     def text(to: int) -> None:
-        if to > at and (run := page[at:to]).strip():
-            run = entities.unescape(run) if "&" in run else run
-            noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            link = not main and any(s[0] == "a" for s in stack)
-            out.append(Item("word:link" if link else "word:main" if main else "word:other", run, len(run.split()), noise))
-        elif to > at:
-            out.append(Item("space", " ", 0))
-
-    def close(i: int) -> None:
-        del stack[i:]
-
-    while m := _ITEM.search(page, at):
-        text(m.start())
-        at = m.end()
-        name = m[2] or m[4]
-        if m[1] is not None:
-            if m[1] in ("[", "]"):
-                out.append(Item(m[1]))
+        if to > at:
+            run = page[at:to]
+            if run.isspace():
+                out.append(Item("space", stack[-1], " "))
+            else:
+                run = entities.unescape(run) if "&" in run else run
+                out.append(Item("word:link" if opened["a"] else "word:other", stack[-1], run, len(run.split())))
+
+    for what, name, inner, start, end in scan(page):
+        if what != "raw":
+            text(start)
+        at = end
+        if what == "comment" and inner in ("[", "]"):
+            out.append(Item(inner, stack[-1]))
+        elif what == "open":
+            block = name in _BLOCKS
+            if block:
+                ends = _ENDS.get(name, ())
+                while elements[stack[blocks[-1]]].name == "p" or elements[stack[blocks[-1]]].name in ends:
+                    pop(blocks[-1])
+            e = Element(name, stack[-1], len(out))
+            elements.append(e)
+            names = [w for m in _NAMES.finditer(inner) for w in m[1].strip("\"'").split()] if inner else []
+            e.main = name in ("article", "main") and "comment" not in names or any(w.lower() in _MAIN_NAMES for w in names)
+            e.never = name in _NEVER or name == "article" and not e.main or bool(inner and _HIDDEN.search(inner))
+            e.named = "" if e.main or name in _HEADINGS or name in ("html", "body", "") else _noise_name(names) or ("header" if name == "header" else "noise" if name in _UNLESS_MAIN else "")
+            out.append(Item(name, len(elements) - 1))
+            if name in _VOID or what == "raw" or inner.endswith("/"):
+                e.last = len(out)
+            else:
+                stack.append(len(elements) - 1)
+                opened[name] += 1
+                if block:
+                    blocks.append(len(stack) - 1)
+                    scopes.append(Counter())
+                else:
+                    scopes[-1][name] += 1
+        elif what == "raw":
+            pop(len(stack) - 1)
+        elif what == "close":
+            if name in _BLOCKS and opened[name]:
+                i = len(blocks) - 1
+                while elements[stack[blocks[i]]].name != name:
+                    i -= 1
+                to = blocks[i]
+            elif name not in _BLOCKS and scopes[-1][name]:
+                to = len(stack) - 1
+                while elements[stack[to]].name != name:
+                    to -= 1
+            else:
+                to = len(stack)
+            out.append(Item("/" + name, stack[to] if to < len(stack) else stack[-1]))
+            pop(to)
+    text(len(page)) if at < len(page) else None
+    at = len(page)
+    pop(1)
+    elements[0].last = len(out)
+    _settle(out, elements)
+    return out, elements
+
+
+def _settle(out: list[Item], elements: list[Element]) -> None:
+    """What is left out, and which words stand in the main part."""
+    never, inside = [False] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements):
+        if i:
+            never[i], inside[i] = e.never or never[e.parent], e.main or inside[e.parent]
+    upto = [0, *accumulate(0 if never[x.owner] else x.words for x in out)]
+    words = lambda e: upto[e.last] - upto[e.first]
+    mains = [e for i, e in enumerate(elements) if e.main and not never[i]]
+    main = max(mains, key=words, default=None)
+    for i, e in enumerate(elements):
+        if not i:
             continue
-        if name:
-            name, attrs = name.lower(), m[3] or m[5] or ""
-            if name in _BLOCKS:  # an open paragraph ends where a block begins
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] == name == "li":
-                        close(i)
-                        break
-                    if stack[i][0] in _BLOCKS:
-                        break
-            noise, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            words = _named(attrs)
-            own = name in _NOISE_TAGS or (name not in ("html", "body", "article", "main") and not _MAIN_WORDS.intersection(words) and bool(_NOISE_WORDS.intersection(words))) or (name == "article" and "comment" in words) or bool(attrs and _HIDDEN.search(attrs))
-            # of an article's own header, headings are text and the rest is not
-            in_header = bool(stack) and stack[-1][3]
-            own_header = name == "header" and main and not noise or in_header and not own
-            if in_header and not own and name in _HEADINGS:
-                noise = own_header = False
-            noise = noise or own
-            main = main or name in ("article", "main") or "articlebody" in "".join(words)
-            out.append(Item(name, noise=noise))
-            if name in _RAW:
-                ending = re.compile(f"</{name}(?![\\w-])[^>]*>?", re.I).search(page, at)
-                at = ending.end() if ending else end
-            elif name not in _VOID and not attrs.endswith("/"):
-                stack.append((name, noise, main, own_header))
-        elif m[6]:
-            name = m[6].lower()
-            noise = stack[-1][1] if stack else False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    noise = stack[i][1]
-                    close(i)
-                    break
-                if stack[i][0] in _BLOCKS and name not in _BLOCKS:
-                    break  # an inline tag does not close a block
-            out.append(Item("/" + name, noise=noise))
-    text(end)
+        around = elements[e.parent].state  # 0: text, 1: an article's own header, 2: left out
+        holds = e.first <= main.first and main.last <= e.last if main else 4 * words(e) >= 3 * upto[-1]
+        if around == 2 or e.never:
+            e.state = 2
+        elif e.named == "header" and inside[i]:
+            e.state = 1
+        elif e.named and not holds:
+            e.state = 2
+        else:
+            e.state = 0 if around == 1 and e.name in _HEADINGS else around
+    for x in out:
+        x.noise = elements[x.owner].state != 0
+        if x.words and inside[x.owner]:
+            x.kind = "word:main"
     if any(x.kind == "word:main" and not x.noise for x in out):
         for x in out:
             if x.kind == "word:other":
                 x.kind = "word:outside"
-    return out
+
+
+def items(page: str) -> list[Item]:
+    return parsed(page)[0]
 
 
 def fitted(pages: list[str]) -> dict[str, float]:
@@ -173,23 +248,60 @@ def region(page_items: list[Item], weights: dict[str, float]) -> tuple[int, int]
     return found
 
 
+def grown(found: list[Item], elements: list[Element], first: int, last: int) -> tuple[int, int]:
+    """The region, grown to the article element that holds it, or to whole blocks: the one block that holds it if
+    that has little else, or those of its children where the region begins and ends, with headings right before."""
+    if first >= last:
+        return first, last
+
+    def upward(i: int):
+        while i > 0:
+            yield elements[i]
+            i = elements[i].parent
+
+    def words(a: int, b: int) -> int:
+        return sum(x.words for x in found[a:b] if not x.noise)
+
+    around = next((e for e in upward(found[first].owner) if e.first <= first and e.last >= last), elements[0])
+    own = lambda i: next((e for e in upward(found[i].owner) if e.main), None)
+    left, right = own(first), own(last - 1)
+    if left or right:
+        if left and left is not right and around.first <= left.first:
+            whole = next((e for e in [around, *upward(max(around.parent, 0))] if e.main), None)
+            if whole:
+                return whole.first, whole.last
+        return min(first, left.first if left else first), max(last, right.last if right else last)
+    while around.name not in _CONTAINERS and around.parent >= 0:
+        around = elements[around.parent]
+    if around.name not in ("", "html", "body") and 5 * words(first, last) >= 4 * words(around.first, around.last):
+        first, last = around.first, around.last
+    else:
+        child = lambda i: next((e for e in upward(found[i].owner) if e is not around and elements[e.parent] is around), None)
+        left, right = child(first), child(last - 1)
+        first, last = min(first, left.first if left else first), max(last, right.last if right else last)
+    i = first - 1
+    while i >= 0 and (not found[i].words or found[i].noise):
+        i -= 1
+        if i >= 0 and found[i].words and not found[i].noise and (heading := next((e for e in upward(found[i].owner) if e.name in _HEADINGS), None)) and found[i].kind != "word:link":
+            first, i = heading.first, heading.first - 1
+    return first, last
+
+
 def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     if not page:
         return ""
-    found = items(page)
-    first, last = region(found, weights or default_weights())
+    found, elements = parsed(page)
+    first, last = grown(found, elements, *region(found, weights or default_weights()))
     blocks, now = [], []
     for x in found[first:last]:
         name = x.kind.lstrip("/")
-        if x.noise:
-            if name in _BLOCKS:
-                blocks.append(now)
-                now = []
-        elif x.text:
-            now.append(x.text)
-        elif name in _BLOCKS:
+        if name in _BLOCKS:
             blocks.append(now)
             now = []
+        elif x.noise:
+            continue
+        elif x.text:
+            now.append(x.text)
         elif name == "br":
             now.append(" ")
     blocks.append(now)

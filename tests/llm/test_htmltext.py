@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from rankloom.llm import htmltext
@@ -63,6 +65,58 @@ def test_blocks_space_and_references():
     assert htmltext.main_text(page) == f"a & bc A<i>\nx\ny\n{TEXT} {TEXT}"
 
 
+LONG = f"<p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p>"
+WANT = "\n".join([TEXT] * 3)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # names that only hold a noise word, and wrappers with one, around the whole page
+        (f'<div class="layout has-sidebar"><article>{LONG}</article></div>', WANT),
+        (f'<div id="page" class="with-header"><main>{LONG}</main></div>', WANT),
+        (f'<div class="content-and-comments">{LONG}</div>', WANT),
+        (f'<div class="page has-sidebar"><nav>Home</nav><article>{LONG}</article></div>', WANT),
+        (f'<div class="layout-no-banner"><article>{LONG}</article></div>', WANT),
+        (f'<div class="sidebar-left"><div><article>{LONG}</article></div></div>', WANT),
+        (f'<form id="aspnetForm" action="/"><input name="x"><nav>Home</nav><article>{LONG}</article><label>Mail</label></form>', WANT),
+        (f'<body><form method="post"><div>{LONG}</div><input type="submit"></form></body>', WANT),
+        # within an article
+        (f'<article><p>Buy <span class="share-price">12</span> now</p>{LONG}</article>', f"Buy 12 now\n{WANT}"),
+        (f'<article>{LONG}<div class="promo-code-explainer"><p>Main text.</p></div></article>', f"{WANT}\nMain text."),
+        (f'<article><h2 id="discussion">Discussion</h2>{LONG}<section id="reviews"><p>Good.</p></section><h2 class="section-header">End</h2></article>', f"Discussion\n{WANT}\nGood.\nEnd"),
+        (f'<article>{LONG}<div class="share-buttons"><a href="/f">Share</a></div><div class="related-articles"><article><p>{TEXT}</p></article></div></article>', WANT),
+        # what begins or ends the article
+        (f"<article><div><p>One.</p></div><div>{LONG}</div></article>", f"One.\n{WANT}"),
+        (f"<article><div><div><div><p>One.</p></div></div></div>{LONG}</article>", f"One.\n{WANT}"),
+        (f"<body><div>Tuesday</div><article><h1>T</h1><div><img><img><img><img></div>{LONG}</article></body>", f"T\n{WANT}"),
+        (f"<body><nav>x</nav><h1>T</h1><div><img><img><img><img></div><div>{LONG}</div></body>", f"T\n{WANT}"),
+        (f"<article><table><tr><td>A</td></tr></table>{LONG}</article>", f"A\n{WANT}"),
+        (f"<article>{LONG}<ul><li>a</li><li>b</li></ul></article>", f"{WANT}\na\nb"),
+        (f"<article>{LONG}<table><tr><td>1</td><td>2</td></tr></table></article>", f"{WANT}\n1\n2"),
+        (f"<div><a href='/'>Start</a></div><div>{LONG}<ul><li>a</li><li>b</li></ul></div><div>Imprint</div>", f"{WANT}\na\nb"),
+        # layout by tables, unclosed cells
+        (f"<table><tr><td><a href='/'>Start</a><br><a href='/x'>Shop</a><td>{LONG}</table>", WANT),
+        # quotes that matter, and quotes that don't
+        (f'<article title="a > b">{LONG}</article>', WANT),
+        (f"<article title=it's><p data-x='<p>no</p>'>{TEXT}</p>{LONG}</article>", f"{TEXT}\n{WANT}"),
+        (f"<article><p>1 < 2 & 3 > 2</p>{LONG}</article>", f"1 < 2 & 3 > 2\n{WANT}"),
+    ],
+)
+def test_hand_written_pages(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>x ", '<a b="', "<head>x ", "<p>", "<div>", "<i><div><b>", "</i>", "<li>", "<td>", "<a ='<a >'", "<!--", "<script>", '<b class="', "&", "<"])
+def test_hostile_pages_take_linear_time(part):
+    took = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        htmltext.main_text(part * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<p></p>", "<script>x", "<!--", "<", "<p", "</p></div>"])
 def test_nothing_to_find(page):
     assert htmltext.main_text(page) in ("", "<", "<p")
