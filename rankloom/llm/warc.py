@@ -27,18 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markup import scan
+
 VERSION = "WARC/1.1"
 #: The date of records built from pages, which have none.
 DATE = "2024-01-01T00:00:00Z"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
-_BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_META = re.compile(r"<meta\b[^>]*?\sname\s*=\s*[\"']?description[\"']?[^>]*?\scontent\s*=\s*(\"[^\"]*\"|'[^']*')", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_BLOCKS = frozenset("address article aside blockquote body br center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th tr ul".split())
+#: Elements whose content no reader sees, and those that a head may hold; any other ends an unclosed head.
+_UNSEEN = frozenset("head noscript template svg".split())
+_SPACED = _UNSEEN | {"script", "style"}
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+_LINKS = frozenset("a link img script iframe".split())
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 def digest(data: bytes) -> str:
@@ -129,18 +130,65 @@ def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
         return body.decode("utf-8", "replace")
 
 
-def plain_text(page: str) -> str:
-    """All text a reader sees, title included: a line for each block, white space as one space."""
-    title = _TITLE.search(page)
-    body = _TAGS.sub("", _BREAKS.sub("\x00", _DROPPED.sub(" ", _HEAD.sub(" ", page, count=1))))
-    lines = [title[1] if title else "", *body.split("\x00")]
-    lines = [" ".join(html.unescape(x).split()) for x in lines]
+def plain_text(page: str, marks: list | None = None) -> str:
+    """All text a reader sees, title included: a line for each block, white space as one space. marks: from ``scan``."""
+    title, parts, at, unseen = "", [], 0, ""
+    for what, name, inner, start, end in scan(page) if marks is None else marks:
+        if what == "raw":
+            if name == "title":
+                title = title or inner
+            elif name in ("textarea", "xmp") and not unseen:
+                parts.append(inner)
+        elif not unseen:
+            parts.append(page[at:start])
+        at = end
+        if what == "open":
+            if unseen == "head" and name not in _IN_HEAD:
+                unseen = ""
+            if not unseen and name in _UNSEEN and not inner.endswith("/"):
+                unseen = name
+        elif what == "close" and name == unseen:
+            unseen = ""
+        if not unseen:
+            if name in _BLOCKS:
+                parts.append("\x00")
+            elif what == "comment" or name in _SPACED:
+                parts.append(" ")
+    if not unseen:
+        parts.append(page[at:])
+    lines = [" ".join(html.unescape(x).split()) for x in [title, *"".join(parts).split("\x00")]]
     return "\n".join(x for x in lines if x)
 
 
-def description(page: str) -> dict:
-    first = lambda m: " ".join(html.unescape(m[1].strip("\"'")).split()) if m else None
-    return {"title": first(_TITLE.search(page)), "description": first(_META.search(page)), "language": first(_LANG.search(page)), "links": [{"tag": m[1].lower(), "url": html.unescape(m[2].strip("\"'"))} for m in _LINK.finditer(page)]}
+def attributes(inner: str) -> dict[str, str]:
+    """Names in lower case; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(inner):
+        found.setdefault(m[1].lower(), html.unescape((m[2] or "").strip("\"'")))
+    return found
+
+
+def description(page: str, marks: list | None = None) -> dict:
+    """Title, description, language and links in page order. marks: from ``scan``."""
+    title = about = language = None
+    links = []
+    for what, name, inner, _, _ in scan(page) if marks is None else marks:
+        if what == "raw" and name == "title" and title is None:
+            title = " ".join(html.unescape(inner).split())
+        elif what != "open":
+            continue
+        elif name in _LINKS and inner:
+            own = attributes(inner)
+            url = next((own[k] for k in own if k in ("href", "src") and own[k]), None)
+            if url is not None:
+                links.append({"tag": name, "url": url})
+        elif name == "meta" and about is None:
+            own = attributes(inner)
+            if own.get("name", "").lower() == "description" and "content" in own:
+                about = " ".join(own["content"].split())
+        elif name == "html" and language is None:
+            language = attributes(inner).get("lang") or None
+    return {"title": title, "description": about, "language": language, "links": links}
 
 
 def derived(record: bytes | None) -> list[dict]:
@@ -156,8 +204,9 @@ def derived(record: bytes | None) -> list[dict]:
     block_digest = value(headers, "WARC-Block-Digest") or digest(block)
     is_text = not value(http, "Content-Type") or "html" in value(http, "Content-Type").lower() or value(http, "Content-Type").lower().startswith("text/")
     page = decoded(http, payload) if is_text else ""
-    text = plain_text(page)
-    about = {"refers_to": source, "warc": [list(h) for h in headers], "http": {"status": status, "headers": [list(h) for h in http]}, "payload_digest": payload_digest, "block_digest": block_digest, "payload_length": len(payload), "page": description(page)}
+    marks = list(scan(page))
+    text = plain_text(page, marks)
+    about = {"refers_to": source, "warc": [list(h) for h in headers], "http": {"status": status, "headers": [list(h) for h in http]}, "payload_digest": payload_digest, "block_digest": block_digest, "payload_length": len(payload), "page": description(page, marks)}
     out = []
     for kind, content_type, body in (("metadata", "application/json", json.dumps(about, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
         own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), ("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("Content-Type", content_type), ("WARC-Block-Digest", digest(body)), ("X-Source-Payload-Digest", payload_digest), ("X-Source-Block-Digest", block_digest)]
@@ -198,6 +247,5 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def linked(pages: DataFrame) -> DataFrame:
-    """Both derivatives of every page: linked identifiers, digests and the SHA-256 of the whole record."""
-    out = derivatives(responses(pages), "page_id")
-    return out.select("page_id", *[f for f in _FIELDS if f != "record"], F.sha2("record", 256).alias("record_sha256"))
+    """Both derivatives of every page: the records themselves, with their linked identifiers and digests as columns."""
+    return derivatives(responses(pages), "page_id").select("page_id", *_FIELDS, F.sha2("record", 256).alias("record_sha256"))

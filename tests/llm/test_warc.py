@@ -2,6 +2,10 @@ import base64
 import gzip
 import hashlib
 import json
+import time
+import uuid
+
+import pytest
 
 from rankloom.llm import warc
 
@@ -38,6 +42,47 @@ def test_declared_digests_folded_headers_chunks_and_gzip():
     assert [h for h in json.loads(warc.parsed(meta["record"])[1])["http"]["headers"] if h[0] == "X-A"] == [["X-A", "1"], ["X-A", "2"]]
 
 
+def test_records_written_by_hand():
+    """Every byte of both records of a small response."""
+    page = "<html lang=en><title>T</title><p>One&amp;<b>two</b><!-- no --><p>x<a href='/l'>go</a></html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode()
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nWARC-Target-URI: http://a/\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    meta, text = warc.derived(record)
+    payload, block = sha(page.encode()), sha(http)
+    body = b"T\nOne&two\nxgo"
+
+    def whole(kind, content_type, body):
+        own = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind}\n<urn:uuid:1>")
+        lines = f"""WARC/1.1
+WARC-Type: {kind}
+WARC-Record-ID: <urn:uuid:{own}>
+WARC-Date: 2020-02-02T00:00:00Z
+WARC-Target-URI: http://a/
+WARC-Refers-To: <urn:uuid:1>
+WARC-Refers-To-Target-URI: http://a/
+WARC-Refers-To-Date: 2020-02-02T00:00:00Z
+Content-Type: {content_type}
+WARC-Block-Digest: {sha(body)}
+X-Source-Payload-Digest: {payload}
+X-Source-Block-Digest: {block}
+Content-Length: {len(body)}"""
+        return lines.replace("\n", "\r\n").encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    assert text["record"] == whole("conversion", "text/plain; charset=utf-8", body)
+    about = f"""{{"block_digest": "{block}", "http": {{"headers": [["Content-Type", "text/html"]], "status": "HTTP/1.1 200 OK"}}, "page": {{"description": null, "language": "en", "links": [{{"tag": "a", "url": "/l"}}], "title": "T"}}, "payload_digest": "{payload}", "payload_length": {len(page)}, "refers_to": "<urn:uuid:1>", "warc": [["WARC-Type", "response"], ["WARC-Record-ID", "<urn:uuid:1>"], ["WARC-Date", "2020-02-02T00:00:00Z"], ["WARC-Target-URI", "http://a/"], ["Content-Length", "{len(http)}"]]}}"""
+    assert meta["record"] == whole("metadata", "application/json", about.encode())
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>x ", '<a b="', "<head>x ", "<meta ", "<svg>", "<!--", "<title>", "<a href= "])
+def test_hostile_pages_take_linear_time(part):
+    took = []
+    for n in (10_000, 80_000):
+        start = time.process_time()
+        warc.derived(warc.response("u", part * n, "1"))
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
 def test_others_have_no_derivatives():
     for record in (None, b"", b"junk", b"\x1f\x8bjunk", warc.serialised([("WARC-Type", "request")], b"GET /")):
         assert warc.derived(record) == []
@@ -50,4 +95,5 @@ def test_pages(spark):
     assert len(got) == 10 and {r.type for r in got} == {"metadata", "conversion"}
     want = sorted((str(i), x["record_id"], hashlib.sha256(x["record"]).hexdigest()) for i, u, h, _ in rows for x in warc.derived(warc.response(u, h, str(i))))
     assert sorted((str(r.page_id), r.record_id, r.record_sha256) for r in got) == want
+    assert all(hashlib.sha256(r.record).hexdigest() == r.record_sha256 for r in got)
     assert warc.linked(pages.limit(0)).count() == 0
