@@ -15,11 +15,13 @@ WORDS = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names it.
 
-    Only where neither the setting nor the context has one (a local session, as in tests) a temporary
-    folder of this machine is made and set.
+    Only where neither the setting nor the context has one, in a local session as in tests, a temporary folder of
+    this machine is made and set. On a cluster that is an error: its machines would each write to their own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="rankloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -36,6 +38,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Working names that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def salt_of(key: Column, buckets: int) -> Column:
     """A bucket number that depends on the key alone."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")

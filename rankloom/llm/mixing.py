@@ -7,18 +7,17 @@ size, so what is taken stays within about one document's size of the target.
 
 Edge cases. Null text: size 0. Null source: a source of its own, the last in order. A source whose documents
 have no words: target 0, nothing is taken. Repeated rows: each is a document of its own, and takes its own place
-in the order. Empty table: empty result. Other columns pass through untouched.
+in the order; ties in size by id, then by the whole row. Null doc_id: a document like others. Very long texts: one
+size each. Empty table: empty result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORDS, staged
+from .common import WORDS, free, staged
 
 #: A key's rows are numbered in this many parts, so that a hot (source, size) is no single task.
 PARTS = 256
@@ -30,78 +29,73 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> dict[str | None, float]:
-    """Target of each source: its weight's part of ``share`` times all words, at most ``cap`` times its own size.
+def targets(totals: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """``totals`` (key, source_size) with target: its weight's part of ``share`` times all words, at most ``cap`` times
+    its own size.
 
-    The level of the weights is found in closed form: sources reach their cap in the order of cap / weight.
+    Keys weigh by their order. The level of the weights is found in closed form: sources reach their cap in the order of
+    cap / weight. Windows without a partition hold one small row a source, and no text.
     """
-    total = sum(size for _, size in sizes)
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    rows = [(source, cap * size, weights[i % len(weights)]) for i, (source, size) in enumerate(order)]
-    left, weight, level = share * total, sum(w for _, _, w in rows), float("inf")
-    for _, most, w in sorted(rows, key=lambda r: r[1] / r[2]):
-        if most / w > left / weight:
-            level = left / weight
-            break
-        left, weight = left - most, weight - w
-        if weight <= 0:
-            break
-    return {source: min(most, level * w) for source, most, w in rows}
-
-
-def offset_of(source: str | None, seed: str) -> float:
+    place = (F.row_number().over(W.orderBy("key")) - 1) % len(weights)
+    own = totals.withColumns({"w": F.element_at(F.array(*map(F.lit, map(float, weights))), place + 1), "most": F.lit(float(cap)) * F.col("source_size")})
+    order = W.orderBy(F.col("most") / F.col("w"), "key")
+    every = W.partitionBy(F.lit(1))
+    filled = F.coalesce(F.sum("most").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    level = (F.lit(float(share)) * F.sum("source_size").over(every) - filled) / F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))
+    found = own.withColumns({"level": level, "n": F.row_number().over(order)})
+    first = F.min_by(F.when(F.col("most") / F.col("w") > F.col("level"), F.col("level")), F.when(F.col("most") / F.col("w") > F.col("level"), F.col("n"))).over(every)
+    return found.select("key", "source_size", F.least("most", F.col("w") * F.coalesce(first, F.lit(float("inf")))).alias("target"))
+
+
+def offset_of(key: Column, seed: str) -> Column:
     """The source's random offset in [0, 1), the same in every run with this seed."""
-    return int(hashlib.md5(f"{seed}:{'-' if source is None else '+' + source}".encode()).hexdigest()[:8], 16) / 2**32
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def with_copies(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """``docs`` (doc_id, source, _size and any more) with _source_size, _target and _copies.
+def with_copies(docs: DataFrame, size: Column, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` (doc_id, source and any more) with four columns more: size, source_size, target and copies.
 
-    Collected to the driver: one row per source. Ranks within a source come from two levels of counts: per
-    (source, size), whose rows grow with the longest text and not with the table, and per part of a
-    (source, size); no window holds a source's documents.
+    Their names, which no column of ``docs`` has, are returned beside. Ranks within a source come from two levels of
+    counts: per (source, size), whose rows grow with the longest text and not with the table, and per part of a
+    (source, size); no window holds a source's documents. Parts go by the id, and by the whole row where it is null.
     """
-    spark = docs.sparkSession
-    if "_rank_in" in docs.columns:
-        raise ValueError("_rank_in is reserved")
-    parted = docs.withColumns(
-        {
-            "_key": F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")),
-            "_part": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2),
-            "_tie": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not dict(docs.dtypes)[c].startswith("map")]),
-        }
-    )
-    counts = staged(parted.groupBy("_key", "_size", "_part").agg(F.count("*").alias("_n")), "mix-counts")
-    totals = {r[0]: int(r[1] or 0) for r in counts.groupBy("_key").agg(F.sum(F.col("_size") * F.col("_n"))).collect()}
-    sizes = [(None if k == "-" else k[1:], v) for k, v in totals.items()]
-    goal = targets(sizes, share, cap, weights)
-    plan = spark.createDataFrame(
-        [("-" if s is None else "+" + s, size, goal[s], goal[s] / size if size else 0.0, offset_of(s, seed)) for s, size in sizes],
-        "_key string, _source_size long, _target double, _expected double, _offset double",
+    c = dict(zip(("size", "source_size", "target", "copies", "key", "part", "tie", "rank", "n", "before", "within", "expected", "offset"), free(docs, *(f"_{x}" for x in ("size", "source_size", "target", "copies", "key", "part", "tie", "rank", "n", "before", "within", "expected", "offset"))), strict=True))
+    own = F.xxhash64(*[F.col(f"`{x}`") for x, t in docs.dtypes if not t.startswith("map")])
+    in_part = F.coalesce(F.col("doc_id").cast("string"), own.cast("string"))
+    parted = docs.withColumns({c["size"]: size, c["key"]: F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")), c["part"]: F.substring(F.md5(in_part.cast("binary")), 1, 2), c["tie"]: own})
+    counts = staged(parted.groupBy(c["key"], c["size"], c["part"]).agg(F.count("*").alias(c["n"])), "mix-counts")
+    totals = counts.groupBy(F.col(c["key"]).alias("key")).agg(F.sum(F.col(c["size"]) * F.col(c["n"])).alias("source_size"))
+    goal = targets(totals, share, cap, weights)
+    plan = staged(
+        goal.select(
+            F.col("key").alias(c["key"]), F.col("source_size").alias(c["source_size"]), F.col("target").alias(c["target"]), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(c["expected"]), offset_of(F.col("key"), seed).alias(c["offset"])
+        ),
+        "mix-plan",
     )
-    by_size = counts.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
-    by_size = by_size.select("_key", "_size", F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy(F.desc("_size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    in_part = counts.select("_key", "_size", "_part", F.coalesce(F.sum("_n").over(W.partitionBy("_key", "_size").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_in"))
-    starts = in_part.join(by_size, ["_key", "_size"]).select("_key", "_size", "_part", (F.col("_before") + F.col("_in")).alias("_start")).join(F.broadcast(plan), "_key")
-    ranked = parted.withColumn("_rank_in", F.row_number().over(W.partitionBy("_key", "_size", "_part").orderBy("doc_id", "_tie")))
-    step = lambda r: F.floor(F.col("_expected") * r + F.col("_offset"))
-    rank = F.col("_start") + F.col("_rank_in")
-    return ranked.join(starts, ["_key", "_size", "_part"]).withColumn("_copies", step(rank) - step(rank - 1)).select(*docs.columns, "_source_size", "_target", "_copies")
+    upto = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    by_size = counts.groupBy(c["key"], c["size"]).agg(F.sum(c["n"]).alias(c["n"]))
+    by_size = by_size.select(c["key"], c["size"], F.coalesce(F.sum(c["n"]).over(upto(c["key"]).orderBy(F.desc(c["size"]))), F.lit(0)).alias(c["before"]))
+    within = counts.select(c["key"], c["size"], c["part"], F.coalesce(F.sum(c["n"]).over(upto(c["key"], c["size"]).orderBy(c["part"])), F.lit(0)).alias(c["within"]))
+    starts = within.join(by_size, [c["key"], c["size"]]).join(plan, c["key"])
+    ranked = parted.withColumn(c["rank"], F.row_number().over(W.partitionBy(c["key"], c["size"], c["part"]).orderBy("doc_id", c["tie"])))
+    rank = F.col(c["before"]) + F.col(c["within"]) + F.col(c["rank"])
+    step = lambda r: F.floor(F.col(c["expected"]) * r + F.col(c["offset"]))
+    out = ranked.join(starts, [c["key"], c["size"], c["part"]]).withColumn(c["copies"], (step(rank) - step(rank - 1)).cast("long"))
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns], *(c[x] for x in ("size", "source_size", "target", "copies"))), c
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words in the mix, repeats counted) and copies."""
-    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("_size")), "mix-sizes")
-    return with_copies(sized, **how).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_copies").cast("long").alias("copies")
-    )
+    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("words")), "mix-sizes")
+    out, c = with_copies(sized, F.col("words"), **how)
+    return out.select("doc_id", *(F.col(c[x]).alias(x) for x in ("size", "source_size", "target")), (F.col(c["copies"]) * F.col(c["size"])).alias("taken"), F.col(c["copies"]).alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as many times as it is taken."""
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    out = with_copies(sized, **how).where(F.col("_copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    out, c = with_copies(docs, size_of(F.col("text")), **how)
+    (copy,) = free(out, "_copy")
+    return out.where(F.col(c["copies"]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(c["copies"]).cast("int")))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def oracle(seed: str = "mix") -> str:

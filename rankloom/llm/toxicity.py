@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, staged
+from .common import crc_rest, free, staged
 
 #: Labelled rows of each class at most; terms of the model at most; documents of the sample that a term must be in.
 MOST, TERMS, LEAST = 5_000, 40_000, 4
@@ -187,10 +187,10 @@ def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFram
 def report(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     out = scored(docs.select("doc_id", "text"), fitted(docs, labels, label))
-    return out.select("doc_id", (crc_rest(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_rest(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """``docs`` without the rows that the machine finds toxic."""
-    column = "_toxicity"
+    (column,) = free(docs, "_toxicity")
     return scored(docs, fitted(docs, labels, label), column).where(F.col(column) < 0.5).drop(column)

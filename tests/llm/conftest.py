@@ -3,12 +3,13 @@ import random
 import pytest
 
 #: Columns beside those that operators read, with names that operators use themselves.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, length long, rank int, fp long"
+WORKING = "_first _size _key _part _rank_in _toxicity _kept _copies _copy _tie _target _n size key part target copies id u v m".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, length long, rank int, fp long, " + ", ".join(f"`{c}` int" for c in WORKING)
 
 
 def made(spark, rows):
     """Documents (doc_id, text, source) with clashing columns beside."""
-    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 0.5, 3, 1, 9) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 0.5, 3, 1, 9, *range(len(WORKING))) for i, t, s in rows], SCHEMA)
 
 
 def odd_rows(seed=0, n=60):

@@ -30,8 +30,9 @@ def by_rounds(sizes, share=1.5, cap=2.0, weights=(3, 1, 2)):
 
 
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 1000, None: 50}, {"a": 0, "b": 5}, {"x": 7}, {}, {"é": 3, "z": 900, "a": 40, "Z": 40, None: 0}])
-def test_targets(sizes):
-    got = mixing.targets(list(sizes.items()))
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([("-" if s is None else f"+{s}", n) for s, n in sizes.items()], "key string, source_size long")
+    got = {None if r.key == "-" else r.key[1:]: r.target for r in mixing.targets(rows).collect()}
     want = by_rounds(sizes)
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 for s in got)
 

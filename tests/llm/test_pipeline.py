@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from rankloom.llm import packing, pii, toxicity
 
-from .test_simhash import jaccard_groups, near_brute
+from .conftest import WORKING
+from .test_simhash import jaccard_groups
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -24,7 +25,7 @@ def test_stages_against_brute_force(spark, sf):
     kept = {r.doc_id: r for r in out["toxicity"].collect()}
     assert kept.keys() == {r.doc_id for r in out[""].select("doc_id").collect()} - toxic
     one = {r.doc_id: r for r in out["near_dedup"].collect()}
-    assert one.keys() == set(near_brute(sorted(kept), [kept[i].text for i in sorted(kept)]))
+    assert one.keys() == set(jaccard_groups([(i, kept[i].text, "") for i in sorted(kept)]).values())
     masked = {r.doc_id: r.text for r in out["pii"].collect()}
     assert masked == {i: pii.masked(r.text) for i, r in one.items()} and not any(pii.plain_spans(t) for t in masked.values())
     mixed = Counter(r.doc_id for r in out["mixing"].collect())
@@ -42,3 +43,15 @@ def test_near_dedup_keeps_one_of_each_group_of_exact_similarity(spark, sf):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
     assert kept == set(jaccard_groups(rows).values())
+
+
+def test_stages_leave_other_columns_alone(spark, sf, odd):
+    """Columns with the names that operators work with come through each stage as they are."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == odd.columns and out.schema == odd.schema, name
+        rows = out.collect()
+        assert rows and all(tuple(r[c] for c in WORKING) == tuple(range(len(WORKING))) for r in rows), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.count() >= docs.count()
