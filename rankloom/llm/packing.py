@@ -15,7 +15,9 @@ its own. Null doc_id: a document like others. Empty table: empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
-#: Text pieces whose ids a worker remembers, the first it meets.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
+#: Letters below this code point are spelled here; lower case and normal form are theirs alone there.
+LATIN = 0x250
+#: Signs that end a word, and aren't letters, digits or white space.
+ENDINGS = ",.;:!?)\"'"
 #: A length's pieces are numbered in this many parts, so that a hot length is no single task.
 PARTS = 256
 
@@ -38,49 +44,65 @@ def tokenizer_file(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def id_bytes(path: str | None = None) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit numbers.
+class Words(dict):
+    """The ids of words, as bytes, in two generations: when the younger is full it becomes the older, which is forgotten.
 
-    The vocabulary drops white space, so a text's ids are those of its parts between blanks and newlines, which recur. A
-    part in plain Latin letters that is new is cut as the vocabulary's splitter would, and only the merges are left
-    to the library; any other part, and one that may hold a special token, goes through all of it.
+    A word in plain Latin letters is cut as the vocabulary's splitter would, and only the merges are left to the
+    library; any other word, and one that may hold a special token, goes through all of it.
     """
-    import regex
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(path or tokenizer_file())
-    encode, merge = vocabulary.encode, vocabulary.model.tokenize
-    cuts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-    # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-    known, merged = {"": b""}, {}
-
-    def of_cut(cut: str) -> bytes:
-        if (out := merged.get(cut)) is None:
-            spelled = cut if cut.isascii() else "".join(letters[b] for b in cut.encode())
-            out = np.array([t.id for t in merge(spelled)], "<u4").tobytes()
-            if len(merged) < REMEMBERED and len(cut) <= 64:
-                merged[cut] = out
+
+    def __init__(self, path: str | None, most: int):
+        import regex
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.vocabulary = Tokenizer.from_file(path or tokenizer_file())
+        self.merge, self.most, self.older = self.vocabulary.model.tokenize, most, {}
+        self.cuts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.spelled = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(LATIN)}
+
+    def of_cut(self, cut: str) -> bytes:
+        """A piece that the splitter leaves whole; as a word of its own it has the same ids."""
+        if (out := self.get(cut)) is None and (out := self.older.get(cut)) is None:
+            out = array("I", [t.id for t in self.merge(cut if cut.isascii() else cut.translate(self.spelled))]).tobytes()
+            self.keep(cut, out)
         return out
 
-    def fresh(part: str) -> bytes:
-        if part.isprintable() and (part.isascii() or max(part) < "\u0250" and "\u0130" not in part) and "<|" not in part:
-            out = b"".join(map(of_cut, cuts(part.lower())))
-        else:
-            out = np.array(encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(known) < REMEMBERED and len(part) <= 64:
-            known[part] = out
+    def keep(self, word: str, out: bytes) -> bytes:
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
-    def ids(text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(known.get, parts))
-        if None in found:
-            found = [fresh(p) if f is None else f for p, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+    def __missing__(self, word: str) -> bytes:
+        if (out := self.older.get(word)) is None:
+            if not (word.isascii() or max(word) < chr(LATIN) and "\u0130" not in word) or not word.isprintable() or "<|" in word:
+                out = array("I", self.vocabulary.encode(word, add_special_tokens=False).ids).tobytes()
+            elif (run := word.rstrip(ENDINGS)).isalpha():  # letters, then perhaps one run of other signs
+                lower = run.lower()
+                out = self.of_cut(lower)
+                if lower == word:
+                    return out
+                if len(run) < len(word):
+                    out += self.of_cut(word[len(run) :])
+            else:
+                out = b"".join(map(self.of_cut, self.cuts(word.lower())))
+        return self.keep(word, out)
+
+
+@lru_cache(maxsize=2)
+def id_bytes(path: str | None = None) -> Callable[[str], bytes]:
+    """text -> its ids as little-endian unsigned 32-bit numbers. A worker process keeps it, with its memory, over tasks.
 
-    return ids
+    The vocabulary drops white space, so a text's ids are those of its parts between blanks and newlines, which recur.
+    """
+    of = Words(path, REMEMBERED).__getitem__
+    return lambda text: b"".join(map(of, text.replace("\n", " ").split(" ")))
 
 
 def cut(path: str | None, capacity: int, end_id: int):
