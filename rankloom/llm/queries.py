@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, htmltext, mixing, ngram, packing, pii, simhash, topk, toxicity, warc
-from .common import staged
+from .common import staged, vectors_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    vectors = staged(vectors_of(table(spark, sf_dir, "embeddings")), "topk-all")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20, scale=64)
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

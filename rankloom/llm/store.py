@@ -8,6 +8,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -40,6 +41,24 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
         return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
 
 
+def put_rows(folder: str, name: str, rows: pa.Table | pa.RecordBatch) -> None:
+    """Write rows as one Arrow file, in one step as ``put`` does."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, rows.schema) as out:
+        out.write(rows)
+    put(folder, name, np.frombuffer(sink.getvalue(), np.uint8))
+
+
+def rows(folder: str, name: str) -> pa.Table:
+    """The rows, mapped in place if the folder is mounted here, else read."""
+    system, path = _place(folder)
+    file = f"{path}/{name}"
+    if isinstance(system, fs.LocalFileSystem):
+        return pa.ipc.open_file(pa.memory_map(file)).read_all()
+    with system.open_input_stream(file) as source:
+        return pa.ipc.open_file(pa.py_buffer(source.read())).read_all()
+
+
 @lru_cache(maxsize=256)
 def _opened(folder: str, name: str):
     system, path = _place(folder)
