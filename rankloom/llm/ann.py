@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import salt_of, staged, vectors_of
-from .topk import by_length
+from .common import salt_of, staged, staged_path, vectors_of
+from .store import put_rows, rows
+from .topk import by_length, dealt
 
 #: Vectors of a shard, queries of a block.
 SHARD, QUERY_BLOCK = 8192, 1024
@@ -164,7 +165,7 @@ def packed(shard: dict) -> bytes:
     return b"".join([np.array(head, "<i4").tobytes(), *(m.astype("<i4").tobytes() for pair in zip(shard["nodes"], shard["graph"], strict=True) for m in pair)])
 
 
-def unpacked(data: bytes, mat: np.ndarray) -> dict:
+def unpacked(data, mat: np.ndarray) -> dict:
     flat = np.frombuffer(data, "<i4")
     n, at = int(flat[0]), 1 + 2 * int(flat[0])
     nodes, graph = [], []
@@ -183,58 +184,68 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "vec", "ids")
 
 
-def index(vectors: DataFrame, k: int, shard: int = SHARD, links: int = LINKS, candidates: int = CANDIDATES) -> tuple[DataFrame, int]:
-    """Shards (v, n, ids, ends, mat, graph) of ``vectors`` by length n of the vectors, and their number; staged."""
+def index(vectors: DataFrame, k: int, folder: str, shard: int = SHARD, links: int = LINKS, candidates: int = CANDIDATES) -> tuple[int, list[int]]:
+    """Build the shards of ``vectors`` as files of ``folder``; returns their number, and the numbers that got no vector.
+
+    A file has a row for each length n of its vectors: n, ids, ends, mat, graph.
+    """
+    spark = vectors.sparkSession
     each = staged(distinct_vectors(vectors, k), "ann-distinct")
     count = max(1, -(-each.count() // shard))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows = pa.RecordBatch.from_struct_array(batch.column("rows")[i].values)
-                length = np.asarray(rows.column("vec").value_lengths())
-                for n in np.unique(length):
-                    part = rows.take(pa.array(np.flatnonzero(length == n)))
-                    ids, mat = part.column("ids"), np.asarray(part.column("vec").flatten()).reshape(-1, n)
-                    graph = packed(build(np.asarray(part.column("vec_id")), mat, links, candidates))
-                    ends = np.cumsum(np.asarray(ids.value_lengths()))
-                    cols = [batch.column("v")[i].as_py(), int(n), np.asarray(ids.flatten()).astype("<i8").tobytes(), ends.astype("<i8").tobytes(), mat.astype("<f8").tobytes(), graph]
-                    yield pa.record_batch([pa.array([c], t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["v", "n", "ids", "ends", "mat", "graph"])
+    def write(table: pa.Table) -> pa.Table:
+        number = table.column("_shard")[0].as_py()
+        table = table.combine_chunks().sort_by("vec_id")
+        length = np.asarray(table.column("vec").combine_chunks().value_lengths())
+        out = []
+        for n in np.unique(length):
+            part = table.take(pa.array(np.flatnonzero(length == n)))
+            ids, mat = part.column("ids").combine_chunks(), np.asarray(part.column("vec").combine_chunks().flatten()).reshape(-1, n)
+            graph = packed(build(np.asarray(part.column("vec_id")), mat, links, candidates))
+            out.append((int(n), np.asarray(ids.flatten()).astype("<i8").tobytes(), np.cumsum(np.asarray(ids.value_lengths())).astype("<i8").tobytes(), mat.astype("<f8").tobytes(), graph))
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.large_binary()] * 4), strict=True)]
+        put_rows(folder, f"shard-{number}", pa.table(cols, names=["n", "ids", "ends", "mat", "graph"]))
+        return pa.table({"id": pa.array([number], pa.int64())})
 
-    rows = each.groupBy(salt_of(F.col("vec_id"), count).alias("v")).agg(F.collect_list(F.struct("vec_id", "vec", "ids")).alias("rows"))
-    return staged(rows.mapInArrow(run, "v int, n int, ids binary, ends binary, mat binary, graph binary"), "ann-index"), count
+    there = staged(each.withColumn("_shard", salt_of(F.col("vec_id"), count)).groupBy("_shard").applyInArrow(write, "id long"), "ann-shards")
+    return count, [r[0] for r in spark.range(count).join(there, "id", "left_anti").collect()]
 
 
-def found(k: int, beam: int):
-    """Of each pair of query block and shard: (query_id, vec_id, score), the k best ids of each query."""
+def found(folder: str, q_count: int, none: frozenset[int], k: int, beam: int):
+    """shard numbers -> (query_id, vec_id, score), the k best ids of each query in the shard, query block by query block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n = batch.column("n")[i].as_py()
-                q = by_length(batch.column("q_rows")[i]).get(n)
-                if q is None:
-                    continue
-                ids, ends, mat = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("ids", "<i8"), ("ends", "<i8"), ("mat", "<f8")))
-                mat, starts = mat.reshape(-1, n), np.concatenate([[0], ends[:-1]])
-                got = search(unpacked(batch.column("graph")[i].as_py(), mat), unit(q["mat"]).astype(np.float32), k + 1, beam)
-                row, col = np.nonzero(got >= 0)
-                at = got[row, col]
-                a, b = q["mat"][row], mat[at]
-                score = cosine(a, b)
-                times = ends[at] - starts[at]
-                row, score = np.repeat(row, times), np.repeat(score, times)
-                vec = ids[np.repeat(starts[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                other = vec != q["vec_id"][row]
-                row, score, vec = row[other], score[other], vec[other]
-                order = np.lexsort((vec, -score, row))
-                row, score, vec = row[order], score[order], vec[order]
-                best = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.record_batch([pa.array(q["vec_id"][row[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+        for number in (x for batch in batches for x in batch.column(0).to_pylist()):
+            shard = rows(folder, f"shard-{number}")
+            parts = {}
+            for i, n in enumerate(shard.column("n").to_pylist()):
+                ids, ends, mat = (np.frombuffer(shard.column(c)[i].as_buffer(), t) for c, t in (("ids", "<i8"), ("ends", "<i8"), ("mat", "<f8")))
+                mat = mat.reshape(-1, n)
+                parts[n] = ids, ends, np.concatenate([[0], ends[:-1]]), mat, unpacked(shard.column("graph")[i].as_buffer(), mat)
+            for block in (b for b in range(q_count) if b not in none):
+                queries = by_length(rows(folder, f"q-{block}"))
+                for n in queries.keys() & parts.keys():
+                    yield _best(queries[n], *parts[n], k, beam)
 
     return run
 
 
+def _best(q: dict, ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, mat: np.ndarray, graph: dict, k: int, beam: int) -> pa.RecordBatch:
+    got = search(graph, unit(q["mat"]).astype(np.float32), k + 1, beam)
+    row, col = np.nonzero(got >= 0)
+    at = got[row, col]
+    score = cosine(q["mat"][row], mat[at])
+    times = ends[at] - starts[at]
+    row, score = np.repeat(row, times), np.repeat(score, times)
+    vec = ids[np.repeat(starts[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    other = vec != q["vec_id"][row]
+    row, score, vec = row[other], score[other], vec[other]
+    order = np.lexsort((vec, -score, row))
+    row, score, vec = row[order], score[order], vec[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pa.record_batch([pa.array(q["vec_id"][row[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision; rows are scaled first only where squares would leave its range."""
     big = np.maximum(np.abs(a).max(axis=1), np.abs(b).max(axis=1))
@@ -248,14 +259,19 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest that the index finds. Collected: two row counts."""
-    shards, count = index(vectors, k, shard)
+    """(query_id, rank, vec_id, score): the k nearest that the index finds.
+
+    Shards and query blocks lie as files in the shared folder: a task maps one shard, reads the query blocks one
+    after another, and sends k rows a query. Collected: two row counts, and the numbers of empty shards and blocks.
+    """
+    spark = vectors.sparkSession
+    folder = staged_path(spark, "ann")
+    count, empty = index(vectors, k, folder, shard)
     n_blocks = max(1, -(-queries.count() // query_block))
-    blocks = queries.groupBy(salt_of(F.col("vec_id"), n_blocks).alias("q")).agg(F.collect_list(F.struct("vec_id", "vec")).alias("q_rows"))
-    pairs = blocks.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).join(shards, "v")
-    pairs = pairs.select("q_rows", "n", "ids", "ends", "mat", "graph").repartition(max(1, min(4096, n_blocks * count)))
+    none = frozenset(dealt(queries.select("vec_id", "vec"), n_blocks, folder, "q"))
+    numbers = spark.range(0, count, 1, count).where(~F.col("id").isin(empty) if empty else F.lit(True))
+    out = numbers.mapInArrow(found(folder, n_blocks, none, k, beam), "query_id long, vec_id long, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = pairs.mapInArrow(found(k, beam), "query_id long, vec_id long, score double")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
