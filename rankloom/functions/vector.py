@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def doubles(vec: Column) -> Column:
     return vec.cast("array<double>")
 
 
+def usable(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose vector is there, without null or non-finite components."""
+    return rows.where(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

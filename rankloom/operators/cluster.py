@@ -45,9 +45,12 @@ def _slices(spark: SparkSession, centroids: DataFrame):
     return [spark.sparkContext.broadcast((ids[i : i + step], matrix[i : i + step])) for i in range(0, len(ids), step)]
 
 
-def _batch_vectors(batch: pa.RecordBatch) -> np.ndarray:
-    col = batch.column("vec")
-    return np.asarray(col.flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+def _batch_vectors(batch: pa.RecordBatch, length: int) -> np.ndarray:
+    """The batch's vectors as a matrix; an error if one has another length."""
+    vec = batch.column("vec")
+    if vec.null_count or len(batch) and (np.asarray(vec.value_lengths()) != length).any():
+        raise ValueError(f"a vector that has not {length} components")
+    return np.asarray(vec.flatten()).reshape(batch.num_rows, length)
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -60,12 +63,16 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def assigned(vectors: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:
-    """(docid, cluster, distance): the nearest centroid of every vector by L2, ties to the smaller cluster."""
+    """(docid, cluster, distance): the nearest centroid of every vector by L2, ties to the smaller cluster.
+
+    Vectors null, or with null or non-finite components, take no part; one of another length than the centroids is an
+    error. Without centroids: cluster -1.
+    """
     parts = _slices(vectors.sparkSession, centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _batch_vectors(batch)
+            x = _batch_vectors(batch, parts[0].value[1].shape[1]) if parts else np.zeros((batch.num_rows, 0))
             best, cluster = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
             for part in parts:
                 ids, c = part.value
@@ -76,21 +83,22 @@ def assigned(vectors: DataFrame, centroids: DataFrame, column: str = "embedding"
                 best, cluster = np.where(closer, near, best), np.where(closer, ids[at], cluster)
             yield pa.record_batch([batch.column("docid"), pa.array(cluster), pa.array(best)], names=["docid", "cluster", "distance"])
 
-    return vectors.select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "docid string, cluster long, distance double")
+    return V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "docid string, cluster long, distance double")
 
 
 def nearest_documents(vectors: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:
     """(cluster, docid, distance): of every centroid the nearest vector of the whole corpus, ties to the smaller id.
 
-    A batch sends one row for each centroid; the rest is an aggregate.
+    A batch sends one row for each centroid; the rest is an aggregate. Rows without an id, and vectors as in
+    ``assigned``, take no part.
     """
     parts = _slices(vectors.sparkSession, centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not parts:
                 continue
-            x, names = _batch_vectors(batch), np.array(batch.column("docid").to_pylist(), object)
+            x, names = _batch_vectors(batch, parts[0].value[1].shape[1]), np.array(batch.column("docid").to_pylist(), object)
             order = np.argsort(names, kind="stable")
             x, names = x[order], names[order]
             for part in parts:
@@ -98,7 +106,7 @@ def nearest_documents(vectors: DataFrame, centroids: DataFrame, column: str = "e
                 at = _distances(x, c).argmin(0)
                 yield pa.record_batch([pa.array(ids), pa.array(names[at].tolist(), pa.string()), pa.array(((x[at] - c) ** 2).sum(1))], names=["cluster", "docid", "distance"])
 
-    near = vectors.select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "cluster long, docid string, distance double")
+    near = V.usable(vectors, column).where(F.col("docid").isNotNull()).select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "cluster long, docid string, distance double")
     return near.groupBy("cluster").agg(F.min(F.struct("distance", "docid")).alias("n")).select("cluster", "n.docid", "n.distance")
 
 
@@ -127,9 +135,15 @@ def quotas(cluster_sizes: DataFrame, n_train: int, compat: bool = False) -> Data
     return ranked.select("cluster", "size", F.least(F.col("quota") + bonus, F.col("size")).alias("quota"))
 
 
+def _few(centroids: DataFrame) -> DataFrame:
+    """``centroids``, broadcast if the matrix is within ``LARGEST_MATRIX`` bytes; else the join is left to the planner."""
+    numbers = centroids.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+    return F.broadcast(centroids) if 8 * numbers <= LARGEST_MATRIX else centroids
+
+
 def affinities(assignment: DataFrame, vectors: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:
     """(cluster, docid, cos): every vector's cosine to its own centroid."""
-    own = assignment.select("docid", "cluster").join(vectors.select("docid", F.col(column).alias("_v")), "docid").join(F.broadcast(centroids), "cluster")
+    own = assignment.select("docid", "cluster").join(vectors.select("docid", F.col(column).alias("_v")), "docid").join(_few(centroids), "cluster")
     return own.select("cluster", "docid", V.cosine(F.col("_v"), F.col("centroid")).alias("cos"))
 
 
@@ -137,7 +151,7 @@ def softmax(affinity: DataFrame, temperature: float = 1.0) -> DataFrame:
     """(cluster, docid, p): shares that sum to 1 in a cluster. Sums are joined back: no cluster is one task's window."""
     weighted = affinity.withColumn("_w", F.exp(F.col("cos") / F.lit(temperature)))
     total = weighted.groupBy("cluster").agg(F.sum("_w").alias("_total"))
-    return weighted.join(F.broadcast(total), "cluster").select("cluster", "docid", (F.col("_w") / F.col("_total")).alias("p"))
+    return weighted.join(total, "cluster").select("cluster", "docid", (F.col("_w") / F.col("_total")).alias("p"))
 
 
 def cosine_sse(affinity: DataFrame) -> DataFrame:
@@ -147,7 +161,7 @@ def cosine_sse(affinity: DataFrame) -> DataFrame:
 
 def fit_centroids(vectors: DataFrame, k: int, seed: int = SAMPLER_SEED, iterations: int = ITERATIONS, column: str = "embedding") -> DataFrame:
     """(cluster, centroid) by k-means; vectors are cached while it iterates."""
-    points = vectors.select(array_to_vector(V.doubles(F.col(column))).alias("features")).cache()
+    points = V.usable(vectors, column).select(array_to_vector(V.doubles(F.col(column))).alias("features")).cache()
     try:
         model = KMeans(k=k, maxIter=iterations, tol=0.0, seed=seed).fit(points)
     finally:

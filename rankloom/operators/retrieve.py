@@ -18,6 +18,8 @@ from ..functions import vector as V
 TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 #: Queries of a block, and documents that a task scores against it at once.
 QUERY_BLOCK, AT_ONCE = 1024, 4096
+#: Parts of a probed partition, and queries whose distances to centroids are held at once.
+PARTS, PROBE_ROWS = 8, 256
 
 _TERM = re.compile(r"[a-z0-9]+").findall
 
@@ -32,13 +34,14 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int |
     """(qid, docid, rank, score) by inner product, exact.
 
     Queries go out in blocks of a bounded size, a pass of the vectors for each; a task keeps its own best k of each
-    query, so what is shuffled is k rows a query and task. digits: scores are rounded before they are ranked.
+    query, so what is shuffled is k rows a query and task. digits: scores are rounded before they are ranked. Vectors
+    null, or with null or non-finite components, take no part; vectors of unlike lengths are an error.
     """
-    spark = queries.sparkSession
+    spark, queries = queries.sparkSession, V.usable(queries, column)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     numbered = queries.select("qid", V.doubles(F.col(column)).alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    docs = vectors.select("docid", V.doubles(F.col(column)).alias("vec"))
+    docs = V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec"))
     out = None
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).orderBy("qid").collect()
@@ -72,6 +75,7 @@ class _Best:
 
 def _scored(shared, k: int, digits: int | None):
     """A task's own best k of each query, sent once, at its end."""
+    from .cluster import _batch_vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
@@ -81,7 +85,7 @@ def _scored(shared, k: int, digits: int | None):
                 part = batch.slice(lo, AT_ONCE)
                 ids = np.array(part.column(0).to_pylist(), "U")
                 order = np.argsort(ids, kind="stable")
-                s = q @ np.asarray(part.column(1).flatten()).reshape(len(ids), -1)[order].T
+                s = q @ _batch_vectors(part, q.shape[1])[order].T
                 best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
         yield best.rows(names)
 
@@ -218,30 +222,49 @@ def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
     return best.groupBy("qid", "docid").agg(F.sum("sim").alias("score"))
 
 
-def probed(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES, column: str = "embedding") -> DataFrame:
-    """Approximate (qid, docid, rank, score): only partitions of the nearest centroids are scored."""
+def probed(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES, column: str = "embedding", digits: int | None = None) -> DataFrame:
+    """Approximate (qid, docid, rank, score): only partitions of the nearest centroids are scored.
+
+    A popular partition is a hot key of the join on both sides; it is dealt into ``PARTS`` parts by the document, and
+    the queries that probe it, far fewer, go to each part.
+    """
     from .cluster import assigned
 
-    parts = vectors.join(assigned(vectors, centroids, column).select("docid", "cluster"), "docid").select("cluster", "docid", F.col(column).alias("dvec"))
-    scored = _probes(queries, centroids, probes, column).join(parts, "cluster").select("qid", "docid", V.dot(F.col("qvec"), F.col("dvec")).alias("score"))
+    vectors = V.usable(vectors, column)
+    part = F.pmod(F.xxhash64("docid"), F.lit(PARTS)).cast("int")
+    homes = vectors.join(assigned(vectors, centroids, column).select("docid", "cluster"), "docid").select("cluster", "docid", F.col(column).alias("dvec"), part.alias("part"))
+    near = _probes(queries, centroids, probes, column).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    score = V.dot(F.col("qvec"), F.col("dvec"))
+    scored = near.join(homes, ["cluster", "part"]).select("qid", "docid", (score if digits is None else F.round(score, digits)).alias("score"))
     return top_of_each(scored, k).select("qid", "docid", "rank", "score")
 
 
 def _probes(queries: DataFrame, centroids: DataFrame, few: int, column: str) -> DataFrame:
-    """(qid, qvec, cluster): the few nearest centroids of each query."""
-    rows = centroids.orderBy("cluster").collect()
-    ids, matrix = np.array([r["cluster"] for r in rows], np.int64), np.array([r["centroid"] for r in rows], float)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    """(qid, qvec, cluster): the few nearest centroids of each query, ties to the smaller cluster.
+
+    Centroids are held in slices of bounded size, distances a batch of rows at a time; of each slice the nearest stay.
+    """
+    from .cluster import _batch_vectors, _distances, _slices
+
+    slices = _slices(queries.sparkSession, centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, c = shared.value
-            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            near = np.argsort(((x[:, None, :] - c[None]) ** 2).sum(2), axis=1, kind="stable")[:, :few]
-            at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(own[near.ravel()])], names=["qid", "qvec", "cluster"])
-
-    return queries.select("qid", V.doubles(F.col(column)).alias("qvec")).mapInArrow(run, "qid string, qvec array<double>, cluster long")
+            for lo in range(0, batch.num_rows, PROBE_ROWS):
+                rows = batch.slice(lo, PROBE_ROWS)
+                far, cluster = np.zeros((rows.num_rows, 0)), np.zeros((rows.num_rows, 0), np.int64)
+                for shared in slices:
+                    ids, c = shared.value
+                    d = _distances(_batch_vectors(rows, c.shape[1]), c)
+                    near = np.argpartition(d, min(few, d.shape[1]) - 1, axis=1)[:, :few] if few < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                    far, cluster = np.concatenate([far, np.take_along_axis(d, near, 1)], 1), np.concatenate([cluster, ids[near]], 1)
+                    best = np.lexsort((cluster, far), axis=1)[:, :few]
+                    far, cluster = np.take_along_axis(far, best, 1), np.take_along_axis(cluster, best, 1)
+                at = pa.array(np.repeat(np.arange(rows.num_rows), cluster.shape[1]))
+                yield pa.record_batch([rows.column(0).take(at), rows.column(1).take(at), pa.array(cluster.ravel())], names=["qid", "qvec", "cluster"])
+
+    rows = V.usable(queries, column).select("qid", V.doubles(F.col(column)).alias("vec"))
+    return rows.mapInArrow(run, "qid string, qvec array<double>, cluster long")
 
 
 def partition_centroids(tokens: DataFrame, partitions: int, share: float = 0.3, seed: int = 0, column: str = "dvec") -> DataFrame:
@@ -252,7 +275,7 @@ def partition_centroids(tokens: DataFrame, partitions: int, share: float = 0.3,
     return fit_centroids(some.select(F.col(column).alias("embedding")), partitions, seed)
 
 
-def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES) -> DataFrame:
+def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES, digits: int | None = None) -> DataFrame:
     """(qid, docid, rank, score): documents with a token in a probed partition, scored in full by ``max_sim``.
 
     query_tokens: (qid, qpos, qvec); doc_tokens: (docid, pos, dvec). Each query token probes its nearest partitions.
@@ -264,7 +287,9 @@ def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, centroids:
     where = keyed.select("key", "docid").join(homes, "key").select("cluster", "docid").distinct()
     near = _probes(query_tokens.select("qid", F.col("qvec").alias("embedding")), centroids, probes, "embedding").select("qid", "cluster").distinct()
     chosen = near.join(where, "cluster").select("qid", "docid").distinct()
-    return top_of_each(max_sim(query_tokens, chosen.join(doc_tokens, "docid").select("qid", "docid", "dvec")), k).select("qid", "docid", "rank", "score")
+    found = max_sim(query_tokens, chosen.join(doc_tokens, "docid").select("qid", "docid", "dvec"))
+    found = found if digits is None else found.withColumn("score", F.round("score", digits))
+    return top_of_each(found, k).select("qid", "docid", "rank", "score")
 
 
 def pool_stats(run: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:

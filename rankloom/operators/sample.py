@@ -28,7 +28,7 @@ def pool(affinity: DataFrame, quota: DataFrame, seeds: tuple[int, ...] = DRAW_SE
     cos / temperature plus Gumbel noise. The rank filter stands right on the window, so each map task keeps no more
     than it can contribute.
     """
-    own = affinity.join(F.broadcast(quota.select("cluster", "quota")), "cluster")
+    own = affinity.join(quota.select("cluster", "quota"), "cluster")
     draws = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), (F.col("cos") / F.lit(temperature) - F.log(-F.log(uniform(F.col("docid"), s)))).alias("key")) for s in seeds]))
     most = quota.agg(F.max("quota")).first()[0] or 0
     w = W.partitionBy("cluster", "seed").orderBy(F.desc("key"), "docid")
@@ -41,7 +41,7 @@ def seed_similarity(pooled: DataFrame, vectors: DataFrame, seeds: DataFrame, col
     """(cluster, docid, quota, sim): cosine to the cluster's seed document, which may lie outside of the pool."""
     v = vectors.select("docid", F.col(column).alias("vec"))
     of_seed = seeds.select("cluster", "docid").join(v, "docid").select("cluster", F.col("vec").alias("seed_vec"))
-    return pooled.join(v, "docid").join(F.broadcast(of_seed), "cluster").select("cluster", "docid", "quota", "vec", V.cosine(F.col("vec"), F.col("seed_vec")).alias("sim"))
+    return pooled.join(v, "docid").join(of_seed, "cluster").select("cluster", "docid", "quota", "vec", V.cosine(F.col("vec"), F.col("seed_vec")).alias("sim"))
 
 
 def pair_similarity(pooled: DataFrame, vectors: DataFrame, column: str = "embedding") -> DataFrame:

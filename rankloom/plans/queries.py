@@ -113,7 +113,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="rankloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -341,7 +345,7 @@ def kmeans_sizes(spark, d):
 
 @query()
 def elbow_curve(spark, d):
-    return rounded(cluster.elbow_curve(vectors(spark, d), (5, 10, 50), iterations=20), "sse", digits=4)
+    return rounded(cluster.elbow_curve(vectors(spark, d)), "sse", digits=4)
 
 
 # ---- retrieval -----------------------------------------------------------------------------------------------------
@@ -367,10 +371,10 @@ def bm25_multifield(spark, d):
     return retrieve.bm25_top(topics(spark, d), fields, {"contents": 1.0, "title": 1.0}, 100, 6)
 
 
-@query(f"WITH {_BM25} SELECT qid, docid, round(score, 6) AS score FROM body WHERE qid::INT % 10 = 0")
+@query(f"WITH {_BM25} SELECT qid, docid, round(score, 6) AS score FROM body")
 def bm25_all_scores(spark, d):
     """The relational form: every document that shares a term with a topic."""
-    return rounded(retrieve.bm25(topics(spark, d).where(F.col("qid").cast("int") % 10 == 0), docs(spark, d)), "score")
+    return rounded(retrieve.bm25(topics(spark, d), docs(spark, d)), "score")
 
 
 @query(f"WITH {_RUN} SELECT count(*) AS pooled, sum(n)::BIGINT AS occurrences, count(*) FILTER (docid NOT IN (SELECT doc_id::VARCHAR FROM documents)) AS missing FROM (SELECT docid, count(*) AS n FROM run GROUP BY docid)")
@@ -389,38 +393,50 @@ def passages_per_query(spark, d):
 
 
 def _candidates(spark, d):
-    return retrieve.candidates(_bm25_run(spark, d, 20), topics(spark, d), docs(spark, d))
+    return retrieve.candidates(_bm25_run(spark, d), topics(spark, d), docs(spark, d))
 
 
-@query(f"WITH {_BMRUN} SELECT r.qid, b.text AS qtext, r.docid, r.rank, d.text FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid JOIN benchmark b ON b.item_id::VARCHAR = r.qid WHERE r.rank <= 20 AND d.text <> ''")
+@query(f"WITH {_BMRUN} SELECT r.qid, b.text AS qtext, r.docid, r.rank, d.text FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid JOIN benchmark b ON b.item_id::VARCHAR = r.qid WHERE d.text <> ''")
 def testdata_flat(spark, d):
     return files.flat(files.nested(_candidates(spark, d)))
 
 
-@query(f"WITH {_BMRUN} SELECT r.qid, count(*) AS passages, arg_min(r.docid, r.rank) AS best FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid WHERE r.rank <= 20 AND d.text <> '' GROUP BY r.qid")
+@query(f"WITH {_BMRUN} SELECT r.qid, count(*) AS passages, arg_min(r.docid, r.rank) AS best FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid WHERE d.text <> '' GROUP BY r.qid")
 def testdata_nested(spark, d):
     return files.nested(_candidates(spark, d)).select("qid", F.size("passages").cast("long").alias("passages"), F.col("passages")[0][0].alias("best"))
 
 
-@query()
+@query(f"WITH {_RUN} SELECT qid, docid, rank, score FROM run")
 def probed_top100(spark, d):
-    return rounded(retrieve.probed(dense_queries(spark, d), vectors(spark, d), centroids(spark, d), 100, 4), "score")
+    """With as many probes as the operator's default and fewer partitions than that, the search is exact."""
+    return retrieve.probed(dense_queries(spark, d), vectors(spark, d), centroids(spark, d), 100, digits=6)
+
+
+_TOKENS = "tok AS (SELECT docid, vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS t FROM emb, range(4) r(p))"
+_MAXSIM = "SELECT q.docid AS qid, e.docid, q.p, max(-(list_distance(q.t, e.t) ** 2)) AS sim FROM tok q JOIN tok e"
+
 
+def tokens(spark, d, vec):
+    """(docid, vec_id, pos, vec): a vector's four quarters, as the token vectors of a text."""
+    return vectors(spark, d).select("docid", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.slice("embedding", p * 16 + 1, 16))).alias("pos", vec))
 
-@query(f"WITH {_EMB}, tok AS (SELECT docid, vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS t FROM emb, range(4) r(p)), s AS (SELECT q.docid AS qid, e.docid, q.p, max(-(list_distance(q.t, e.t) ** 2)) AS sim FROM tok q JOIN tok e ON q.vec_id % 50 = 0 AND e.vec_id // 50 = q.vec_id // 50 GROUP BY ALL) SELECT qid, docid, round(sum(sim), 6) AS score FROM s GROUP BY ALL")
+
+def query_tokens(spark, d):
+    return tokens(spark, d, "qvec").where("vec_id % 50 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), "qvec")
+
+
+@query(f"WITH {_RUN}, {_TOKENS}, s AS ({_MAXSIM} ON q.vec_id % 50 = 0 JOIN run ON run.qid = q.docid AND run.docid = e.docid GROUP BY ALL) SELECT qid, docid, round(sum(sim), 6) AS score FROM s GROUP BY ALL")
 def late_interaction_maxsim(spark, d):
-    tok = vectors(spark, d).select("docid", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.slice("embedding", p * 16 + 1, 16))).alias("pos", "vec"))
-    q = tok.where("vec_id % 50 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), F.col("vec").alias("qvec"))
-    near = tok.select((F.floor(F.col("vec_id") / 50) * 50).cast("string").alias("qid"), "docid", F.col("vec").alias("dvec"))
-    return rounded(retrieve.max_sim(q, near), "score")
+    """The dense run's 100 candidates of each query, scored by late interaction."""
+    near = dense_run(spark, d).select("qid", "docid").join(tokens(spark, d, "dvec").select("docid", "dvec"), "docid")
+    return rounded(retrieve.max_sim(query_tokens(spark, d), near), "score")
 
 
-@query()
+@query(f"WITH {_EMB}, {_TOKENS}, s AS ({_MAXSIM} ON q.vec_id % 50 = 0 GROUP BY ALL), t AS (SELECT qid, docid, round(sum(sim), 6) AS score FROM s GROUP BY ALL) SELECT * FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM t) WHERE rank <= 100")
 def late_interaction_search(spark, d):
-    tok = vectors(spark, d).select("docid", "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.slice("embedding", p * 16 + 1, 16))).alias("pos", "dvec"))
-    q = tok.where("vec_id % 50 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), F.col("dvec").alias("qvec"))
-    found = retrieve.late_interaction(q, tok.drop("vec_id"), retrieve.partition_centroids(tok, 16), 100, 2)
-    return rounded(found, "score")
+    """With as many probes as the operator's default and fewer partitions than that, the search is exact."""
+    tok = tokens(spark, d, "dvec").drop("vec_id")
+    return retrieve.late_interaction(query_tokens(spark, d), tok, retrieve.partition_centroids(tok, 16), 100, digits=6)
 
 
 # ---- mining --------------------------------------------------------------------------------------------------------
@@ -513,7 +529,7 @@ def generate_queries(spark, d):
 def rerank_and_evaluate(spark, d):
     t = topics(spark, d)
     texts = docs(spark, d)
-    first = retrieve.bm25_top(t, texts, {"doctext": 1.0}, 20, 6)
+    first = retrieve.bm25_top(t, texts, {"doctext": 1.0}, 100, 6)
     second = evaluate.reranked(rounded(models.reranker_scores(retrieve.candidates(first, t, texts)), "score"))
     return evaluate.metrics(second, first.where("rank = 1").select("qid", "docid", F.lit(1).alias("rel")))
 

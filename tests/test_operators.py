@@ -187,3 +187,42 @@ def test_stream_cleans_queries(spark, tmp_path):
     query = streaming.cleaned_to(streaming.generated_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     assert query.awaitTermination(60)
     assert sorted(r.qtext for r in spark.read.json(str(tmp_path / "out")).collect()) == ["how", "what"]
+
+
+def test_vectors_that_take_no_part(spark):
+    """Null vectors, and null or non-finite components, are left out; another length is an error, never another row's numbers."""
+    rows = [("a", [1.0, 2.0]), ("b", None), ("c", [3.0, 4.0]), ("d", [None, 1.0]), ("e", [float("nan"), 1.0]), ("f", [float("inf"), 1.0])]
+    v = spark.createDataFrame(rows, "docid string, embedding array<double>")
+    c = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 3.0])], "cluster long, centroid array<double>")
+    assert {r.docid: r.cluster for r in cluster.assigned(v, c).collect()} == {"a": 0, "c": 1}
+    assert {r.cluster: r.docid for r in cluster.nearest_documents(v.unionAll(spark.createDataFrame([(None, [0.0, 0.0])], v.schema)), c).collect()} == {0: "a", 1: "c"}
+    q = v.withColumnRenamed("docid", "qid")
+    assert {(r.qid, r.docid): r.score for r in retrieve.dense(q, v, 5).collect()} == {("a", "a"): 5, ("a", "c"): 11, ("c", "a"): 11, ("c", "c"): 25}
+    assert {(r.qid, r.docid) for r in retrieve.probed(q, v, c, 5, 1).collect()} == {("a", "a"), ("c", "c")}
+    odd = v.unionAll(spark.createDataFrame([("g", [1.0])], v.schema))
+    for f in (lambda: cluster.assigned(odd, c), lambda: retrieve.dense(q, odd, 5)):
+        with pytest.raises(Exception, match="2 components"):
+            f().collect()
+
+
+def test_probes_over_many_centroids(spark):
+    """20,000 centroids in slices of bounded size, against all distances at once."""
+    rng = np.random.default_rng(0)
+    c, q = rng.normal(size=(20_000, 8)), rng.normal(size=(30, 8))
+    cent = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "cluster long, centroid array<double>")
+    rows = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(q)], "qid string, embedding array<double>")
+    got = {}
+    for r in retrieve._probes(rows, cent, 32, "embedding").collect():
+        got.setdefault(int(r.qid), set()).add(r.cluster)
+    want = np.argsort(((q[:, None] - c[None]) ** 2).sum(2), axis=1)[:, :32]
+    assert got == {i: set(w.tolist()) for i, w in enumerate(want)}
+
+
+def test_recall_grows_with_probes(spark, sf):
+    """Of the ten nearest: vectors without structure, 16 partitions, 4 probes, 8, and all, which are exact."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("docid"), "embedding")
+    q = v.where("docid % 50 = 0").withColumnRenamed("docid", "qid")
+    cent = cluster.fit_centroids(v, 16, iterations=20)
+    few, half, every = ({(r.qid, r.docid) for r in retrieve.probed(q, v, cent, 10, n).collect()} for n in (4, 8, 16))
+    assert every == {(r.qid, r.docid) for r in retrieve.dense(q, v, 10).collect()}
+    assert 0.25 * len(every) < len(few & every) < len(half & every) <= len(every)
