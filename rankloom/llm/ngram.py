@@ -1,23 +1,25 @@
-"""A bigram model with interpolated modified Kneser-Ney smoothing, counted in Spark and memory-mapped by workers.
-
-Counting. Words are 64-bit hashes. A task sorts and merges the bigrams of a million tokens at a time and sends
-each slice of the contexts' hash range one block, as sorted arrays. A slice's reducer merges its blocks and writes the
-model's arrays to the shared folder: the sorted hashes of its bigrams with their counts, and of its contexts with
-their totals. What the lower order needs, the number of tokens and of distinct words before each word, goes out in a
-second, smaller shuffle, and is written by slices of the word's hash range. Contexts that hold over a quarter
-of a usual slice are spread over all slices by the whole bigram's hash, and their totals added up.
-
-Scoring. Workers map the arrays and look hashes up by binary search, many tokens at a time. A word's
-probability after its context is the discounted share of the bigram, plus the share that the context's discounts set
-free, given out by the lower order: the discounted share of distinct contexts before the word, interpolated with one
-equal part for every known word and one for all unknown ones.
-
-The order is two: in texts like these, distinct trigrams are nearly as many as tokens, and a model that keeps them
-all takes about twice the disk that the counting may use.
-
-Edge cases. Null or empty text: the end token alone, after the start. Repeated rows: each counts, and is scored.
-No training rows: every token has probability 1, the only part there is. Very long texts are cut into no windows.
-Empty table: empty result.
+"""A trigram model with interpolated modified Kneser-Ney smoothing, counted in Spark and memory-mapped by workers.
+
+Words. A first pass counts the words' 64-bit hashes. A slice of the hash range numbers its words by falling frequency,
+and a word's id is rank * slices + slice, so that ids of frequent words are small numbers all over.
+
+Counting. A task sorts and merges the trigrams (u, v, w) of up to a million tokens at a time and sends each slice of the
+middle words one compressed block. All trigrams around a middle word v meet in one reducer, which so knows the contexts
+(u, v) with what follows them, the bigrams (v, w) with the number of distinct u before them, and v itself as a context;
+it writes them to the shared folder as sorted hash arrays: of a key the upper 40 bits, enough within a slice of
+bounded size, with its counts. Contexts that occur once are not written: that (u, v) was seen tells all of them.
+Middle words that hold over a quarter of a usual slice are spread over all slices by (u, v), and their bigrams summed in
+a second, smaller shuffle. The number of distinct words before each word goes to the word slices.
+
+Scoring. Workers map the arrays and look keys up by binary search, many tokens at a time. A word's probability after its
+context is the discounted share of the trigram, plus the share that the context's discounts set free, given out by the
+bigram of distinct words before, and that in turn by the unigram of distinct words before, interpolated with one equal
+part for every known word and one for all unknown ones. Lower orders use those continuation counts throughout.
+
+Edge cases. Null or empty text: the end token alone, after the start. Null doc_id: a text like others, never held out.
+Repeated rows: each counts, and is scored. No training rows: every token has probability 1, the only part there is. Very
+long texts: whole, their trigrams run over the pieces in which they are sorted. Ties: words of one frequency are
+numbered by hash. Other columns are not read. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,20 +28,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_rest, staged, staged_path
 from .store import mapped, put
 
-#: Tokens that a task merges at once, and scores at once; tokens of a slice; slices at least.
-FLUSH, SCORE_AT_ONCE, SLICE, SLICES = 1_000_000, 250_000, 1_000_000, 16
-END, START = np.uint64(xxhash.xxh64_intdigest(b"\x00end")), np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
+#: Tokens that a task merges at once (2^20 at most), and scores at once; tokens of a slice; slices at least; the model's order, 2 or 3.
+FLUSH, SCORE_AT_ONCE, SLICE, SLICES, ORDER = 1 << 20, 250_000, 2_000_000, 16, 3
+START = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 _END = xxhash.xxh64_digest(b"\x00end")
+END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Id of the start, which no word has, and of words that the model doesn't know.
+BEGIN, UNKNOWN = np.uint64(0), np.uint64(2**63)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -79,11 +84,12 @@ def tokens(texts, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         yield np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(ends), done + len(ends)
 
 
-def contexts(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[np.concatenate([[0], ends[:-1]])] = START
-    return before
+def before(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each token the one before it in its text, ``BEGIN`` for the first."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[np.concatenate([[0], ends[:-1]])] = BEGIN
+    return out
 
 
 def _column(batches: Iterator[pa.RecordBatch], at: int = 0):
@@ -102,87 +108,268 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[begin], *(np.add.reduceat(v[order].astype(np.int64), begin) for v in values))
 
 
-def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every flush: its tokens and texts, and the contexts that hold over a thousandth of it."""
-    before = 0
-    for h, ends, done in tokens(_column(batches), FLUSH):
-        word, n = np.unique(contexts(h, ends), return_counts=True)
-        top = n * 1000 > len(h)
-        yield pa.record_batch([pa.array(np.concatenate([word[top], [END, START]]).view(np.int64)), pa.array(np.concatenate([n[top], [0, 0]])), pa.array([0] * int(top.sum()) + [len(h), 0]), pa.array([0] * int(top.sum()) + [0, done - before])], names=["word", "n", "tokens", "texts"])
-        before = done
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of numbers below 2^32, compressed byte by byte of the numbers: upper bytes are nearly all zero."""
+    planes = [np.array([len(c) for c in columns], "<u4").tobytes()]
+    planes += [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def blocks(count: int, hot: np.ndarray):
-    """Of every flush: one block for each slice, its bigrams merged and sorted by context."""
+def loosened(data: bytes, count: int) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    at, out = 4 * count, []
+    for n in flat[:at].view("<u4").tolist():
+        out.append(np.ascontiguousarray(flat[at : at + 4 * n].reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
+def _rows(kind: str, parts: np.ndarray, count: int, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
+    """Rows (kind, slice, block) of columns dealt by ``parts``."""
+    order = np.argsort(parts, kind="stable")
+    cuts = np.searchsorted(parts[order], np.arange(count + 1))
+    columns = [c[order] for c in columns]
+    return [(kind, i, squeezed(*(c[a:b] for c in columns))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+_BLOCKS = "kind string, slice int, block binary"
+_STATS = ("c1", "c2", "c3", "c4", "b1", "b2", "b3", "b4")
+
+
+def _table(rows: list[tuple[str, int, bytes]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["kind", "slice", "block"])
+
+
+def word_blocks(count: int):
+    """Of every flush: its distinct words' hashes with their counts, a block for each word slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ends, _ in tokens(_column(batches), FLUSH):
-            c = contexts(h, ends)
-            key = pair_key(c, h)
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            c, h, key = c[first], h[first], key[first]
-            at = np.where(np.isin(c, hot), sliced(key, count), sliced(c, count))
-            order = np.lexsort((c, at))
-            c, h, n, at = c[order], h[order], n[order].astype("<u4"), at[order]
-            cuts = np.searchsorted(at, np.arange(count + 1))
-            rows = [(i, *_block(c[a:b], h[a:b], n[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_pydict(dict(zip(("slice", "contexts", "runs", "words", "counts"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([("slice", pa.int32()), *((x, pa.binary()) for x in ("contexts", "runs", "words", "counts"))]))
+        for h, _, _ in tokens(_column(batches), FLUSH):
+            word, n = np.unique(h, return_counts=True)
+            table = _table(_rows("count", sliced(word, count), count, (word >> np.uint64(32)), word & np.uint64(2**32 - 1), n))
+            yield from table.to_batches()
 
     return run
 
 
-def _block(c: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[bytes, ...]:
-    begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    return c[begin].tobytes(), np.diff(np.append(begin, len(c))).astype("<u4").tobytes(), h.tobytes(), n.tobytes()
-
-
-def merged(folder: str, words_in: int, hot: np.ndarray):
-    """A slice's reducer: writes its arrays; returns word blocks for the lower order, and its sums."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["slice"].iloc[0])
-        c = np.concatenate([np.repeat(np.frombuffer(x, np.uint64), np.frombuffer(r, "<u4")) for x, r in zip(pdf["contexts"], pdf["runs"], strict=True)])
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["words"]])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]])
-        del pdf
-        key = pair_key(c, w)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n, key, first = np.add.reduceat(n[order].astype(np.int64), begin), key[begin], order[begin]
-        c, w = c[first], w[first]
-        del order, first, begin
-        put(folder, f"pair-{part}.keys", key)
-        put(folder, f"pair-{part}.few", np.minimum(n, 255).astype("u1"))
-        many = n >= 255
-        put(folder, f"pair-{part}.many-keys", key[many])
-        put(folder, f"pair-{part}.many", n[many].astype("<u8"))
-        own, total, one, two, more = summed(c, n, n == 1, n == 2, n >= 3)
-        is_hot = np.isin(own, hot)
-        put(folder, f"context-{part}.keys", own[~is_hot])
-        put(folder, f"context-{part}.sums", np.stack([total, one, two, more], 1)[~is_hot].astype("<u8" if total.sum() >= 2**32 else "<u4"))
-        put(folder, f"context-{part}.wide", np.array([total.sum() >= 2**32], "u1"))
-        word, count, before = summed(w, n, np.ones(len(n), np.int64))
-        at = sliced(word, words_in)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(words_in + 1))
-        rows = [{"kind": "word", "slice": i, "a": word[order[x:y]].tobytes(), "b": count[order[x:y]].astype("<u8").tobytes(), "c": before[order[x:y]].astype("<u4").tobytes()} for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-        rows.append({"kind": "hot", "slice": part, "a": own[is_hot].tobytes(), "b": np.stack([total, one, two, more], 1)[is_hot].astype("<u8").tobytes(), "c": np.array([(n == i).sum() for i in range(1, 5)], "<u8").tobytes()})
-        return pd.DataFrame(rows, columns=["kind", "slice", "a", "b", "c"])
+def numbered(folder: str):
+    """A word slice's reducer: writes hashes in order, their ranks, and counts by rank; returns words and tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("slice")[0].as_py()
+        high, low, n = (np.concatenate(c) for c in zip(*(loosened(x, 3) for x in _column([table.combine_chunks().to_batches()[0]], 2)), strict=True))
+        word, count = summed(high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64), n)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(word), "<u4")
+        rank[order] = np.arange(len(word))
+        put(folder, f"word-{part}.keys", word.astype("<u8"))
+        put(folder, f"word-{part}.rank", rank)
+        put(folder, f"word-{part}.counts", count[order].astype("<u8"))
+        return pa.table({"slice": pa.array([part], pa.int32()), "words": [len(word)], "tokens": [int(count.sum())]})
+
+    return run
+
+
+@dataclass
+class Words:
+    """Where the word slices lie."""
+
+    folder: str
+    slices: int
+    there: frozenset[int]
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """Ids of hashes in order."""
+        ids, parts = np.full(len(h), UNKNOWN), sliced(h, self.slices)
+        order = np.argsort(parts, kind="stable")
+        cuts = np.searchsorted(parts[order], np.arange(self.slices + 1))
+        for part in self.there:
+            i = order[cuts[part] : cuts[part + 1]]
+            if len(i):
+                have = mapped(self.folder, f"word-{part}.keys", "<u8")
+                at = np.minimum(np.searchsorted(have, h[i]), len(have) - 1)
+                hit = have[at] == h[i]
+                ids[i[hit]] = mapped(self.folder, f"word-{part}.rank", "<u4")[at[hit]].astype(np.uint64) * np.uint64(self.slices) + np.uint64(part + 1)
+        return ids
+
+    def numbers(self, ids: np.ndarray, name: str, kind: str) -> np.ndarray:
+        """What the file of that name has, by rank, for ids; zero for unknown ones."""
+        out = np.zeros(len(ids), np.int64)
+        known = (ids != UNKNOWN) & (ids != BEGIN)
+        at = ids - np.uint64(1)
+        parts = np.where(known, (at % np.uint64(self.slices)).astype(np.int64), -1)
+        for part in np.unique(parts[parts >= 0]):
+            i = np.flatnonzero(parts == part)
+            out[i] = mapped(self.folder, f"word-{part}.{name}", kind)[(at[i] // np.uint64(self.slices)).astype(np.int64)]
+        return out
+
+
+def slice_of(v: np.ndarray, u: np.ndarray, hot: np.ndarray, count: int) -> np.ndarray:
+    """The slice of trigrams with these first and middle words."""
+    own = pair_key(v, _A)
+    return sliced(np.where(np.isin(v, hot), pair_key(u, own), own), count)
+
+
+def trigram_blocks(words: Words, count: int, hot: np.ndarray, order: int, flush: int):
+    """Of every flush: one block for each slice, its trigrams merged: middle words, first words, last words, counts."""
+    bits, low = np.uint64(21), np.uint64((1 << 21) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, ends, _ in tokens(_column(batches), flush):
+            for lo in range(0, len(h), flush):
+                two = max(0, lo - 2)  # the words before run over from the piece before
+                part = h[two : lo + flush]
+                own, at = np.unique(part, return_inverse=True)
+                ids = np.append(words.look_up(own), BEGIN)
+                at = at.astype(np.uint64)
+                stops = ends[(ends > two) & (ends < two + len(part))] - two
+                begin, start = np.uint64(len(own)), np.concatenate([[0], stops]) if two == 0 or np.any(ends == two) else stops
+                v = np.concatenate([[begin], at[:-1]])
+                v[start] = begin
+                if order == 2:
+                    u = np.full(len(at), begin)
+                else:
+                    u = np.concatenate([[begin], v[:-1]])
+                    u[start] = begin
+                key = (v << bits << bits | u << bits | at)[lo - two :]
+                key.sort()
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                n, key = np.diff(np.append(first, len(key))), key[first]
+                v, u, w = ids[(key >> bits >> bits).astype(np.int64)], ids[(key >> bits & low).astype(np.int64)], ids[(key & low).astype(np.int64)]
+                parts = slice_of(v, u, hot, count)
+                deal = np.argsort(parts, kind="stable")
+                cuts = np.searchsorted(parts[deal], np.arange(count + 1))
+                v, u, w, n = v[deal], u[deal], w[deal], n[deal]
+                yield from _table([("tri", i, _block(v[a:b], u[a:b], w[a:b], n[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]).to_batches()
+
+    return run
+
+
+def _block(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Runs of (v, u) once each."""
+    first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (u[1:] != u[:-1])]))
+    head = v[first]
+    middle = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    return squeezed(head[middle], np.diff(np.append(middle, len(head))), u[first], np.diff(np.append(first, len(v))), w, n)
+
+
+def _unblock(data: bytes) -> tuple[np.ndarray, ...]:
+    middle, runs, u, lengths, w, n = loosened(data, 6)
+    return tuple(x.astype(np.uint64) for x in (np.repeat(np.repeat(middle, runs), lengths), np.repeat(u, lengths), w, n))
+
+
+def put_table(folder: str, name: str, keys: np.ndarray, *numbers: np.ndarray) -> None:
+    """A sorted hash array: upper 32 bits, 8 bits more, and the numbers, small ones in a byte (two if several)."""
+    put(folder, f"{name}.high", (keys >> np.uint64(32)).astype("<u4"))
+    put(folder, f"{name}.low", (keys >> np.uint64(24) & np.uint64(255)).astype("u1"))
+    values = np.stack(numbers, 1).astype(np.int64)
+    most = 255 if len(numbers) == 1 else 65535
+    many = np.flatnonzero((values >= most).any(axis=1))
+    put(folder, f"{name}.few", np.minimum(values, most).astype("u1" if len(numbers) == 1 else "<u2"))
+    put(folder, f"{name}.many-at", many.astype("<u8"))
+    put(folder, f"{name}.many", values[many].astype("<u8"))
+
+
+def look_in(folder: str, name: str, keys: np.ndarray, width: int) -> np.ndarray:
+    """(len(keys), width): the numbers of keys in order, zeros for those that the table hasn't."""
+    out = np.zeros((len(keys), width), np.int64)
+    high, low = mapped(folder, f"{name}.high", "<u4"), mapped(folder, f"{name}.low", "u1")
+    if not len(high):
+        return out
+    want, more = (keys >> np.uint64(32)).astype("<u4"), (keys >> np.uint64(24) & np.uint64(255)).astype("u1")
+    at, left = np.searchsorted(high, want), np.arange(len(keys))
+    found = np.full(len(keys), -1)
+    while len(left := left[at[left] < len(high)]) and len(left := left[high[at[left]] == want[left]]):
+        hit = low[at[left]] == more[left]
+        found[left[hit]] = at[left[hit]]
+        left = left[~hit]
+        at[left] += 1
+    hit = np.flatnonzero(found >= 0)
+    most = 255 if width == 1 else 65535
+    out[hit] = mapped(folder, f"{name}.few", "u1" if width == 1 else "<u2").reshape(-1, width)[found[hit]]
+    many = hit[(out[hit] >= most).any(axis=1)]
+    if len(many):
+        out[many] = mapped(folder, f"{name}.many", "<u8").reshape(-1, width)[np.searchsorted(mapped(folder, f"{name}.many-at", "<u8"), found[many])]
+    return out
+
+
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each key: total, ones, twos, and those of three and more."""
+    return summed(key, n, n == 1, n == 2, n >= 3)
+
+
+def _bigrams(folder: str, name: str, key: np.ndarray, w: np.ndarray, n: np.ndarray, words: int) -> tuple[list, list[int]]:
+    """Write bigrams with their continuation counts; rows for the word slices, and counts of counts."""
+    put_table(folder, name, key, n)
+    word, times = np.unique(w, return_counts=True)
+    at = word - np.uint64(1)
+    return _rows("word", (at % np.uint64(words)).astype(np.int64), words, at // np.uint64(words), times), [int((n == i).sum()) for i in range(1, 5)]
+
+
+def merged(folder: str, words: int, count: int, hot: np.ndarray, order: int):
+    """A slice's reducer: writes its tables; returns word blocks, bigrams of hot middle words, and counts of counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("slice")[0].as_py()
+        v, u, w, n = (np.concatenate(c) for c in zip(*(_unblock(x.as_py()) for x in table.column("block")), strict=True))
+        del table
+        context = pair_key(u, v)
+        key = pair_key(context, w)
+        by = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+        n, first = np.add.reduceat(n[by].astype(np.int64), begin), by[begin]
+        key, context, v, w = key[first], context[first], v[first], w[first]
+        del u, by, begin, first
+        put_table(folder, f"tri-{part}", key, n)
+        stats = [int((n == i).sum()) for i in range(1, 5)]
+        own, total, one, two, more = _sums(context, n)
+        kept = (total > 1) | (order == 2) | np.isin(own, context[v == BEGIN])
+        put_table(folder, f"context-{part}", own[kept], total[kept], one[kept], two[kept], more[kept])
+        del key, own, total, one, two, more, context, n
+        bigram = pair_key(v, w)
+        bigram, first, times = np.unique(bigram, return_index=True, return_counts=True)
+        v, w = v[first], w[first]
+        is_hot = np.isin(v, hot)
+        rows, of = _bigrams(folder, f"bi-{part}", bigram[~is_hot], w[~is_hot], times[~is_hot], words)
+        own, *sums = _sums(v[~is_hot], times[~is_hot])
+        put_table(folder, f"middle-{part}", *_by_key(pair_key(own, _B), *sums))
+        rows += _rows("hot", sliced(bigram[is_hot], count), count, v[is_hot], w[is_hot], times[is_hot])
+        return _table([*rows, ("stats", part, np.array([*stats, *of], "<u8").tobytes())])
+
+    return run
+
+
+def _by_key(key: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key, kind="stable")
+    return (key[order], *(x[order] for x in numbers))
+
+
+def merged_hot(folder: str, words: int):
+    """A slice of the hot middle words' bigrams: sums and writes them; returns word blocks, sums by middle word, counts of counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("slice")[0].as_py()
+        v, w, n = (np.concatenate(c).astype(np.uint64) for c in zip(*(loosened(x.as_py(), 3) for x in table.column("block")), strict=True))
+        key = pair_key(v, w)
+        _, first = np.unique(key, return_index=True)
+        key, times = summed(key, n)
+        v, w = v[first], w[first]
+        rows, of = _bigrams(folder, f"hot-{part}", key, w, times, words)
+        return _table([*rows, ("stats", part, np.array([0, 0, 0, 0, *of], "<u8").tobytes()), ("sums", part, np.stack(_sums(v, times), 1).astype("<u8").tobytes())])
 
     return run
 
 
 def lowered(folder: str):
-    """A word slice's reducer: writes the lower order's arrays; returns their sums."""
+    """A word slice's reducer: writes the number of distinct words before each word, by rank; returns their sums."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["slice"].iloc[0])
-        word, count, before = summed(*(np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("a", np.uint64), ("b", "<u8"), ("c", "<u4"))))
-        put(folder, f"word-{part}.keys", word)
-        put(folder, f"word-{part}.counts", count.astype("<u8"))
-        put(folder, f"word-{part}.before", before.astype("<u4"))
-        return pd.DataFrame([{"words": len(word), "tokens": int(count.sum()), "pairs": int(before.sum()), **{f"n{i}": int((before == i).sum()) for i in range(1, 5)}, "n3_on": int((before >= 3).sum())}])
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("slice")[0].as_py()
+        rank, n = (np.concatenate(c) for c in zip(*(loosened(x.as_py(), 2) for x in table.column("block")), strict=True))
+        n = np.bincount(rank, weights=n, minlength=len(mapped(folder, f"word-{part}.counts", "<u8"))).astype(np.int64)
+        put(folder, f"word-{part}.before", n.astype("<u8"))
+        return pa.table({"pairs": [int(n.sum())], **{f"n{i}": [int((n == i).sum())] for i in range(1, 5)}, "n3_on": [int((n >= 3).sum())]})
 
     return run
 
@@ -197,118 +384,119 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """What the workers need besides the arrays; bounded, whatever the corpus holds."""
+    """What the workers need besides the arrays. ``hot``: at most four middle words a slice, with their sums."""
 
-    folder: str
+    words: Words
+    order: int
     slices: int
-    word_slices: int
     tokens: int
-    words: int
+    kinds: int
     pairs: int
     upper: tuple[float, float, float]
+    middle: tuple[float, float, float]
     lower: tuple[float, float, float]
     left: float
     hot: np.ndarray
     hot_sums: np.ndarray
 
-    def _find(self, names: str, part: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have = mapped(self.folder, f"{names}-{part}.keys", "<u8")
-        if not len(have):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return at, have[at] == keys
-
-    def word_sums(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens, and distinct contexts, of sorted distinct words."""
-        count, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        parts = sliced(word, self.word_slices) if self.words else np.full(len(word), -1)
-        for part in np.unique(parts[parts >= 0]):
-            i = np.flatnonzero(parts == part)
-            at, hit = self._find("word", part, word[i])
-            i, at = i[hit], at[hit]
-            count[i], before[i] = mapped(self.folder, f"word-{part}.counts", "<u8")[at], mapped(self.folder, f"word-{part}.before", "<u4")[at]
-        return count, before
-
-    def context_sums(self, context: np.ndarray) -> np.ndarray:
-        """(total, ones, twos, more) of sorted distinct contexts, zeros if unknown."""
-        sums = np.zeros((len(context), 4))
-        parts = sliced(context, self.slices) if self.words else np.full(len(context), -1)
-        for part in np.unique(parts[parts >= 0]):
-            i = np.flatnonzero(parts == part)
-            at, hit = self._find("context", part, context[i])
-            wide = mapped(self.folder, f"context-{part}.wide", "u1")[0]
-            sums[i[hit]] = mapped(self.folder, f"context-{part}.sums", "<u8" if wide else "<u4").reshape(-1, 4)[at[hit]]
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
-            hit = self.hot[at] == context
-            sums[hit] = self.hot_sums[at[hit]]
-        return sums
-
-    def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Counts of bigrams."""
-        key, back = np.unique(pair_key(context, word), return_inverse=True)
-        first = np.zeros(len(key), np.int64)
-        first[back] = np.arange(len(back))
-        c = context[first]
-        count = np.zeros(len(key), np.int64)
-        parts = np.where(np.isin(c, self.hot), sliced(key, self.slices), sliced(c, self.slices)) if self.words else np.full(len(key), -1)
+    def _each(self, name: str, key: np.ndarray, parts: np.ndarray, width: int) -> np.ndarray:
+        """Numbers of keys in the tables of their slices; equal keys are looked up once. parts: -1 for none."""
+        own, at, back = np.unique(key, return_index=True, return_inverse=True)
+        parts, out = parts[at], np.zeros((len(own), width), np.int64)
         order = np.argsort(parts, kind="stable")
         cuts = np.searchsorted(parts[order], np.arange(self.slices + 1))
         for part in range(self.slices):
             i = order[cuts[part] : cuts[part + 1]]
-            if not len(i):
-                continue
-            at, hit = self._find("pair", part, key[i])
-            i, at = i[hit], at[hit]
-            count[i] = mapped(self.folder, f"pair-{part}.few", "u1")[at]
-            many = i[count[i] == 255]
-            if len(many):
-                count[many] = mapped(self.folder, f"pair-{part}.many", "<u8")[np.searchsorted(mapped(self.folder, f"pair-{part}.many-keys", "<u8"), key[many])]
-        return count[back]
+            if len(i):
+                out[i] = look_in(self.words.folder, f"{name}-{part}", own[i], width)
+        return out[back]
 
     def token_scores(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: whether it is known, and log10 of its base and of its model probability."""
-        c = contexts(h, ends)
-        word, back = np.unique(h, return_inverse=True)
-        count, before = self.word_sums(word)
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        cut = np.array([0.0, *self.lower])[np.minimum(before, 3)]
-        low = ((before - cut) / self.pairs if self.pairs else np.zeros(len(word))) + self.left / (self.words + 1)
-        own, own_back = np.unique(c, return_inverse=True)
-        sums = self.context_sums(own)
+        own, back = np.unique(h, return_inverse=True)
+        if not self.kinds:
+            return np.zeros(len(h), bool), np.full(len(h), np.log10(0.5 / 0.5)), np.zeros(len(h))
+        ids = self.words.look_up(own)
+        count, follows = self.words.numbers(ids, "counts", "<u8"), self.words.numbers(ids, "before", "<u8")
+        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
+        low = (follows - np.array([0.0, *self.lower])[np.minimum(follows, 3)]) / self.pairs + self.left / (self.kinds + 1)
+        w, low = ids[back], low[back]
+        v = before(w, ends)
+        u = before(v, ends) if self.order > 2 else np.full(len(w), BEGIN)
+        known = (w != UNKNOWN) & (v != UNKNOWN)
+        share = low
+        if self.order > 2:
+            key, hot = pair_key(v, w), np.isin(v, self.hot)
+            cont = self._each("bi", key, np.where(known & ~hot, slice_of(v, u, self.hot, self.slices), -1), 1)[:, 0]
+            if hot.any():
+                cont = np.where(hot, self._each("hot", key, np.where(known & hot, sliced(key, self.slices), -1), 1)[:, 0], cont)
+            sums = self._each("middle", pair_key(v, _B), np.where((v != UNKNOWN) & ~hot, slice_of(v, u, self.hot, self.slices), -1), 4)
+            if hot.any():
+                sums[hot] = self.hot_sums[np.searchsorted(self.hot, v[hot])]
+            share = self._interpolated(cont, sums, self.middle, low)
+            seen = np.concatenate([[False], cont[:-1] > 0])  # the context (u, v) is the bigram of the token before
+            seen[np.concatenate([[0], ends[:-1]])] = False
+        context = pair_key(u, v)
+        parts = np.where((u != UNKNOWN) & (v != UNKNOWN), slice_of(v, u, self.hot, self.slices), -1)
+        sums = self._each("context", context, parts, 4)
+        if self.order > 2:
+            sums[seen & (sums[:, 0] == 0)] = (1, 1, 0, 0)
+        n = self._each("tri", pair_key(context, w), np.where(known, parts, -1), 1)[:, 0]
+        return (count > 0)[back], base[back], np.log10(self._interpolated(n, sums, self.upper, share))
+
+    def _interpolated(self, n: np.ndarray, sums: np.ndarray, cut: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+        """The discounted share of counts n, and the rest given out by ``lower``; that alone without a context."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            free = np.where(sums[:, 0] > 0, (sums[:, 1:] @ np.array(self.upper)) / sums[:, 0], 1.0)[own_back]
-            n = self.pair_counts(c, h)
-            share = np.where(n > 0, (n - np.array([0.0, *self.upper])[np.minimum(n, 3)]) / sums[own_back, 0], 0.0)
-        return (count > 0)[back], base[back], np.log10(share + free * low[back])
-
-
-def train(docs: DataFrame, flush_slice: int = SLICE) -> Model:
-    """Count the texts of ``docs``. Collected: token and text counts, at most 4 heavy contexts a slice, count sums."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    top = texts.mapInArrow(heavy, "word long, n long, tokens long, texts long")
-    top = top.groupBy("word").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts"))
-    top = staged(top, "lm-heavy")
-    total = int(top.agg(F.sum("tokens")).first()[0] or 0)
+            rest = (sums[:, 1:] @ np.array(cut)) / sums[:, 0]
+            own = np.where(n > 0, (n - np.array([0.0, *cut])[np.minimum(n, 3)]) / sums[:, 0], 0.0)
+        return np.where(sums[:, 0] > 0, own + rest * lower, lower)
+
+
+def train(docs: DataFrame, order: int = ORDER, flush_slice: int = SLICE, flush: int = FLUSH) -> Model:
+    """Count the texts of ``docs``. Collected: sums, the numbers of word slices, and at most 4 hot middle words a slice."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order}; 2 and 3 are there")
+    spark, folder = docs.sparkSession, staged_path(docs.sparkSession, "lm-model")
+    texts, word_slices = docs.select("text"), max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = staged(texts.mapInArrow(word_blocks(word_slices), _BLOCKS).groupBy("slice").applyInArrow(numbered(folder), "slice int, words long, tokens long"), "lm-words")
+    sizes = counted.collect()
+    total = sum(r.tokens for r in sizes)
+    words = Words(folder, word_slices, frozenset(r.slice for r in sizes))
     slices = max(SLICES, -(-total // flush_slice))
-    hot = np.array(sorted(r[0] % 2**64 for r in top.where(F.col("n") * 4 * slices > total).select("word").collect()), np.uint64)
-    folder = staged_path(spark, "lm-model")
     if not total:
-        return Model(folder, slices, SLICES, 0, 0, 0, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0, np.zeros(0, np.uint64), np.zeros((0, 4)))
-    schema = "kind string, slice int, a binary, b binary, c binary"
-    pairs = texts.mapInArrow(blocks(slices, hot), "slice int, contexts binary, runs binary, words binary, counts binary")
-    out = staged(pairs.groupBy("slice").applyInPandas(merged(folder, slices, hot), schema), "lm-words")
-    own = out.where("kind = 'hot'").select("a", "b", "c").collect()
-    upper = discounts(*(int(x) for x in np.sum([np.frombuffer(r.c, "<u8") for r in own], axis=0)))
-    h = np.concatenate([np.frombuffer(r.a, np.uint64) for r in own])
-    hot_words, *sums = summed(h, *np.concatenate([np.frombuffer(r.b, "<u8").reshape(-1, 4) for r in own]).T)
-    sizes = "words long, tokens long, pairs long, n1 long, n2 long, n3 long, n4 long, n3_on long"
-    low = staged(out.where("kind = 'word'").groupBy("slice").applyInPandas(lowered(folder), sizes), "lm-sizes")
+        none = (0.5, 1.0, 1.5)
+        return Model(words, order, slices, 0, 0, 0, none, none, none, 1.0, np.zeros(0, np.uint64), np.zeros((0, 4)))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _column(batches):
+            counts = mapped(folder, f"word-{part}.counts", "<u8")
+            rank = np.arange(np.searchsorted(-counts.astype(np.int64), -(total // (4 * slices))))
+            yield pa.record_batch([pa.array(rank * word_slices + part + 1)], names=["id"])
+
+    hot = {r.id for r in counted.select("slice").mapInArrow(often, "id long").collect()}
+    # texts are as many as ends, and begin as often
+    end = words.look_up(np.array([END]))[0]
+    hot = np.array(sorted(hot | {0} if int(end) in hot else hot), np.uint64)
+    out = staged(texts.mapInArrow(trigram_blocks(words, slices, hot, order, flush), _BLOCKS).groupBy("slice").applyInArrow(merged(folder, word_slices, slices, hot, order), _BLOCKS), "lm-trigrams")
+    more = staged(out.where("kind = 'hot'").groupBy("slice").applyInArrow(merged_hot(folder, word_slices), _BLOCKS), "lm-hot")
+    there = {r.slice for r in out.select("slice", "kind").where("kind = 'stats'").collect()}
+    hot_there = {r.slice for r in more.select("slice", "kind").where("kind = 'stats'").collect()}
+    for name, have in (("tri", there), ("context", there), ("bi", there), ("middle", there), ("hot", hot_there)):
+        for part in set(range(slices)) - have:  # slices that got nothing
+            put_table(folder, f"{name}-{part}", np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (4 if name in ("context", "middle") else 1))
+    every = out.unionAll(more)
+    stats = np.zeros(8, np.int64)
+    for r in every.where("kind = 'stats'").select("block").toLocalIterator():
+        stats += np.frombuffer(r.block, "<u8").astype(np.int64)
+    hot_sums = np.zeros((len(hot), 4), np.int64)
+    for r in more.where("kind = 'sums'").select("block").toLocalIterator():
+        found = np.frombuffer(r.block, "<u8").reshape(-1, 5).astype(np.int64)
+        np.add.at(hot_sums, np.searchsorted(hot, found[:, 0].astype(np.uint64)), found[:, 1:])
+    low = staged(every.where("kind = 'word'").groupBy("slice").applyInArrow(lowered(folder), "pairs long, n1 long, n2 long, n3 long, n4 long, n3_on long"), "lm-sizes")
     s = low.agg(*[F.sum(c).alias(c) for c in low.columns]).first()
     lower = discounts(s.n1, s.n2, s.n3, s.n4)
     left = (lower[0] * s.n1 + lower[1] * s.n2 + lower[2] * s.n3_on) / s.pairs
-    return Model(folder, slices, slices, s.tokens, s.words, s.pairs, upper, lower, left, hot_words, np.stack(sums, 1).astype(float))
+    return Model(words, order, slices, total, sum(r.words for r in sizes), s.pairs, discounts(*map(int, stats[:4])), discounts(*map(int, stats[4:])), lower, left, hot, hot_sums)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -331,9 +519,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def report(docs: DataFrame, held: Column | None = None) -> DataFrame:
+def report(docs: DataFrame, held: Column | None = None, order: int = ORDER) -> DataFrame:
     """Every row scored by a model of the rows that aren't held out; perplexity is that of the text a token."""
     held = crc_rest(F.col("doc_id")) == 1 if held is None else held
     learns = F.coalesce(~held, F.lit(True))
-    out = scored(docs, train(docs.where(learns)))
+    out = scored(docs, train(docs.where(learns), order))
     return out.select("doc_id", (~learns).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

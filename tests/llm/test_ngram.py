@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import pytest
+
 from rankloom.llm import ngram
 
 
@@ -9,27 +11,33 @@ def words(text):
     return [*(text or "").encode().lower().split(), "</s>"]
 
 
-def model(texts):
-    """Plain dictionaries: (known, tokens, base, share of a word after another)."""
+def model(texts, order):
+    """Plain dictionaries: (counts, tokens, base, probability of a word after the two before it)."""
     rows = [words(t) for t in texts]
     c = Counter(w for r in rows for w in r)
-    pairs = Counter((a, b) for r in rows for a, b in zip(["<s>", *r[:-1]], r, strict=True))
+    grams = Counter(tuple((["<s>"] * (order - 1) + r)[i : i + order]) for r in rows for i in range(len(r)))
+    levels = [grams]  # the highest order's counts, then continuation counts: distinct words before
+    while len(next(iter(levels[-1]), "x")) > 1:
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    cuts, sums, free = [], [], []
+    for level in levels:
+        of = Counter(level.values())
+        cuts.append((0, *ngram.discounts(*(of[i] for i in (1, 2, 3, 4)))))
+        sums.append(Counter())
+        free.append(Counter())
+        for g, n in level.items():
+            sums[-1][g[:-1]] += n
+            free[-1][g[:-1]] += cuts[-1][min(n, 3)]
     total, kinds = sum(c.values()), len(c)
-    of = Counter(pairs.values())
-    up = (0, *ngram.discounts(*(of[i] for i in (1, 2, 3, 4))))
-    before = Counter(b for _, b in pairs)
-    of = Counter(before.values())
-    low = (0, *ngram.discounts(*(of[i] for i in (1, 2, 3, 4))))
-    left = sum(low[min(n, 3)] for n in before.values()) / len(pairs) if pairs else 1.0
-    sums, free = Counter(), Counter()
-    for (a, _), n in pairs.items():
-        sums[a] += n
-        free[a] += up[min(n, 3)]
-
-    def share(a, w):
-        n = before[w]
-        p = ((n - low[min(n, 3)]) / len(pairs) if pairs else 0) + left / (kinds + 1)
-        return p if not sums[a] else max(pairs[a, w] - up[min(pairs[a, w], 3)], 0) / sums[a] + free[a] / sums[a] * p
+
+    def share(context, w, at=0):
+        if at == order:
+            return 1 / (kinds + 1)
+        own = tuple(context[at:])
+        if not sums[at][own]:
+            return share(context, w, at + 1)
+        n = levels[at][*own, w]
+        return max(n - cuts[at][min(n, 3)], 0) / sums[at][own] + free[at][own] / sums[at][own] * share(context, w, at + 1)
 
     return c, total, lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1)), share
 
@@ -38,20 +46,35 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 5 == 1
 
 
-def test_equals_dictionaries(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(ngram, "SCORE_AT_ONCE", 100)
+@pytest.mark.parametrize(("order", "slice_", "flush"), [(2, 2_000_000, 1 << 20), (3, 2_000_000, 1 << 20), (3, 2_000, 1_000), (3, 100, 64)])
+def test_equals_dictionaries(spark, odd, none, order, slice_, flush):
+    """Also with many slices, hot middle words, and texts that run over several pieces."""
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
-    c, total, base, share = model([t for i, t in rows if not held(i)])
-    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in ngram.report(odd).collect())
+    if slice_ < 2000:
+        rows = [(i, t) for i, t in rows if len(t or "") < 10_000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    c, total, base, share = model([t for i, t in rows if not held(i)], order)
+    trained = ngram.train(docs.where("doc_id is null or crc32(cast(doc_id as string)) % 5 <> 1"), order, slice_, flush)
+    assert slice_ > 100 or len(trained.hot) > 3
+    got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 8), round(r.score, 8)) for r in ngram.scored(docs, trained).collect())
     want = []
     for i, t in rows:
         w = words(t)
-        want.append((str(i), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(base(x)) for x in w), 8), round(sum(math.log10(share(a, x)) for a, x in zip(["<s>", *w[:-1]], w, strict=True)), 8)))
+        padded = ["<s>"] * (order - 1) + w
+        scores = [share(padded[k : k + order - 1], x) for k, x in enumerate(w)]
+        want.append((str(i), len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(base(x)) for x in w), 8), round(sum(map(math.log10, scores)), 8)))
     assert [g[:4] for g in got] == [w[:4] for w in sorted(want)]
     assert all(abs(g[k] - w[k]) <= 1e-9 * abs(w[k]) + 1e-7 for g, w in zip(got, sorted(want), strict=True) for k in (4, 5))
-    for a in ["<s>", b"w1", b"never"]:  # shares of all known words and of an unknown one
+    for a in (["<s>", "<s>"], ["<s>", b"w1"], [b"w1", b"w2"], [b"w1", b"never"]):  # shares of all known words and of an unknown one
+        a = a[3 - order :]
         assert abs(sum(share(a, w) for w in c) + share(a, b"unseen") - 1) < 1e-9
-    assert ngram.report(none).count() == 0
+    assert ngram.report(none, order=order).count() == 0
+
+
+def test_the_third_order_tells_more(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    two, three = (ngram.report(docs, order=n).where("held_out").agg({"score": "sum"}).first()[0] for n in (2, 3))
+    assert three > two
 
 
 def test_no_training_rows(spark):
