@@ -452,9 +452,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without an id can stand for no component; they stay, identical ones once.
     """
     first, kept_id = free(docs, "_first", "_kept")
-    named = near_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = named.unionAll(named.sparkSession.range(1).select(F.lit(None).cast(dict(docs.dtypes)["doc_id"]))).withColumnRenamed("doc_id", kept_id)
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    kept = near_components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_id)).distinct()
     whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-    w = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), whole)).orderBy(whole)
-    return out.withColumn(first, F.row_number().over(w)).where(F.col(first) == 1).drop(first)
+    # joined and numbered by the id alone, so that texts are shuffled once
+    ided = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
+    ided = ided.withColumn(first, F.row_number().over(W.partitionBy("doc_id").orderBy(whole)))
+    without = docs.where(F.col("doc_id").isNull()).withColumn(first, F.row_number().over(W.partitionBy(whole).orderBy(whole)))
+    return ided.unionByName(without).where(F.col(first) == 1).drop(first)
