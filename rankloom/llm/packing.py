@@ -29,7 +29,7 @@ from .common import staged
 
 CAPACITY, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 120_000
 #: Letters below this code point are spelled here; lower case and normal form are theirs alone there.
 LATIN = 0x250
 #: Signs that end a word, and aren't letters, digits or white space.
