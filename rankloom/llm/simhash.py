@@ -8,7 +8,10 @@ chain is the full Hamming check itself.
 
 Equal fingerprints are merged before the search, so copies cost nothing. A search group turns the links it finds into
 one star per group of linked fingerprints, so its output is never larger than its input. Buckets over four times the
-usual size are cut into chunks, and every two chunks meet in a group of their own.
+usual size are split by the next segment, which the chain wants equal or one bit off: a row goes to the part of its own
+value, and for each bit to the part that leaves this bit out. So a row has at most 14 copies, however large its bucket.
+Only parts that are still too large, distinct fingerprints that agree in two segments, are cut into chunks, and every two
+chunks meet in a group of their own.
 
 Near copies beyond those 4 bits, as a corpus filter wants them, are texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Candidates come from a wider ring: 336 bits in 28 segments of 12, of the distinct shingles.
@@ -105,8 +108,12 @@ def chained(x: np.ndarray, first: int) -> np.ndarray:
     return ok
 
 
-def linked(fp: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A label for each of ``fp``: equal labels, linked within a bucket. first: the segment in which a bucket agrees."""
+def linked(fp: np.ndarray, bucket: np.ndarray, first: np.ndarray, split: np.ndarray | None = None) -> np.ndarray:
+    """A label for each of ``fp``: equal labels, linked within a bucket. first: the segment in which a bucket agrees.
+
+    split: the one difference in the next segment, a bit or 0, that a bucket is searched for; -1 for all of them.
+    """
+    split = np.full(len(fp), -1) if split is None else split
     nodes, node = np.unique(fp, return_inverse=True)
     label = np.arange(len(nodes))
     for start in range(5):
@@ -119,14 +126,16 @@ def linked(fp: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
         order = np.argsort(key, kind="stable")
         at, key = at[order], key[order]
         keys, begin, size = np.unique(key, return_index=True, return_counts=True)
+        only = split[at[begin]]
         for flip in (0, *(1 << b for b in range(SEGMENTS[nxt]))):  # the second segment: equal, or one bit set in the other
+            sought = (only < 0) | (only == flip)
             if flip:
-                mine = np.flatnonzero(keys & flip == 0)
+                mine = np.flatnonzero((keys & flip == 0) & sought)
                 other = np.minimum(np.searchsorted(keys, keys[mine] | flip), len(keys) - 1)
                 fits = keys[other] == keys[mine] | flip
                 mine, other = mine[fits], other[fits]
             else:
-                mine = other = np.flatnonzero(size > 1)
+                mine = other = np.flatnonzero((size > 1) & sought)
             ends = np.cumsum(size[mine] * size[other])
             for lo in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
                 k = np.arange(lo, min(lo + AT_ONCE, int(ends[-1])))
@@ -159,21 +168,30 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b) of signed fingerprints: stars that join all of ``distinct`` (fp) within 4 bits of each other."""
     n = distinct.count()
     usual = max(CHUNK, 4 * n // 2 ** min(SEGMENTS))
-    segment = lambda i: F.shiftrightunsigned("fp", SHIFTS[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1))
-    rows = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("first"), segment(i).alias("value")) for i in range(5)])).alias("s")).select("fp", "s.*")
+    segment = lambda i: F.shiftrightunsigned("fp", SHIFTS[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1)).cast("int")
+    each = [F.struct(F.lit(i).alias("first"), segment(i).alias("value"), segment((i + 1) % 5).alias("next"), F.lit(SEGMENTS[(i + 1) % 5]).alias("bits")) for i in range(5)]
+    rows = distinct.select("fp", F.explode(F.array(*each)).alias("s")).select("fp", "s.*")
     # bounded: 5 segments of at most 2^13 values
-    chunks = rows.groupBy("first", "value").agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("chunks"))
-    rows = rows.join(F.broadcast(chunks), ["first", "value"])
+    hot = rows.groupBy("first", "value").agg(F.count("*").alias("rows")).where(F.col("rows") > usual)
+    bits = F.transform(F.sequence(F.lit(0), F.col("bits") - 1), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    ways = F.when(F.col("rows").isNotNull(), F.concat(F.array(F.lit(0)), bits)).otherwise(F.array(F.lit(-1)))
+    rows = rows.join(F.broadcast(hot), ["first", "value"], "left").withColumn("split", F.explode(ways))
+    rest = F.when(F.col("split") < 0, -1).otherwise(F.col("next").bitwiseAND(F.bitwise_not("split")))
+    rows = rows.select("fp", "first", "value", "split", rest.alias("rest"))
+    bucket = ["first", "value", "split", "rest"]
+    # bounded: a row is in at most 5 times 14 parts, and at most 2^10 of the usual size have room in each of these
+    large = rows.where("split >= 0").groupBy(*bucket).agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("chunks")).where("chunks > 1")
+    rows = rows.join(F.broadcast(large), bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("fp", "first", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    rows = rows.select("fp", *bucket, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 5 * n // GROUP)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("first", "value", "x", "y"), F.lit(groups)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(*bucket, "x", "y"), F.lit(groups)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().view(np.uint64)
-        bucket = pdf.groupby(["first", "value", "x", "y"], sort=False).ngroup().to_numpy()
-        root = linked(fp, bucket, pdf["first"].to_numpy())
+        number = pdf.groupby([*bucket, "x", "y"], sort=False).ngroup().to_numpy()
+        root = linked(fp, number, pdf["first"].to_numpy(), pdf["split"].to_numpy())
         found = np.unique(np.stack([root, fp])[:, root != fp], axis=1).view(np.int64)
         return pd.DataFrame({"a": found[0], "b": found[1]})
 
