@@ -125,3 +125,12 @@ def label_token(label: Column) -> Column:
 def one_line(text: Column) -> Column:
     """For tab-separated files without escapes."""
     return F.regexp_replace(text, r"[\t\r\n]", " ")
+
+
+# Names of a data set's prebuilt lexical index, dense index and topics.
+RESOURCES = {"lexical": "beir-v1.0.0-{}.multifield", "dense": "beir-v1.0.0-{}.contriever-msmarco", "topics": "beir-v1.0.0-{}-test"}
+
+
+def resource_name(dataset: Column, kind: str) -> Column:
+    head, tail = RESOURCES[kind].split("{}")
+    return F.concat(F.lit(head), dataset, F.lit(tail))

@@ -37,3 +37,11 @@ def log_softmax(wanted: Column, other: Column) -> Column:
     """Log share of the first of two logits; shifted by the larger one, so it never overflows."""
     most = F.greatest(wanted, other)
     return wanted - most - F.log(F.exp(wanted - most) + F.exp(other - most))
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors that the mask keeps; zeros where it keeps none, null without tokens."""
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m.cast("boolean"), t)), lambda t: t.isNotNull())
+    zero = F.transform(tokens[0], lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, t: F.zip_with(s, doubles(t), lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))

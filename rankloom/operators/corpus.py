@@ -61,3 +61,14 @@ def head_of_each(rows: DataFrame, files: str, order: str, count: int) -> DataFra
     from pyspark.sql import Window as W
 
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(files).orderBy(order))).where(F.col("_n") <= count).drop("_n")
+
+
+def wrapped(indices: DataFrame, rows: DataFrame, index: str, position: str) -> DataFrame:
+    """``indices`` with the row at each index; rows are numbered from 0 by ``position``, and the index starts over at their end.
+
+    No rows: no result. An index below 0 counts from the end, a null one has no row.
+    """
+    count = rows.count()
+    if not count:
+        return indices.join(rows, F.lit(False))
+    return indices.join(rows, F.pmod(F.col(index), F.lit(count)) == F.col(position)).drop(position)

@@ -14,6 +14,10 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vector as V
 
 # Batch sizes and input lengths of the models that stood here.
 ENCODER_BATCH, ENCODER_WORDS, RERANKER_BATCH, GENERATOR_WORDS, NEW_WORDS = 32, 512, 32, 4096, 64
@@ -31,6 +35,12 @@ class Reranker(Protocol):
     def score(self, queries: list[str], documents: list[str]) -> np.ndarray: ...
 
 
+class PromptScorer(Protocol):
+    """A sequence-to-sequence model: of each prompt the logits of "true" and "false" as its first token."""
+
+    def logits(self, prompts: list[str]) -> np.ndarray: ...
+
+
 def masked_mean(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Mean over the tokens that the mask keeps; zeros where it keeps none. tokens: (texts, length, d)."""
     kept = mask.astype(bool)[..., None]
@@ -84,6 +94,19 @@ class OverlapReranker:
         return np.log(np.array(shares))
 
 
+class OverlapScorer:
+    """Logits: how many of the query's words the document in the prompt has, and how many it has not."""
+
+    def logits(self, prompts: list[str]) -> np.ndarray:
+        out = np.zeros((len(prompts), 2))
+        for i, p in enumerate(prompts):
+            query, _, document = p.removeprefix("Query: ").removesuffix(" Relevant:").partition(" Document: ")
+            have, want = set(document.lower().split()), query.lower().split()
+            out[i, 0] = sum(w in have for w in want)
+            out[i, 1] = len(want) - out[i, 0]
+        return out
+
+
 def _in_batches(make: Callable, size: int, columns: list[str], keep: list[str], new: str, kind: pa.DataType, call: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
@@ -119,3 +142,15 @@ def reranker_scores(pairs: DataFrame, make: Callable[[], Reranker] = OverlapRera
     """(qid, docid, score)."""
     run = _in_batches(make, batch, [query, document], ["qid", "docid"], "score", pa.float64(), lambda m, q, d: m.score(q, d))
     return pairs.select("qid", "docid", query, document).mapInArrow(run, _schema(pairs, ["qid", "docid"], "score double"))
+
+
+def prompted_scores(pairs: DataFrame, make: Callable[[], PromptScorer] = OverlapScorer, query: str = "qtext", document: str = "text", batch: int = RERANKER_BATCH) -> DataFrame:
+    """(qid, docid, score): each pair as a prompt, the score the log share of "true" in the model's two logits.
+
+    A null query or document counts as empty.
+    """
+    empty = F.lit("")
+    prompts = pairs.select("qid", "docid", T.pair_prompt(F.coalesce(query, empty), F.coalesce(document, empty)).alias("prompt"))
+    run = _in_batches(make, batch, ["prompt"], ["qid", "docid"], "logits", pa.list_(pa.float64()), lambda m, p: m.logits(p))
+    scored = prompts.mapInArrow(run, _schema(prompts, ["qid", "docid"], "logits array<double>"))
+    return scored.select("qid", "docid", V.log_softmax(F.col("logits")[0], F.col("logits")[1]).alias("score"))

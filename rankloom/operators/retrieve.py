@@ -16,8 +16,8 @@ from ..functions import vector as V
 
 # Results of a query; parameters of the lexical weights; partitions probed.
 TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
-#: Queries of a block, and documents that a task scores against it at once.
-QUERY_BLOCK, AT_ONCE = 1024, 4096
+#: Queries of a block, blocks that one pass of the documents serves, and documents that a task scores against a block at once.
+QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
 #: Parts of a probed partition, and queries whose distances to centroids are held at once.
 PARTS, PROBE_ROWS = 8, 256
 
@@ -33,8 +33,8 @@ def top_of_each(scored: DataFrame, k: int, group: str = "qid", by: str = "score"
 def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int | None = None, column: str = "embedding") -> DataFrame:
     """(qid, docid, rank, score) by inner product, exact.
 
-    Queries go out in blocks of a bounded size, a pass of the vectors for each; a task keeps its own best k of each
-    query, so what is shuffled is k rows a query and task. digits: scores are rounded before they are ranked. Vectors
+    Queries go out in blocks of a bounded size, ``BLOCKS`` of them for each pass of the vectors; a task keeps its own best
+    k of each query, so what is shuffled is k rows a query and task. digits: scores are rounded before they are ranked. Vectors
     null, or with null or non-finite components, take no part; vectors of unlike lengths are an error.
     """
     spark, queries = queries.sparkSession, V.usable(queries, column)
@@ -43,13 +43,14 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int |
     numbered = queries.select("qid", V.doubles(F.col(column)).alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
     docs = V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec"))
     out = None
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).orderBy("qid").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], float)))
-        part = docs.mapInArrow(_scored(shared, k, digits), "qid string, docid string, score double")
-        out = part if out is None else out.unionAll(part)
+    for first in range(0, blocks, BLOCKS):
+        shared = []
+        for block in range(first, min(first + BLOCKS, blocks)):
+            if rows := numbered.where(F.col("block") == block).orderBy("qid").collect():
+                shared.append(spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], float))))
+        if shared:
+            part = docs.mapInArrow(_scored(shared, k, digits), "qid string, docid string, score double")
+            out = part if out is None else out.unionAll(part)
     if out is None:
         out = spark.createDataFrame([], "qid string, docid string, score double")
     return top_of_each(out, k).select("qid", "docid", "rank", "score")
@@ -78,16 +79,18 @@ def _scored(shared, k: int, digits: int | None):
     from .cluster import _batch_vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        best = _Best(len(q), k)
+        blocks = [(names, q, _Best(len(q), k)) for names, q in (s.value for s in shared)]
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 part = batch.slice(lo, AT_ONCE)
                 ids = np.array(part.column(0).to_pylist(), "U")
                 order = np.argsort(ids, kind="stable")
-                s = q @ _batch_vectors(part, q.shape[1])[order].T
-                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
-        yield best.rows(names)
+                x = _batch_vectors(part, blocks[0][1].shape[1])[order].T
+                for _, q, best in blocks:
+                    s = q @ x
+                    best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
+        for names, _, best in blocks:
+            yield best.rows(names)
 
     return run
 
@@ -119,23 +122,22 @@ def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: in
     """(qid, docid, rank, score): the k best documents of each topic (qid, qtext) by the sum of the fields' weights.
 
     The same scores as ``bm25``, which makes a row for each term that a topic and a document share; here a task turns
-    documents into rows of term weights and multiplies them with a block of topics, and sends its best k. Topics go
-    out in blocks of at most ``QUERY_BLOCK``; what is broadcast is their words.
+    documents into rows of term weights and multiplies them with blocks of topics, and sends its best k. Topics go
+    out in blocks of some ``QUERY_BLOCK``, ``BLOCKS`` of them for each pass, which cuts the texts once to count and once
+    to score; what is broadcast is their words.
     """
     spark, names = docs.sparkSession, list(fields)
     blocks = max(1, -(-topics.count() // QUERY_BLOCK))
     numbered = topics.select("qid", "qtext", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
     out = None
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).orderBy("qid").collect()
-        if not rows:
+    for first in range(0, blocks, BLOCKS):
+        wanted = []
+        for block in range(first, min(first + BLOCKS, blocks)):
+            if rows := numbered.where(F.col("block") == block).orderBy("qid").collect():
+                wanted.append(([r.qid for r in rows], [Counter(_words(r.qtext)) for r in rows]))
+        if not wanted:
             continue
-        wanted = [Counter(_words(r.qtext)) for r in rows]
-        known = {t: i for i, t in enumerate(sorted({t for w in wanted for t in w}))}
-        matrix = np.zeros((len(known), len(rows)))
-        for j, w in enumerate(wanted):
-            for t, n in w.items():
-                matrix[known[t], j] = n
+        known = {t: i for i, t in enumerate(sorted({t for _, words in wanted for w in words for t in w}))}
         vocabulary = spark.sparkContext.broadcast(known)
         counts = docs.select(*names).mapInArrow(_field_counts(vocabulary, len(names)), "field int, term string, n long, words long")
         counts = counts.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
@@ -145,18 +147,30 @@ def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: in
             if r.term is not None:
                 idf[r.field, known[r.term]] = np.log1p((total[r.field][0] - r.n + 0.5) / (r.n + 0.5))
         mean = [total[f][1] / total[f][0] if f in total and total[f][1] else 1.0 for f in range(len(names))]
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], known, matrix, idf, mean, [float(w) for w in fields.values()]))
-        part = docs.select("docid", *names).mapInArrow(_bm25_scored(shared, k, digits, k1, b), "qid string, docid string, score double")
+        shared = spark.sparkContext.broadcast((known, idf, mean, [float(w) for w in fields.values()]))
+        own = [spark.sparkContext.broadcast((qids, *_term_matrix(words, known))) for qids, words in wanted]
+        part = docs.select("docid", *names).mapInArrow(_bm25_scored(shared, own, k, digits, k1, b), "qid string, docid string, score double")
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = spark.createDataFrame([], "qid string, docid string, score double")
     return top_of_each(out, k).select("qid", "docid", "rank", "score")
 
 
-def _bm25_scored(shared, k: int, digits: int | None, k1: float, b: float):
+def _term_matrix(topics: list[Counter], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the topics' terms among all known ones, and how often each topic has each of them."""
+    own = np.array(sorted({known[t] for w in topics for t in w}), np.int64)
+    matrix = np.zeros((len(own), len(topics)))
+    for j, w in enumerate(topics):
+        if w:
+            matrix[np.searchsorted(own, [known[t] for t in w]), j] = list(w.values())
+    return own, matrix
+
+
+def _bm25_scored(shared, own, k: int, digits: int | None, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, known, matrix, idf, mean, weights = shared.value
-        best, get = _Best(len(qids), k), known.get
+        known, idf, mean, weights = shared.value
+        blocks = [(qids, places, matrix, _Best(len(qids), k)) for qids, places, matrix in (x.value for x in own)]
+        get = known.get
         step = max(16, min(1024, (1 << 22) // max(1, len(known))))
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
@@ -168,13 +182,15 @@ def _bm25_scored(shared, k: int, digits: int | None, k1: float, b: float):
                     texts = part.column(1 + f).to_pylist()
                     for i, at in enumerate(order):
                         words = _words(texts[at])
-                        own = np.array([p for p in map(get, words) if p is not None], np.int64)
-                        if len(own):
-                            place, tf = np.unique(own, return_counts=True)
+                        found = np.array([p for p in map(get, words) if p is not None], np.int64)
+                        if len(found):
+                            place, tf = np.unique(found, return_counts=True)
                             value[i, place] += weight * idf[f, place] * tf / (tf + k1 * (1 - b + b * len(words) / mean[f]))
-                s = (value @ matrix).T
-                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
-        yield best.rows(qids, 0.0)
+                for _, places, matrix, best in blocks:
+                    s = ((value if len(places) == len(known) else value[:, places]) @ matrix).T
+                    best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
+        for qids, _, _, best in blocks:
+            yield best.rows(qids, 0.0)
 
     return run
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -257,6 +258,24 @@ def raw_doc_compose(spark, d):
     return r.select("docid", corpus.composed(r, "space").alias("spaced"), corpus.composed(r, "sentence").alias("sentences"), corpus.composed(r, "text").alias("alone"))
 
 
+@query("SELECT DISTINCT source, " + ", ".join(f"replace({_quoted(n)}, '{{}}', source) AS {k}" for k, n in T.RESOURCES.items()) + " FROM documents WHERE source IS NOT NULL")
+def resource_names(spark, d):
+    sources = table(spark, d, "documents").select("source").distinct().where("source IS NOT NULL")
+    return sources.select("source", *[T.resource_name(F.col("source"), k).alias(k) for k in T.RESOURCES])
+
+
+@query("SELECT vec_id, item_id, text FROM (SELECT vec_id, vec_id % (SELECT count(*) FROM benchmark) AS spot FROM embeddings) JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) ON spot = place")
+def rows_by_index(spark, d):
+    """A benchmark passage for each vector, by its number; numbers start over at the table's end."""
+    items = table(spark, d, "benchmark").select("item_id", "text", F.row_number().over(W.orderBy("item_id")).alias("place"))  # a small table
+    return corpus.wrapped(table(spark, d, "embeddings").select("vec_id"), items.withColumn("place", F.col("place") - 1), "vec_id", "place")
+
+
+@query("SELECT max(len(embedding))::INTEGER AS size FROM embeddings")
+def vector_dimension(spark, d):
+    return spark.createDataFrame([(corpus.dimension(vectors(spark, d)),)], "size int")
+
+
 # ---- clusters ------------------------------------------------------------------------------------------------------
 
 
@@ -345,7 +364,10 @@ def kmeans_sizes(spark, d):
 
 @query()
 def elbow_curve(spark, d):
-    return rounded(cluster.elbow_curve(vectors(spark, d)), "sse", digits=4)
+    """The curve as its file has it, which is written anew after each k."""
+    path = scratch(spark, "curve")
+    cluster.elbow_curve(vectors(spark, d), save=lambda curve: files.write_curve(curve, path))
+    return rounded(files.read_curve(spark, path), "sse", digits=4)
 
 
 # ---- retrieval -----------------------------------------------------------------------------------------------------
@@ -466,6 +488,13 @@ def label_tokens(spark, d):
     return table(spark, d, "labels").select("doc_id", T.label_token(F.col("quality").cast("double")).alias("token"))
 
 
+@query(f"WITH {_NEG}, t AS (SELECT qtext, positive AS doctext, 'true' AS token FROM cand WHERE qid IN (SELECT qid FROM neg) UNION ALL SELECT qtext, negative, 'false' FROM cand JOIN neg USING (qid)) SELECT 'Query: ' || qtext || ' Document: ' || doctext || ' Relevant:' AS prompt, token FROM t")
+def prompt_train_rows(spark, d):
+    """What a sequence-to-sequence re-ranker learns from: prompts and the token each should give."""
+    rows = reranker_train_rows(spark, d)
+    return rows.select(T.pair_prompt(F.col("qtext"), F.col("doctext")).alias("prompt"), T.label_token(F.col("label")).alias("token"))
+
+
 # ---- scores and metrics --------------------------------------------------------------------------------------------
 
 
@@ -512,6 +541,15 @@ def row_counts(spark, d):
     return evaluate.one_row_each(dense_run(spark, d), "docid")
 
 
+@query("WITH p AS (SELECT vec_id, i, avg(embedding[t * 16 + i]::DOUBLE) FILTER (t <= label % 3) AS m FROM embeddings, range(4) a(t), range(1, 17) b(i) GROUP BY ALL) SELECT vec_id, i - 1 AS pos, round(m, 6) AS mean FROM p")
+def masked_mean_pool(spark, d):
+    """A vector's four quarters as tokens, of which the mask keeps one to three."""
+    quarters = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice("embedding", t * 16 + 1, 16))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: t <= F.col("label") % 3)
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(V.masked_mean(quarters, mask)).alias("pos", "mean"))
+    return rounded(rows.withColumn("pos", F.col("pos").cast("long")), "mean")
+
+
 # ---- models --------------------------------------------------------------------------------------------------------
 
 
@@ -525,13 +563,30 @@ def generate_queries(spark, d):
     return pipelines.generate_queries(docs(spark, d), TEMPLATE)
 
 
-@query()
+def _listed(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '{WS}+'), lambda w: w <> '')"
+
+
+_PAIRS = f"""{_BMRUN}, pair AS (SELECT r.qid, r.docid, {_listed("b.text")} AS want, {_listed("d.text")} AS have FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid JOIN benchmark b ON b.item_id::VARCHAR = r.qid WHERE d.text <> ''),
+hit AS (SELECT qid, docid, len(want) AS n, len(list_filter(want, lambda w: list_contains(have, w))) AS hits FROM pair)"""
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT qid, docid, coalesce(nullif(round(hits - ln(exp(hits::DOUBLE) + exp((n - hits)::DOUBLE)), 6), 0), 0e0) AS score FROM hit) SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s")
+def prompted_rerank(spark, d):
+    """The lexical run's candidates as prompts, by the share of "true" in two logits."""
+    scored = rounded(models.prompted_scores(_candidates(spark, d)), "score")
+    return evaluate.reranked(scored.withColumn("score", F.when(F.col("score") == 0, 0.0).otherwise(F.col("score"))))  # no minus zero
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT qid, docid, round(ln((hits + 5e-1) / (n + 1e0)), 6) AS score FROM hit), again AS (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM s),
+judged AS (SELECT b.qid, a.rank FROM bmrun b LEFT JOIN again a USING (qid, docid) WHERE b.rank = 1)
+SELECT 'nDCG@10' AS metric, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS value FROM judged UNION ALL SELECT 'R@100', round(avg(CASE WHEN rank <= 100 THEN 1e0 ELSE 0e0 END), 6) FROM judged""")
 def rerank_and_evaluate(spark, d):
     t = topics(spark, d)
     texts = docs(spark, d)
     first = retrieve.bm25_top(t, texts, {"doctext": 1.0}, 100, 6)
     second = evaluate.reranked(rounded(models.reranker_scores(retrieve.candidates(first, t, texts)), "score"))
-    return evaluate.metrics(second, first.where("rank = 1").select("qid", "docid", F.lit(1).alias("rel")))
+    return rounded(evaluate.metrics(second, first.where("rank = 1").select("qid", "docid", F.lit(1).alias("rel"))), "value")
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------
@@ -568,6 +623,58 @@ def predictions_roundtrip(spark, d):
     return back.select("qid", F.explode("scores").alias("docid", "score"))
 
 
+@query(f"WITH {_DOCS} SELECT docid, doctext FROM docs")
+def corpus_json_roundtrip(spark, d):
+    files.write_json(docs(spark, d), path := scratch(spark, "corpus"))
+    return files.read_corpus(spark, path)
+
+
+@query(f"WITH {_DOCS}, {_GENERATED} SELECT docid, doctext, question FROM gen")
+def generated_json_roundtrip(spark, d):
+    files.write_json(generated(spark, d), path := scratch(spark, "generated"))
+    return files.read_generated(spark, path)
+
+
+@query("SELECT item_id::VARCHAR AS qid, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS qtext FROM benchmark")
+def topics_tsv_roundtrip(spark, d):
+    files.write_topics(topics(spark, d), path := scratch(spark, "topics"))
+    return files.read_topics(spark, path)
+
+
+@query(f"WITH {_RUN} SELECT qid, docid, rank, score FROM run")
+def ranking_tsv_roundtrip(spark, d):
+    files.write_ranking(dense_run(spark, d), path := scratch(spark, "ranking"))
+    return files.read_ranking(spark, path)
+
+
+@query(f"WITH {_BMRUN} SELECT r.qid, b.text AS qtext, r.docid, r.rank, d.text FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid JOIN benchmark b ON b.item_id::VARCHAR = r.qid WHERE d.text <> ''")
+def testdata_file_roundtrip(spark, d):
+    files.write_json(files.nested(_candidates(spark, d)), path := scratch(spark, "testdata"))
+    return files.flat(files.read_test_data(spark, path, one_array=False))
+
+
+@query(f"WITH {_EMB}, t AS (SELECT docid, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM emb JOIN embeddings USING (vec_id)) SELECT docid, pos, round(x::DOUBLE, 6) AS x FROM t")
+def vectors_roundtrip(spark, d):
+    files.write_vectors(vectors(spark, d).select("docid", "embedding"), path := scratch(spark, "vectors"))
+    rows = files.read_vectors(spark, path).select("docid", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("docid", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query(f"WITH {_RUN}, {_QRELS} SELECT qid, docid, score, (q.rel IS NOT NULL)::INTEGER AS label FROM run LEFT JOIN qrels q USING (qid, docid)")
+def raw_predictions_roundtrip(spark, d):
+    judged = dense_run(spark, d).join(dense_qrels(spark, d), ["qid", "docid"], "left").withColumn("label", F.coalesce("rel", F.lit(0)))
+    files.write_raw_predictions(judged, path := scratch(spark, "raw"))
+    return spark.read.parquet(path)
+
+
+@query("SELECT source, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 100")
+def head_of_each_file(spark, d):
+    """A file for each source, read together, and the first 100 rows of each."""
+    path = scratch(spark, "parts")
+    table(spark, d, "documents").select("source", "doc_id", "text").write.partitionBy("source").parquet(path)
+    return corpus.head_of_each(spark.read.parquet(path), "source", "doc_id", 100).select("source", "doc_id", "text")
+
+
 # ---- flagship ------------------------------------------------------------------------------------------------------
 
 

@@ -74,6 +74,23 @@ def write_tabbed(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", *[T.one_line(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns])).write.text(path)
 
 
+def write_topics(topics: DataFrame, path: str) -> None:
+    write_tabbed(topics.select("qid", "qtext"), path)
+
+
+def write_ranking(run: DataFrame, path: str) -> None:
+    write_tabbed(run.select("qid", "docid", "rank", "score"), path)
+
+
+def write_curve(curve: DataFrame, path: str) -> None:
+    """(k, sse) so far, in place of what was written after the k before."""
+    write_json(curve, path, "overwrite")
+
+
+def read_curve(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("k int, sse double").option("mode", "FAILFAST").json(path)
+
+
 def write_training(rows: DataFrame, path: str) -> None:
     """One JSON array a line: query, document, label."""
     row = F.to_json(F.array(*[F.col(c).cast("variant") for c in ("qtext", "doctext", "label")]))
@@ -109,6 +126,11 @@ def predictions(scored: DataFrame) -> DataFrame:
     return once.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("docid", "score"))).alias("scores"))
 
 
+def write_raw_predictions(scored: DataFrame, path: str) -> None:
+    """A model's outputs with their labels, a row a pair: (qid, docid, score, label), as Parquet."""
+    scored.select("qid", "docid", "score", "label").write.parquet(path)
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.parquet(path)
 

@@ -1,9 +1,11 @@
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankloom.functions import vector as V
 from rankloom.operators import cluster, corpus, evaluate, mine, models, retrieve, sample
 from rankloom.sources import files
 from rankloom.streaming import queries as streaming
@@ -226,3 +228,43 @@ def test_recall_grows_with_probes(spark, sf):
     few, half, every = ({(r.qid, r.docid) for r in retrieve.probed(q, v, cent, 10, n).collect()} for n in (4, 8, 16))
     assert every == {(r.qid, r.docid) for r in retrieve.dense(q, v, 10).collect()}
     assert 0.25 * len(every) < len(few & every) < len(half & every) <= len(every)
+
+
+@pytest.mark.parametrize("block, blocks", [(3, 2), (1, 16), (100, 1)])
+def test_blocks_and_passes_change_nothing(spark, sf, block, blocks, monkeypatch):
+    from rankloom.plans import queries as Q
+
+    def found():
+        fields = Q.docs(spark, sf).withColumn("title", F.substring("doctext", 1, 40))
+        lexical = retrieve.bm25_top(Q.topics(spark, sf).limit(11).unionAll(spark.createDataFrame([("none", "")], "qid string, qtext string")), fields, {"doctext": 1.0, "title": 0.5}, 9, 6)
+        return sorted(retrieve.dense(Q.dense_queries(spark, sf), Q.vectors(spark, sf), 9, 6).collect()), sorted(lexical.collect())
+
+    want = found()
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "BLOCKS", blocks)
+    assert found() == want and want[0] and want[1]
+
+
+def test_wrapped(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "place int, name string")
+    at = spark.createDataFrame([(0,), (4,), (3,), (-1,), (None,)], "i int")
+    assert {(r.i, r.name) for r in corpus.wrapped(at, rows, "i", "place").collect()} == {(0, "a"), (4, "b"), (3, "a"), (-1, "c")}
+    assert corpus.wrapped(at, rows.where("false"), "i", "place").count() == 0
+
+
+def test_masked_mean_column(spark):
+    rows = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 6.0]], [1, 1]), (2, [[1.0, 2.0], [3.0, 6.0]], [0, 1]), (3, [[1.0, 2.0]], [0])], "i int, t array<array<double>>, m array<int>")
+    assert {r.i: r.v for r in rows.select("i", V.masked_mean(F.col("t"), F.col("m")).alias("v")).collect()} == {1: [2.0, 4.0], 2: [3.0, 6.0], 3: [0.0, 0.0]}
+
+
+def test_prompted_scores(spark):
+    pairs = spark.createDataFrame([("q", "a", "red boat", "A red boat"), ("q", "b", "red boat", None), ("r", "a", None, "x")], "qid string, docid string, qtext string, text string")
+    got = {(r.qid, r.docid): r.score for r in models.prompted_scores(pairs).collect()}
+    assert got[("q", "a")] == pytest.approx(-math.log1p(math.exp(-2))) and got[("q", "b")] == pytest.approx(-2 - math.log1p(math.exp(-2))) and got[("r", "a")] == pytest.approx(-math.log(2))
+
+
+def test_curve_is_written_anew(spark, tmp_path):
+    path = str(tmp_path / "curve")
+    for upto in (1, 2):
+        files.write_curve(spark.createDataFrame([(5, 9.0), (10, 4.0)][:upto], "k int, sse double"), path)
+    assert [tuple(r) for r in files.read_curve(spark, path).orderBy("k").collect()] == [(5, 9.0), (10, 4.0)]
