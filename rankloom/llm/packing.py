@@ -14,8 +14,9 @@ its own. Null doc_id: a document like others. Empty table: empty result.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY, END_ID, VOCABULARY = 4096, 2, "word_bpe_49k.json"
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 120_000
-#: Letters below this code point are spelled here; lower case and normal form are theirs alone there.
+#: Letters below this code point, but for capital I with a dot, have lower case and normal form of their own.
 LATIN = 0x250
-#: Signs that end a word, and aren't letters, digits or white space.
-ENDINGS = ",.;:!?)\"'"
+#: What tells the vocabulary's tokens that end a word.
+WORD_END = "</w>"
+#: Signs that only part words; other white space goes through the library.
+BLANKS = " \t\n\v\f\r"
 #: A length's pieces are numbered in this many parts, so that a hot length is no single task.
 PARTS = 256
 
@@ -44,65 +45,64 @@ def tokenizer_file(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Words(dict):
-    """The ids of words, as bytes, in two generations: when the younger is full it becomes the older, which is forgotten.
+class Spelling:
+    """text -> its ids, by ranks: what the vocabulary's splitter leaves whole is followed by one blank, which stands for the
+    end of a word, and tokens are bytes that merge in the order of their ids.
 
-    A word in plain Latin letters is cut as the vocabulary's splitter would, and only the merges are left to the
-    library; any other word, and one that may hold a special token, goes through all of it.
+    Merging by ranks gives what the listed merges give, as every token is its own spelling (a test tries them all).
+    Words with other letters than plain Latin, control signs or a special token go through the library as they are.
     """
 
-    def __init__(self, path: str | None, most: int):
-        import regex
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
-        self.vocabulary = Tokenizer.from_file(path or tokenizer_file())
-        self.merge, self.most, self.older = self.vocabulary.model.tokenize, most, {}
-        self.cuts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         # the byte alphabet of byte-level vocabularies: printable bytes stand for themselves, the rest follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.spelled = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(LATIN)}
-
-    def of_cut(self, cut: str) -> bytes:
-        """A piece that the splitter leaves whole; as a word of its own it has the same ids."""
-        if (out := self.get(cut)) is None and (out := self.older.get(cut)) is None:
-            out = array("I", [t.id for t in self.merge(cut if cut.isascii() else cut.translate(self.spelled))]).tobytes()
-            self.keep(cut, out)
-        return out
-
-    def keep(self, word: str, out: bytes) -> bytes:
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[word] = out
-        return out
-
-    def __missing__(self, word: str) -> bytes:
-        if (out := self.older.get(word)) is None:
-            if not (word.isascii() or max(word) < chr(LATIN) and "\u0130" not in word) or not word.isprintable() or "<|" in word:
-                out = array("I", self.vocabulary.encode(word, add_special_tokens=False).ids).tobytes()
-            elif (run := word.rstrip(ENDINGS)).isalpha():  # letters, then perhaps one run of other signs
-                lower = run.lower()
-                out = self.of_cut(lower)
-                if lower == word:
-                    return out
-                if len(run) < len(word):
-                    out += self.of_cut(word[len(run) :])
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for t, i in vocabulary.items()}
+        ranked = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\0": len(ranks)})
+        self.ranked, self.library = ranked.encode_to_numpy, Tokenizer.from_file(path)
+
+        kinds = {i: unicodedata.category(chr(i))[0] for i in range(LATIN)}
+        signs, numbers = ("".join(re.escape(chr(i)) for i, k in kinds.items() if k in want) for want in ("MPS", "N"))
+        self.short = re.compile(f"'(?<![{signs}]')(s|t|re|ve|m|ll|d)").sub
+        self.signs, self.numbers = re.compile(f"[{signs}][{signs}]*").sub, re.compile(f"[{numbers}]").sub
+        other = "".join(re.escape(chr(i)) for i, k in kinds.items() if k in "CZ" and chr(i) not in BLANKS)
+        self.odd = re.compile(f"[{other}\u0130{chr(LATIN)}-\U0010ffff]").search
+
+    def plain(self, text: str) -> bytes:
+        text = text.lower()
+        for c in BLANKS[1:]:
+            text = text.replace(c, " ")
+        if "'" in text:
+            text = self.short(" \0\\1 ", text)
+        text = self.numbers(r" \g<0> ", self.signs(r" \g<0> ", text))
+        return self.ranked(text.replace("\0", "'") + " ", disallowed_special=()).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if not self.odd(text) and "<|" not in text:
+            return self.plain(text)
+        for c in BLANKS[1:]:
+            text = text.replace(c, " ")
+        out, run = [], []
+        for word in text.split(" "):
+            if self.odd(word) or "<|" in word:
+                out += [self.plain(" ".join(run)), np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()]
+                run = []
             else:
-                out = b"".join(map(self.of_cut, self.cuts(word.lower())))
-        return self.keep(word, out)
+                run.append(word)
+        return b"".join([*out, self.plain(" ".join(run))])
 
 
 @lru_cache(maxsize=2)
 def id_bytes(path: str | None = None) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit numbers. A worker process keeps it, with its memory, over tasks.
-
-    The vocabulary drops white space, so a text's ids are those of its parts between blanks and newlines, which recur.
-    """
-    of = Words(path, REMEMBERED).__getitem__
-    return lambda text: b"".join(map(of, text.replace("\n", " ").split(" ")))
+    """text -> its ids as little-endian unsigned 32-bit numbers. A worker process keeps the vocabulary over tasks, and no words."""
+    return Spelling(path or tokenizer_file())
 
 
 def cut(path: str | None, capacity: int, end_id: int):

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -14,12 +15,40 @@ def ids(text, vocabulary):
 
 def test_ids_equal_the_tokenizer():
     vocabulary, fast, rng = Tokenizer.from_file(packing.tokenizer_file()), packing.id_bytes(), random.Random(2)
-    letters = "abcXYZ019 \n\t'é'ñßÄ²ªº½\xa0\x85.,!don't I'll É İ ΣΑΣ 漢字 😀 ſ ŉ _- "
+    letters = "abcXYZ019 \n\t\r\v\f\x00\x1f'é'ñßÄ²ªº½\xa0\x85\xad.,!don't I'll É İ ΣΑΣ 漢字 😀 ſ ŉ ǅ ɏ ɐ _-+`´¨\u0301\u2028 "
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["a<|endoftext|>b", "<|startoftext|>", "'S x's9's", ""]
     for t in texts:
         assert fast(t) == ids(t, vocabulary)[:-1].tobytes(), t
 
 
+def test_ids_of_plain_text():
+    vocabulary, fast, rng = Tokenizer.from_file(packing.tokenizer_file()), packing.id_bytes(), random.Random(5)
+    plain = [chr(i) for i in range(0x250)]
+    words = ["the", "und", "they're", "we've", "I'm", "'tis", "d'été", "rock'n'roll", "''s", "!'ll", "x" * 3000, "ab" * 2000, "1234", "a_b", "www.x.org"]
+    texts = ["".join(rng.choice(plain) for _ in range(rng.randrange(80))) for _ in range(2000)]
+    texts += [rng.choice(" \n\r").join(rng.choice([rng.choice(words), "".join(rng.choice(plain[33:]) for _ in range(rng.randrange(12)))]) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    for t in texts:
+        assert fast(t) == ids(t, vocabulary)[:-1].tobytes(), t
+
+
+def test_every_token_is_its_own_spelling():
+    """Ranks give what the listed merges give if each merge, in its order, makes a new token of what its text has become by then."""
+    with open(packing.tokenizer_file(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = {m: i for i, m in enumerate(merges)}
+    for a, b in merges:
+        text, end = (a + b).removesuffix(packing.WORD_END), (a + b).endswith(packing.WORD_END)
+        parts = [*text[:-1], text[-1] + packing.WORD_END * end]
+        while len(parts) > 2:
+            rank, at = min((order.get(pair, len(order)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            assert rank < order[a, b], (a, b)
+            parts[at : at + 2] = ["".join(parts[at : at + 2])]
+        assert parts == [a, b]
+    made = [model["vocab"][a + b] for a, b in merges]
+    assert made == sorted(set(made)) and made[0] == len(model["vocab"]) - len(merges)
+
+
 def test_filling_uses_every_piece_once():
     rng = random.Random(3)
     for _ in range(60):
