@@ -401,15 +401,22 @@ def near_links(distinct: DataFrame, folder: str) -> DataFrame:
                 value = ring_values(segments_of(part.column(0).to_pylist()))
                 first = np.tile(np.arange(every, dtype=np.int32), len(value))
                 again = pa.array(np.repeat(np.arange(len(value)), every))
-                yield pa.record_batch([*(c.take(again) for c in part.columns), pa.array(first), pa.array(value.ravel().astype(np.int32))], names=["fp", "place", "n", "first", "value"])
-
-    rows = distinct.select("fp", "place", "n").mapInArrow(spread, "fp binary, place long, n long, first int, value int")
-    # bounded: at most 28 segments a ring of 2^12 values, and only those of more than a chunk
-    large = rows.groupBy("first", "value").agg(F.ceil(F.count("*") / F.lit(usual)).cast("int").alias("chunks")).where("chunks > 1")
-    rows = rows.join(F.broadcast(large), ["first", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("place"), F.col("chunks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("fp", "place", "n", "first", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+                yield pa.record_batch([*(c.take(again) for c in part.columns), pa.array(first), pa.array(value.ravel().astype(np.int32))], names=["fp", "place", "n", "label", "first", "value"])
+
+    kinds = "fp binary, place long, n long, label long, first int, value int"
+    rows = distinct.select("fp", "place", "n", F.lit(None).cast("long").alias("label")).mapInArrow(spread, kinds)
+    # a pivot of each bucket: its least place, as turned for the segment. Bounded: of 56 segments at most 2^10 values are as hot
+    turn = F.xxhash64("first")
+    hot = rows.groupBy("first", "value").agg(F.count("*").alias("rows"), F.min(F.col("place").bitwiseXOR(turn)).alias("turned")).where(F.col("rows") > usual)
+    hot = staged(hot.select("first", "value", "rows", F.col("turned").bitwiseXOR(turn).alias("place")), "near-hot")
+    found = None
+    if hot.isEmpty():
+        rows = rows.withColumns({"x": F.lit(0), "y": F.lit(0)})
+    else:
+        labelled = staged(_with_pivots(distinct, hot, folder), "near-labelled")
+        found = labelled.where("label <> place").select(F.col("label").alias("a"), F.col("place").alias("b"))
+        rows = _dealt(labelled.mapInArrow(spread, kinds), hot.drop("place"), usual)
+    rows = rows.select("fp", "place", "n", "first", "value", "x", "y")
     groups = max(1, -(-n // GROUP))
     # of a group's rows the segment's value is in the fingerprint
     rows = rows.select("fp", "place", "n", "x", "y", "first", F.pmod(F.xxhash64("value", "x", "y"), F.lit(groups)).cast("int").alias("part"))
@@ -432,7 +439,77 @@ def near_links(distinct: DataFrame, folder: str) -> DataFrame:
         at = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": place[label[at]], "b": place[at]})
 
-    return rows.groupBy("first", "part").applyInArrow(search, "a long, b long")
+    searched = rows.groupBy("first", "part").applyInArrow(search, "a long, b long")
+    return searched if found is None else searched.unionAll(found)
+
+
+def _with_pivots(distinct: DataFrame, hot: DataFrame, folder: str) -> DataFrame:
+    """``distinct`` with label: the place of a pivot that the row is linked with, of those in its ``hot`` buckets; null without.
+
+    Pivots linked among themselves give one label. On the driver and broadcast: the pivots, one a hot bucket.
+    """
+    chosen = distinct.join(F.broadcast(hot.select("place", "first", "value")), "place").select("fp", "place", "n", "first", "value").collect()
+    known = sorted({(r.place, r.n, bytes(r.fp)) for r in chosen})
+    number = {place: i for i, (place, _, _) in enumerate(known)}
+    at_bucket = np.full((RINGS * NEAR_SEGMENTS, 1 << NEAR_BITS), -1, np.int32)
+    for r in chosen:
+        at_bucket[r.first, r.value] = number[r.place]
+    pivots = distinct.sparkSession.sparkContext.broadcast((known, at_bucket))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at_bucket = pivots.value
+        ring_of_pivots = ring_from(segments_of([fp for _, _, fp in known]), 0)
+        sets = lru_cache(maxsize=256)(lambda place, n: shingles_at(folder, place, n))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                bits, size = segments_of(part.column(0).to_pylist()), part.num_rows
+                row, slot = np.nonzero((tried := at_bucket[np.arange(RINGS * NEAR_SEGMENTS)[None, :], ring_values(bits)]) >= 0)
+                row, pivot = np.unique(np.stack([row, tried[row, slot]]), axis=1)
+                near = near_pairs(row, size + pivot, np.concatenate([ring_from(bits, 0), ring_of_pivots]), reach=NEAR_REACH)
+                place, n = part.column(1).to_pylist(), part.column(2).to_pylist()
+                label: list[int | None] = [None] * size
+                for i, p in zip(row[near].tolist(), pivot[near].tolist(), strict=True):  # the first pivots first
+                    its, count, _ = known[p]
+                    if label[i] is None and (its == place[i] or 5 * min(count, n[i]) >= 4 * max(count, n[i]) and alike(sets(its, count), shingles_at(folder, place[i], n[i]))):
+                        label[i] = its
+                yield pa.record_batch([*part.columns, pa.array(label, pa.int64())], names=["fp", "place", "n", "label"])
+
+    labelled = staged(distinct.select("fp", "place", "n").mapInArrow(run, "fp binary, place long, n long, label long"), "near-pivots")
+    of_pivots = F.broadcast(distinct.sparkSession.createDataFrame([(place,) for place, _, _ in known], "place long"))
+    first = {r.place: r.label for r in labelled.join(of_pivots, "place").select("place", "label").collect()}
+    roots = []
+    for place in sorted(first):  # a pivot's label is a pivot no greater than itself
+        first[place] = first[first[place]] if first[place] != place else place
+        roots.append((place, first[place]))
+    roots = F.broadcast(distinct.sparkSession.createDataFrame(roots, "label long, root long"))
+    return labelled.join(roots, "label", "left").select("fp", "place", "n", F.col("root").alias("label"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, usual: int) -> DataFrame:
+    """``rows`` of buckets, with the groups x, y of a bucket that each is compared in: one, unless its bucket is ``hot``.
+
+    The rows of a hot bucket's commonest label are linked already. They are cut into chunks, numbered down from -1, which
+    meet those of the bucket's other rows, and not one another; the others' chunks also meet pairwise.
+    """
+    labels = rows.where(F.col("label").isNotNull()).join(F.broadcast(hot), ["first", "value"]).groupBy("first", "value", "label").agg(F.count("*").alias("m"))
+    major = labels.groupBy("first", "value").agg(F.max(F.struct("m", "label")).alias("major"))
+    chunks = lambda c: F.ceil(c / F.lit(usual)).cast("int")
+    m = F.coalesce(F.col("major.m"), F.lit(0))
+    plan = hot.join(major, ["first", "value"], "left").select("first", "value", F.col("major.label").alias("major"), chunks(m).alias("linked"), chunks(F.col("rows") - m).alias("others"))
+    rows = rows.join(F.broadcast(plan), ["first", "value"], "left")
+    is_major = F.coalesce(F.col("label") == F.col("major"), F.lit(False))
+    own = F.pmod(F.xxhash64("place"), F.when(is_major, F.col("linked")).otherwise(F.col("others"))).cast("int")
+    up_to = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    group = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    rows = rows.withColumn("own", own)
+    linked = F.transform(up_to("others"), lambda i: group(-1 - F.col("own"), i))
+    other = F.concat(
+        F.transform(up_to("linked"), lambda i: group(-1 - i, F.col("own"))),
+        F.transform(up_to("others"), lambda i: group(F.least("own", i), F.greatest("own", i))),
+    )
+    ways = F.when(F.col("others").isNull(), F.array(group(F.lit(0), F.lit(0)))).when(is_major, linked).otherwise(other)
+    return rows.withColumn("way", F.explode(ways)).select("*", "way.x", "way.y")
 
 
 def near_components(docs: DataFrame) -> DataFrame:

@@ -250,6 +250,38 @@ def test_links_are_those_of_exact_similarity(spark, chunk, small, monkeypatch):
     assert got == want and 20 < len(set(want.values())) - len(rows) // 2 < 80
 
 
+def hot_rows():
+    """A third of the texts copies of one another, some too far from the others' pivot, a chain of copies beyond them, and texts apart."""
+    rng = random.Random(11)
+    base = [f"h{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(400), rng.randrange(1, 14)):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words), "s"))
+    words = list(base)
+    for i in range(200, 240):
+        for at in rng.sample(range(400), 4):
+            words[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(words), "s"))
+    return rows + [(20_000 + i, t, s) for i, t, s in pairs_about(9, [12, 14, 16, 17, 18, 20] * 8)] + [(9000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60)), "s") for i in range(100)]
+
+
+@pytest.mark.parametrize("chunk", [4])
+def test_hot_copies_lose_no_link_and_stay_few(spark, chunk, monkeypatch):
+    """Components are the same however small a chunk is; rows linked with a bucket's pivot are sent once for each chunk of the rest."""
+    monkeypatch.setattr(simhash, "NEAR_SMALL", 0)
+    rows = hot_rows()
+    whole = {r.doc_id: r.component_id for r in simhash.near_components(made(spark, rows)).collect()}
+    sent, dealt = [], simhash._dealt
+    monkeypatch.setattr(simhash, "NEAR_CHUNK", chunk)
+    monkeypatch.setattr(simhash, "_dealt", lambda r, hot, usual: sent.append((r.join(hot.select("first", "value"), ["first", "value"], "left_semi").count(), dealt(r, hot, usual).join(hot.select("first", "value"), ["first", "value"], "left_semi").count(), hot.count())) or dealt(r, hot, usual))
+    assert {r.doc_id: r.component_id for r in simhash.near_components(made(spark, rows)).collect()} == whole == jaccard_groups(rows)
+    ((before, after, hot),) = sent
+    assert hot >= 40 and after < before * 12
+
+
 def test_candidates_need_no_chain():
     """Pairs that agree in the first segment are found by the full distance, wherever their differences stand."""
     rng = np.random.default_rng(4)
