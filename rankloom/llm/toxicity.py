@@ -70,26 +70,28 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 1) -> Machine:
-    """AdaGrad on the logistic loss. rows: each document's terms; chosen: the model's terms, sorted."""
+def fit(places: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 1) -> Machine:
+    """AdaGrad on the logistic loss. places: of each document's terms among ``chosen``, the model's terms, sorted.
+
+    Places may be of any integer type; a batch alone is widened.
+    """
     y = np.asarray(labels, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Machine(prior)
-    places = [Machine(0.0, chosen).places(r) for r in rows]
     place = np.concatenate(places)
     starts = np.cumsum([0, *map(len, places)])
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)), prior
     gw, gv, gb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(places))
         for lo in range(0, len(order), BATCH):
             batch = order[lo : lo + BATCH]
             size = starts[batch + 1] - starts[batch]
             row = np.repeat(np.arange(len(batch)), size)
-            p = place[np.repeat(starts[batch], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
+            p = place[np.repeat(starts[batch], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)].astype(np.int64)
             s = np.stack([np.bincount(row, v[p, f], len(batch)) for f in range(FACTORS)], 1)
             q = np.bincount(row, (v[p] ** 2).sum(axis=1), len(batch))
             score = b + np.bincount(row, w[p], len(batch)) + 0.5 * ((s * s).sum(axis=1) - q)
@@ -143,16 +145,16 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_terms:
     far = found.where((F.col("n") >= LEAST) & (F.abs(F.col("pos") - F.col("n") * rate) >= 3 * spread))
     best = far.orderBy(F.desc(F.abs(F.col("pos") - F.col("n") * rate) / spread), term).limit(most_terms).select("term").collect()
     chosen = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
-    model = rows.sparkSession.sparkContext.broadcast(Machine(0.0, chosen))
+    model, narrow = rows.sparkSession.sparkContext.broadcast(Machine(0.0, chosen)), np.min_scalar_type(len(chosen))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = model.value
-            kept = [m.terms[m.places(np.frombuffer(t.as_py(), np.uint64))].tobytes() for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "y", "terms"])
+            kept = [m.places(np.frombuffer(t.as_py(), np.uint64)).astype(narrow).tobytes() for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "y", "places"])
 
-    few = sorted(rows.mapInArrow(own, "id string, y int, terms binary").collect())
-    return fit([np.frombuffer(r.terms, np.uint64) for r in few], np.array([r.y for r in few]), chosen)
+    few = sorted(rows.mapInArrow(own, "id string, y int, places binary").collect())
+    return fit([np.frombuffer(r.places, narrow) for r in few], np.array([r.y for r in few]), chosen)
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
