@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, htmltext, mixing, ngram, packing, pii, simhash, topk, toxicity, warc
+from . import ann, htmltext, mixing, ngram, packing, patterns, pii, retention, simhash, topk, toxicity, warc, whitening
 from .common import staged, vectors_of
 
 
@@ -56,9 +56,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_topk": topk.oracle(20, 20), "op9_mixing": mixing.oracle()}
+    return {"op6_exact_topk": topk.oracle(20, 20), "op9_mixing": mixing.oracle(), "op11_retention": retention.oracle()}

@@ -6,6 +6,8 @@ import pytest
 
 from rankloom.llm import pii
 
+from .conftest import made
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -75,7 +77,7 @@ def test_report(spark, odd, none):
 
 
 def test_redacted_keeps_columns(spark, odd, none):
-    docs = odd.limit(1).unionByName(spark.createDataFrame([(1, "to a@b.cd and c [at] d [dot] com", "en", "s", 30, 0.5, 3, 1, 9)], odd.schema))
+    docs = odd.limit(1).unionByName(made(spark, [(1, "to a@b.cd and c [at] d [dot] com", "s")]))
     rows = {r.text: r for r in pii.redacted(docs).collect()}
     assert "to <EMAIL> and <EMAIL>" in rows and rows["to <EMAIL> and <EMAIL>"].n_chars == 22
     assert pii.redacted(docs).columns == odd.columns and pii.redacted(none).count() == 0
