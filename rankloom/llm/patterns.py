@@ -29,8 +29,8 @@ from .packing import pieces, placed
 CAPACITY, END_ID = 4096, 1
 #: Classes of length, documents of a pattern, and what the weight of a class grows with its length by.
 CLASSES, DEPTH, STEEP = 256, 3, 1.0
-#: Pieces of one length that a task numbers.
-NUMBERED = 100_000
+#: Pieces of one length that a task numbers at once, at most; fewer where they are more than 1 / (SHARES x shuffle partitions) of all.
+NUMBERED, SHARES = 100_000, 8
 
 
 def patterns(classes: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -182,7 +182,9 @@ def plan_of(groups: list[tuple[Counter, int]], first: int) -> np.ndarray:
 def _numbered(found: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``found`` with ``rank``, numbering the pieces of each length from 0. A common length is numbered in parts."""
     key, spread, parts, rows, before, number = free(found, "key", "spread", "parts", "rows", "before", "number")
-    sizes = found.sparkSession.createDataFrame([(n, -(-c // NUMBERED)) for n, c in histogram.items()], f"length long, {parts} long")  # as few as the lengths
+    spark = found.sparkSession
+    each = max(1, min(NUMBERED, sum(histogram.values()) // (SHARES * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    sizes = spark.createDataFrame([(n, -(-c // each)) for n, c in histogram.items()], f"length long, {parts} long")  # as few as the lengths
     dealt = found.join(F.broadcast(sizes), "length").withColumn(spread, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.col(parts)))
     dealt = staged(dealt.drop(parts), "patterns-dealt")
     counts = dealt.groupBy("length", spread).agg(F.count("*").alias(rows))
