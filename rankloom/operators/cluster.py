@@ -170,15 +170,26 @@ def fit_centroids(vectors: DataFrame, k: int, seed: int = SAMPLER_SEED, iteratio
     return vectors.sparkSession.createDataFrame(rows, "cluster long, centroid array<double>")
 
 
-def elbow_curve(vectors: DataFrame, ks: tuple[int, ...] = ELBOW_KS, seed: int = ELBOW_SEED, iterations: int = ITERATIONS, save=None) -> DataFrame:
-    """(k, sse) for each k that the vectors can fill. save: called with the curve so far after each k."""
-    spark, n, curve = vectors.sparkSession, vectors.count(), []
-    for k in (k for k in ks if k <= n):
-        centroids = fit_centroids(vectors, k, seed, iterations)
-        affinity = affinities(assigned(vectors, centroids), vectors, centroids)
-        curve.append((k, float(cosine_sse(affinity).first()[0])))
-        if save:
-            save(spark.createDataFrame(curve, "k int, sse double"))
+def elbow_curve(vectors: DataFrame, ks: tuple[int, ...] = ELBOW_KS, seed: int = ELBOW_SEED, iterations: int = ITERATIONS, save=None, key: str = "docid", column: str = "embedding") -> DataFrame:
+    """(k, sse) for each k that the vectors can fill: the sum of squared cosine distances to the own centroid.
+
+    All ks start from the vectors whose keys have the least hash, and share the scans of ``kmeans.lloyd``; the vectors are cached
+    meanwhile. save: called with the curve so far after each k, in the order of ks.
+    """
+    from . import kmeans
+
+    spark = vectors.sparkSession
+    points = V.usable(vectors, column).select(V.doubles(F.col(column)).alias("vec")).cache()
+    try:
+        n = points.count()
+        ks = tuple(k for k in ks if k <= n)
+        begin = kmeans.starts(vectors, max(ks, default=0), seed, key, column)
+        fits = kmeans.lloyd(points, [kmeans.Problem(begin[:k]) for k in ks], iterations) if ks else []
+    finally:
+        points.unpersist()
+    curve = [(k, f.cosine_sse) for k, f in zip(ks, fits, strict=True)]
+    for i in range(len(curve) if save else 0):
+        save(spark.createDataFrame(curve[: i + 1], "k int, sse double"))
     return spark.createDataFrame(curve, "k int, sse double")
 
 

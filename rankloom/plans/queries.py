@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cluster, corpus, evaluate, mine, models, retrieve, sample
+from ..operators import cluster, corpus, evaluate, ivf, mine, models, retrieve, sample
 from ..sources import files
 from . import pipelines
 
@@ -27,9 +27,6 @@ Relevant Query: ferry timetable spring
 Document: {document}
 Relevant Query: {query}
 """
-# A falling convex curve, with the numbers of clusters that the elbow search tries.
-CURVE = ((5, 1000.0), (10, 700.0), (50, 360.0), (100, 280.0), (500, 190.0), (1000, 170.0), (5000, 130.0), (10000, 120.0))
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -344,7 +341,32 @@ def pairwise_pool_cosine(spark, d):
     return rounded(sample.pair_similarity(gumbel_pool(spark, d), vectors(spark, d)), "cos")
 
 
-_KNEE = f"""WITH curve(k, sse) AS (VALUES {", ".join(f"({k}, {s}e0)" for k, s in CURVE)}),
+def _lloyd_sql(ks: tuple[int, ...], seed: int, rounds: int) -> str:
+    """Common table expressions that end in ``curve`` (k, sse): Lloyd's rounds one after another, for all ks."""
+    near = "SELECT k, docid, min(struct_pack(d := list_distance(v, c) ** 2, cluster := cluster)) AS n FROM emb, c{0} GROUP BY k, docid"
+    parts = [f"tried AS (SELECT k FROM (SELECT unnest([{', '.join(map(str, ks))}]) AS k) WHERE k <= (SELECT count(*) FROM emb))"]
+    parts.append(f"c0 AS (SELECT k, r - 1 AS cluster, v AS c FROM tried JOIN (SELECT v, row_number() OVER (ORDER BY md5(docid || '|{seed}'), docid) AS r FROM emb) ON r <= k)")
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({near.format(i)})")
+        parts.append(f"m{i} AS (SELECT k, cluster, list(x ORDER BY pos) AS c FROM (SELECT k, cluster, pos, avg(x) AS x FROM (SELECT k, n.cluster AS cluster, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a{i} JOIN emb USING (docid)) GROUP BY ALL) GROUP BY ALL)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, cluster, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (k, cluster))")
+    parts.append(f"last AS ({near.format(rounds)})")
+    parts.append(f"curve AS (SELECT l.k::INTEGER AS k, round(sum((1 - list_cosine_similarity(v, c)) ** 2), 4) AS sse FROM last l JOIN emb USING (docid) JOIN c{rounds} ON c{rounds}.k = l.k AND c{rounds}.cluster = l.n.cluster GROUP BY l.k)")
+    return f"{_EMB}, " + ",\n".join(parts)
+
+
+#: Rounds of the sweep that has SQL.
+SWEEP_ROUNDS = 3
+_SWEEP = _lloyd_sql(cluster.ELBOW_KS, cluster.ELBOW_SEED, SWEEP_ROUNDS)
+
+
+@query(f"WITH {_SWEEP} SELECT k, sse FROM curve")
+def elbow_sweep(spark, d):
+    """The curve after few rounds, from all the vectors and for every number of clusters that they fill."""
+    return rounded(cluster.elbow_curve(vectors(spark, d), iterations=SWEEP_ROUNDS), "sse", digits=4)
+
+
+_KNEE = f"""WITH {_SWEEP},
 h AS (SELECT k, 1 - (sse - min(sse) OVER ()) / (max(sse) OVER () - min(sse) OVER ()) - (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE AS d FROM curve),
 n AS (SELECT *, lag(d) OVER (ORDER BY k) AS b, lead(d) OVER (ORDER BY k) AS a, count(*) OVER () AS n FROM h),
 m AS (SELECT a.k, a.d - 1e-2 / (a.n - 1) AS least, (SELECT min(z.k) FROM n z WHERE z.k > a.k AND z.d >= z.b AND z.d >= z.a AND (z.d > z.b OR z.d > z.a)) AS upto FROM n a WHERE a.d >= a.b AND a.d >= a.a AND (a.d > a.b OR a.d > a.a))
@@ -353,7 +375,8 @@ SELECT min(m.k) AS knee FROM m WHERE EXISTS (SELECT 1 FROM h WHERE h.k > m.k AND
 
 @query(_KNEE)
 def knee_point(spark, d):
-    return cluster.knee(spark.createDataFrame(list(CURVE), "k int, sse double"))
+    """From vectors to the number of clusters: where the swept curve bends."""
+    return cluster.knee(elbow_sweep(spark, d))
 
 
 @query()
@@ -449,9 +472,9 @@ def query_tokens(spark, d):
 
 @query(f"WITH {_RUN}, {_TOKENS}, s AS ({_MAXSIM} ON q.vec_id % 50 = 0 JOIN run ON run.qid = q.docid AND run.docid = e.docid GROUP BY ALL) SELECT qid, docid, round(sum(sim), 6) AS score FROM s GROUP BY ALL")
 def late_interaction_maxsim(spark, d):
-    """The dense run's 100 candidates of each query, scored by late interaction."""
-    near = dense_run(spark, d).select("qid", "docid").join(tokens(spark, d, "dvec").select("docid", "dvec"), "docid")
-    return rounded(retrieve.max_sim(query_tokens(spark, d), near), "score")
+    """The dense run's 100 candidates of each query, scored by late interaction from the stored documents of an index."""
+    ivf.store_documents(tokens(spark, d, "dvec"), path := scratch(spark, "documents"), "dvec")
+    return rounded(ivf.rescored(dense_run(spark, d), query_tokens(spark, d), ivf.documents(spark, path)), "score")
 
 
 @query(f"WITH {_EMB}, {_TOKENS}, s AS ({_MAXSIM} ON q.vec_id % 50 = 0 GROUP BY ALL), t AS (SELECT qid, docid, round(sum(sim), 6) AS score FROM s GROUP BY ALL) SELECT * FROM (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM t) WHERE rank <= 100")
