@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,16 +29,47 @@ def pool(affinity: DataFrame, quota: DataFrame, seeds: tuple[int, ...] = DRAW_SE
     """(cluster, docid, quota): all documents that one of the draws picks.
 
     A draw of ``quota`` documents without replacement, each with weight exp(cos / temperature), is the top ``quota`` of
-    cos / temperature plus Gumbel noise. The rank filter stands right on the window, so each map task keeps no more
-    than it can contribute.
+    cos / temperature plus Gumbel noise. A task reads its rows once and keeps a sketch: of each cluster and draw the
+    best ``quota`` so far, which merge by keeping the best again. What is shuffled are these, not the documents.
     """
     own = affinity.join(quota.select("cluster", "quota"), "cluster")
-    draws = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), (F.col("cos") / F.lit(temperature) - F.log(-F.log(uniform(F.col("docid"), s)))).alias("key")) for s in seeds]))
-    most = quota.agg(F.max("quota")).first()[0] or 0
-    w = W.partitionBy("cluster", "seed").orderBy(F.desc("key"), "docid")
-    drawn = own.withColumn("draw", draws).select("cluster", "docid", "quota", "draw.seed", "draw.key")
-    drawn = drawn.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).where(F.col("place") <= F.col("quota"))
-    return drawn.select("cluster", "docid", "quota").distinct()
+    keys = F.array(*[F.col("cos") / F.lit(temperature) - F.log(-F.log(uniform(F.col("docid"), s))) for s in seeds])
+    drawn = sketches(own.select("cluster", "docid", "quota", keys.alias("keys")), len(seeds))
+    w = W.partitionBy("cluster", "draw").orderBy(F.desc("key"), "docid")
+    return drawn.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("quota")).select("cluster", "docid", "quota").distinct()
+
+
+#: Rows that a task takes in before it cuts its sketch down again.
+SKETCH_ROWS = 65_536
+
+
+def sketches(rows: DataFrame, draws: int) -> DataFrame:
+    """(cluster, draw, docid, quota, key): of rows (cluster, docid, quota, keys) each task's best ``quota`` by cluster and draw, ties to the smaller docid."""
+    kind = dict(rows.dtypes)["cluster"]
+
+    def best(kept: pa.Table) -> pa.Table:
+        kept = kept.sort_by([("cluster", "ascending"), ("draw", "ascending"), ("key", "descending"), ("docid", "ascending")])
+        cluster, draw = np.asarray(kept.column("cluster").dictionary_encode().combine_chunks().indices), np.asarray(kept.column("draw"))
+        new = np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (draw[1:] != draw[:-1])])
+        first = np.flatnonzero(new)
+        place = np.arange(len(draw)) - np.repeat(first, np.diff([*first, len(draw)]))
+        return kept.filter(pa.array(place < np.asarray(kept.column("quota"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            at = pa.array(np.repeat(np.arange(n), draws))
+            table = pa.Table.from_batches([batch]).take(at)
+            kept.append(pa.table({"cluster": table["cluster"], "draw": pa.array(np.tile(np.arange(draws, dtype=np.int32), n)), "docid": table["docid"], "quota": table["quota"], "key": batch.column("keys").flatten()}))
+            if sum(t.num_rows for t in kept) > SKETCH_ROWS + 2 * kept[0].num_rows:
+                kept = [best(pa.concat_tables(kept))]
+        if kept:
+            yield from best(pa.concat_tables(kept)).to_batches()
+
+    return rows.mapInArrow(run, f"cluster {kind}, draw int, docid string, quota long, key double")
 
 
 def seed_similarity(pooled: DataFrame, vectors: DataFrame, seeds: DataFrame, column: str = "embedding") -> DataFrame:
@@ -55,28 +90,43 @@ def pair_similarity(pooled: DataFrame, vectors: DataFrame, column: str = "embedd
 def mmr_order(vecs: np.ndarray, sim: np.ndarray, names: list[str], count: int, lam: float) -> list[tuple[int, float]]:
     """(place, score) of the best ``count`` by greedy maximal marginal relevance.
 
-    From the second pick on, scores only fall, so one pick more than wanted, sorted by score, is exact. Ties: the
-    smaller id.
+    From the second pick on, scores only fall, as a candidate gets ever nearer to what is picked. So a queue holds each
+    by its last known score, and only one at the head is compared with the picks that it missed: if it stays at the head, no
+    other can be better. For the same reason one pick more than wanted, sorted by score, is exact. Ties: the smaller id.
     """
+    if not len(names) or count < 1:
+        return []
     unit = vecs / np.sqrt((vecs * vecs).sum(1, keepdims=True))
-    order = np.argsort(np.array(names, object), kind="stable")
-    closest, left, out = np.zeros(len(names)), np.ones(len(names), bool), []
-    for step in range(min(count + 1, len(names))):
-        score = lam * sim - (1 - lam) * closest
-        ranked = order[left[order]]
-        pick = int(ranked[np.argmax(np.round(score[ranked], 12))])
-        out.append((pick, float(score[pick])))
-        left[pick] = False
-        near = unit @ unit[pick]
-        closest = near if step == 0 else np.maximum(closest, near)
+    first = min(range(len(names)), key=lambda i: (-round(lam * float(sim[i]), 12), names[i]))
+    picks, out = [first], [(first, lam * float(sim[first]))]
+    closest = unit @ unit[first]
+    known = lam * sim - (1 - lam) * closest
+    queue = [(-round(float(known[i]), 12), names[i], i, 1) for i in range(len(names)) if i != first]
+    heapq.heapify(queue)
+    while queue and len(picks) <= count:
+        _, name, i, seen = heapq.heappop(queue)
+        if seen < len(picks):
+            closest[i] = max(closest[i], float((unit[picks[seen:]] @ unit[i]).max()))
+            known[i] = lam * sim[i] - (1 - lam) * closest[i]
+            entry = (-round(float(known[i]), 12), name, i, len(picks))
+            if queue and queue[0] < entry:
+                heapq.heappush(queue, entry)
+                continue
+        picks.append(i)
+        out.append((i, float(known[i])))
     return sorted(out, key=lambda x: (-round(x[1], 12), names[x[0]]))[:count]
 
 
-def diversified(similar: DataFrame, lam: float = 1.0) -> DataFrame:
-    """(cluster, docid, score): each cluster's quota. lam = 1 is plain top-k and needs no Python."""
+def diversified(similar: DataFrame, lam: float = 1.0, most: int | None = None) -> DataFrame:
+    """(cluster, docid, score): each cluster's quota. lam = 1 is plain top-k and needs no Python.
+
+    most: a bound of all quotas. With it the window has a limit that each map task applies before the shuffle.
+    """
     if lam == 1.0:
         w = W.partitionBy("cluster").orderBy(F.desc("sim"), "docid")
-        return similar.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("quota")).select("cluster", "docid", F.col("sim").alias("score"))
+        placed = similar.withColumn("place", F.row_number().over(w))
+        placed = placed if most is None else placed.where(F.col("place") <= most)
+        return placed.where(F.col("place") <= F.col("quota")).select("cluster", "docid", F.col("sim").alias("score"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         names = pdf["docid"].tolist()

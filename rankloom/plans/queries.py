@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cluster, corpus, evaluate, ivf, mine, models, retrieve, sample
+from ..operators import batches, cluster, corpus, evaluate, ivf, mine, models, retrieve, sample
 from ..sources import files
 from . import pipelines
 
@@ -331,9 +331,20 @@ def mmr_lambda1(spark, d):
     return rounded(sample.diversified(_similar(spark, d), 1.0), "score")
 
 
-@query()
+_LAMBDA = 0.5
+_MMR = f"""WITH RECURSIVE {_POOL}, s AS MATERIALIZED (SELECT p.cluster, p.docid, p.quota, list_cosine_similarity(e.v, f.v) AS sim FROM pool p JOIN emb e USING (docid) JOIN first_doc f ON f.cluster = p.cluster),
+pc AS MATERIALIZED (SELECT a.cluster, a.docid AS a, b.docid AS b, list_cosine_similarity(x.v, y.v) AS cos FROM pool a JOIN pool b USING (cluster) JOIN emb x ON x.docid = a.docid JOIN emb y ON y.docid = b.docid),
+g AS (SELECT cluster, 1::BIGINT AS step, [docid] AS picked, docid, quota, {_LAMBDA} * sim AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round({_LAMBDA} * sim, 12) DESC, docid) AS r FROM s) WHERE r = 1
+UNION ALL SELECT cluster, step + 1, list_append(picked, docid), docid, quota, score FROM (
+SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC, docid) AS r FROM (
+SELECT g.cluster, g.step, g.picked, s.docid, g.quota, {_LAMBDA} * any_value(s.sim) - {1 - _LAMBDA} * max(pc.cos) AS score FROM g JOIN s ON s.cluster = g.cluster AND NOT list_contains(g.picked, s.docid)
+JOIN pc ON pc.cluster = g.cluster AND pc.a = s.docid AND list_contains(g.picked, pc.b) WHERE g.step <= g.quota GROUP BY g.cluster, g.step, g.picked, s.docid, g.quota)) WHERE r = 1)
+SELECT cluster, docid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC, docid) AS r FROM g) WHERE r <= quota"""
+
+
+@query(_MMR)
 def mmr_diverse(spark, d):
-    return rounded(sample.diversified(_similar(spark, d), 0.5), "score")
+    return rounded(sample.diversified(_similar(spark, d), _LAMBDA), "score")
 
 
 @query(f"WITH {_POOL} SELECT a.cluster, a.docid AS a, b.docid AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cos FROM pool a JOIN pool b USING (cluster) JOIN emb x ON x.docid = a.docid JOIN emb y ON y.docid = b.docid")
@@ -518,6 +529,45 @@ def prompt_train_rows(spark, d):
     return rows.select(T.pair_prompt(F.col("qtext"), F.col("doctext")).alias("prompt"), T.label_token(F.col("label")).alias("token"))
 
 
+def _words_sql(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array(coalesce({x}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+
+
+def _batches_sql(lengths: str) -> str:
+    """The loop itself, row after row, over a relation of lengths; ties are all alike."""
+    fit = f"s.have < {batches.ROWS} AND (s.have + 1) * l.length <= {batches.BUDGET}"
+    return f"""sorted AS MATERIALIZED (SELECT length, row_number() OVER (ORDER BY length) AS i FROM {lengths}),
+steps AS (SELECT i, length, 0::BIGINT AS batch, 1 AS have FROM sorted WHERE i = 1
+UNION ALL SELECT l.i, l.length, CASE WHEN {fit} THEN s.batch ELSE s.batch + 1 END, CASE WHEN {fit} THEN s.have + 1 ELSE 1 END FROM steps s JOIN sorted l ON l.i = s.i + 1)
+SELECT batch, count(*)::INTEGER AS rows, max(length)::INTEGER AS width, sum(length)::BIGINT AS tokens, round(1 - sum(length) / (count(*) * max(length))::DOUBLE, 6) AS padding FROM steps GROUP BY batch"""
+
+
+_ROOM = batches.PAIR_TOKENS - 3
+
+
+def _batch_rows(made: DataFrame) -> DataFrame:
+    same = F.forall("attention_mask", lambda m: F.size(m) == F.col("width")) & F.forall("input_ids", lambda m: F.size(m) == F.col("width"))
+    return made.where(same).select("batch", "rows", "width", "tokens", F.round(1 - F.col("tokens") / (F.col("rows") * F.col("width")), 6).alias("padding"))
+
+
+@query(f"""WITH RECURSIVE {_BMRUN}, half AS (SELECT {_words_sql('b.text')} AS a, {_words_sql('d.text')} AS b FROM bmrun r JOIN documents d ON d.doc_id::VARCHAR = r.docid JOIN benchmark b ON b.item_id::VARCHAR = r.qid WHERE d.text <> ''),
+lengths AS (SELECT least(a + b, {_ROOM}) + 3 AS length FROM half), {_batches_sql('lengths')}""")
+def pair_batches(spark, d):
+    """What a cross-encoder reads: the lexical run's candidates as pairs of ids, cut, masked and padded."""
+    rows = _candidates(spark, d).withColumn("label", F.lit(1.0))
+    batches.pairs(rows, ["qid", "docid"], document="text").write.parquet(path := scratch(spark, "pairs"))
+    return _batch_rows(batches.batched(spark.read.parquet(path), ["qid", "docid"]))
+
+
+@query(f"""WITH RECURSIVE {_NEG}, t AS (SELECT qtext, positive AS doctext FROM cand WHERE qid IN (SELECT qid FROM neg) UNION ALL SELECT qtext, negative FROM cand JOIN neg USING (qid)),
+lengths AS (SELECT least({_words_sql("'Query: ' || qtext || ' Document:'")} + {_words_sql('doctext')} + 2, {batches.PROMPT_TOKENS}) AS length FROM t), {_batches_sql('lengths')}""")
+def prompt_batches(spark, d):
+    """What a sequence-to-sequence re-ranker learns from, in batches; of a prompt too long the document alone is cut."""
+    rows = reranker_train_rows(spark, d).withColumn("key", F.xxhash64("qid", "doctext", "label"))
+    batches.prompts(rows, ["key"]).write.parquet(path := scratch(spark, "prompts"))
+    return _batch_rows(batches.batched(spark.read.parquet(path), ["key"]))
+
+
 # ---- scores and metrics --------------------------------------------------------------------------------------------
 
 
@@ -703,9 +753,18 @@ def head_of_each_file(spark, d):
 
 @query(f"WITH {_QUOTA}, top AS (SELECT n.cluster, n.docid, {_COS} AS cos, quota, row_number() OVER (PARTITION BY n.cluster ORDER BY {_COS} DESC, n.docid) AS r FROM near n JOIN quota USING (cluster)) SELECT cluster, docid, round(cos, 6) AS cos, text AS doctext FROM top JOIN documents ON doc_id::VARCHAR = docid WHERE r <= quota")
 def documents_to_annotate(spark, d):
-    """Which documents should be annotated: each cluster's quota, nearest to its centroid."""
-    ranked = affinity(spark, d).join(F.broadcast(quota(spark, d).select("cluster", "quota")), "cluster").withColumnRenamed("cos", "sim")
-    chosen = sample.diversified(ranked, 1.0)
+    """Which documents should be annotated: each cluster's quota, nearest to its centroid.
+
+    Centroids and assignment are stored once; the window's limit stands before the shuffle.
+    """
+    v = vectors(spark, d)
+    centroids(spark, d).write.parquet(means := scratch(spark, "centroids"))
+    means = spark.read.parquet(means)
+    cluster.assigned(v, means).write.parquet(homes := scratch(spark, "assignment"))
+    homes = spark.read.parquet(homes)
+    quotas = cluster.quotas(cluster.sizes(with_order(homes), "ordinal"), N_TRAIN)
+    ranked = cluster.affinities(homes, v, means).join(F.broadcast(quotas.select("cluster", "quota")), "cluster").withColumnRenamed("cos", "sim")  # a row for each centroid
+    chosen = sample.diversified(ranked, 1.0, N_TRAIN)
     return rounded(corpus.looked_up(chosen, docs(spark, d)).select("cluster", "docid", F.col("score").alias("cos"), "doctext"), "cos")
 
 
