@@ -247,8 +247,13 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
 
 
+def text_hash():
+    """What tells texts of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
 def wide_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, fp, digest, place, n): the wide fingerprint, and the shingle set: its digest, place in ``folder`` and size."""
+    """(doc_id, text_hash, fp, digest, place, n): the wide fingerprint, and the shingle set: its digest, place in ``folder`` and size."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +272,10 @@ def wide_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
                 file, files = task << FILES | files, files + 1  # of an attempt: one that dies is never read
                 put(folder, str(file), np.concatenate(kept))
                 digests = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets]
-                yield pa.record_batch([batch.column(0).slice(lo, len(sets)), pa.array(map(wide_bits, sets), pa.binary()), pa.array(digests, pa.binary()), pa.array((file << ITEMS) + np.cumsum(room) - room), pa.array(n)], names=["doc_id", "fp", "digest", "place", "n"])
+                yield pa.record_batch([batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(map(wide_bits, sets), pa.binary()), pa.array(digests, pa.binary()), pa.array((file << ITEMS) + np.cumsum(room) - room), pa.array(n)], names=["doc_id", "text_hash", "fp", "digest", "place", "n"])
                 lo += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, digest binary, place long, n long")
+    return docs.select("doc_id", "text", text_hash().alias("hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, fp binary, digest binary, place long, n long")
 
 
 def shingles_at(folder: str, place: int, n: int) -> np.ndarray:
@@ -512,13 +517,18 @@ def _dealt(rows: DataFrame, hot: DataFrame, usual: int) -> DataFrame:
     return rows.withColumn("way", F.explode(ways)).select("*", "way.x", "way.y")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row, linked as near copies."""
+def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row's (doc_id, text_hash, fp, digest, place, n), those that differ in their shingles, and the links among these."""
     folder = staged_path(docs.sparkSession, "near-shingles")
     prints = staged(wide_fingerprints(docs, folder), "near")
     # texts with the same shingles are one
     distinct = staged(prints.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("fp").alias("fp"), F.first("n").alias("n")), "near-distinct")
-    return _named(prints, distinct, near_links(distinct, folder), "digest", "place")
+    return prints, distinct, near_links(distinct, folder)
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, linked as near copies."""
+    return _named(*_near(docs), "digest", "place")
 
 
 def components(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -528,10 +538,15 @@ def components(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return _named(prints, distinct, links(distinct.select("fp")), "fp", "fp")
 
 
-def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, key: str, node: str) -> DataFrame:
-    """``prints`` with the component that the links ``found`` of its distinct keys give. node: what links call a key."""
+def _rooted(distinct: DataFrame, found: DataFrame, key: str, node: str) -> DataFrame:
+    """(key, least, root) of the distinct keys that the links ``found`` join. node: what links call a key."""
     roots = star_roots(found, "simhash-links")
-    of_root = distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left").select(key, "least", F.coalesce("root", node).alias("root"))
+    return distinct.join(roots.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left").select(key, "least", F.coalesce("root", node).alias("root"))
+
+
+def _named(prints: DataFrame, distinct: DataFrame, found: DataFrame, key: str, node: str) -> DataFrame:
+    """``prints`` with the component that the links ``found`` of its distinct keys give."""
+    of_root = _rooted(distinct, found, key, node)
     least = of_root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(of_root.join(least, "root").select(key, "component_id"), "simhash-named")
     return prints.join(named, key).select("doc_id", "fp", "component_id")
@@ -544,13 +559,19 @@ def hexed(fp: str = "fp"):
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each component of near copies the row with the smallest doc_id, once.
 
+    A component is one of texts: rows that share an id but not their text may be of several, and each keeps a row.
     Rows without an id can stand for no component; they stay, identical ones once.
     """
-    first, kept_id = free(docs, "_first", "_kept")
-    kept = near_components(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_id)).distinct()
+    first, kept_id, kept_hash = free(docs, "_first", "_kept", "_kept_hash")
+    prints, distinct, found = _near(docs)
+    # of each component the smallest id, of its texts one, by the digest of its shingles and then by its hash
+    rooted = _rooted(distinct, found, "digest", "place").where(F.col("least").isNotNull())  # a null would count as the least
+    chosen = rooted.groupBy("root").agg(F.min(F.struct("least", "digest")).alias("c")).select("c.*")
+    its = prints.join(chosen, (prints.digest == chosen.digest) & (prints.doc_id == chosen.least)).groupBy("doc_id", prints.digest).agg(F.min("text_hash").alias(kept_hash))
+    kept = staged(its.select(F.col("doc_id").alias(kept_id), kept_hash).distinct(), "near-kept")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-    # joined and numbered by the id alone, so that texts are shuffled once
-    ided = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(kept_id), "left_semi")
-    ided = ided.withColumn(first, F.row_number().over(W.partitionBy("doc_id").orderBy(whole)))
+    # joined and numbered by id and text alone, so that texts are shuffled once
+    ided = docs.where(F.col("doc_id").isNotNull()).join(kept, (F.col("doc_id") == F.col(kept_id)) & (text_hash() == F.col(kept_hash)), "left_semi")
+    ided = ided.withColumn(first, F.row_number().over(W.partitionBy("doc_id", text_hash()).orderBy(whole)))
     without = docs.where(F.col("doc_id").isNull()).withColumn(first, F.row_number().over(W.partitionBy(whole).orderBy(whole)))
     return ided.unionByName(without).where(F.col(first) == 1).drop(first)

@@ -300,3 +300,18 @@ def test_nearly_every_pair_at_the_limit_agrees_in_a_segment():
     b = a ^ (rng.random(a.shape) < 0.1515)
     hit = (simhash.ring_values(a) == simhash.ring_values(b.astype(np.uint8))).any(axis=1) & ((a != b).sum(axis=(1, 2)) <= simhash.NEAR_REACH)
     assert hit.mean() > 0.998
+
+
+def test_an_id_on_unlike_rows_keeps_each_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a, "s"), (1, b, "s"), (2, b, "s"), (3, a + " more", "s"), (3, c, "s"), (3, c, "t"), (4, None, "s"), (4, "", "s")]
+    for part in (rows, rows[:3], rows[::-1]):
+        got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(made(spark, part)).collect()), key=str)
+        want = [(1, a), (1, b)] if len(part) == 3 else [(1, a), (1, b), (3, c), (4, got[-1][1])]
+        assert got == sorted(want, key=str) and (len(part) == 3 or not got[-1][1])
+
+
+def test_rows_without_an_id_stand_for_nothing(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    got = simhash.one_of_each(made(spark, [(None, a, "s"), (None, a, "s"), (5, a + " x", "s"), (6, a + " y", "s")])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (5, a + " x")]
