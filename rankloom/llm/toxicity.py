@@ -6,8 +6,11 @@ terms, so that two terms together can say what neither says alone (an insult and
 pairs are summed in linear time: half of the squared sum of factors minus the sum of their squares.
 
 The machine is fitted on a sample of labelled rows of at most ``MOST`` rows of each class, the least by a hash of
-the id; scoring covers every row and the whole of each text. The model holds terms of the sample alone, those
-that tell the classes apart, so its size is bounded by the sample and not by the table.
+the id; scoring covers every row and the whole of each text. The model holds terms of the sample alone, so its size is
+bounded by the sample and not by the table: those that tell the classes apart by themselves, and those that do so only
+with another. For the latter all pairs of terms in at least ``FREQUENT`` of the sample are tried, a block of terms against a block in
+a task: a pair counts if the share of toxic rows with both, with neither, and with one of them is not what adding up would
+give. A pair of rarer terms meets too seldom in the sample to be told from chance.
 
 Edge cases. Null or empty text, or one without known terms: the score of the bias. A label row that is null is
 left out; an id with several label rows is toxic if one says so; a labelled id on several document rows gives its
@@ -29,8 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_rest, free, staged
 
-#: Labelled rows of each class at most; terms of the model at most; documents of the sample that a term must be in.
-MOST, TERMS, LEAST = 5_000, 40_000, 4
+#: Labelled rows of each class at most; share of the sample from which on a term's pairs are tried; rows that a term must be in.
+MOST, FREQUENT, LEAST = 5_000, 0.05, 4
+#: Deviations from chance of a term that tells by itself, and of a pair; rows with both, either alone, and neither that a pair must have.
+SINGLE, PAIR, CELL = 3, 6, 20
+#: Terms of a block of pairs.
+BLOCK = 512
 FACTORS, EPOCHS, BATCH, RATE, SHRINK = 8, 25, 256, 0.1, 1e-5
 PREFIXES = (4, 5, 6)
 #: Words whose terms a worker remembers; it forgets all beyond that.
@@ -124,9 +131,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", learns: Col
     return staged(chosen.select("doc_id", "y", "text").mapInArrow(run, "id string, y int, terms binary"), "toxicity-sample")
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_terms: int = TERMS, **how) -> Machine:
-    """The machine of a sample. Terms are counted on the workers; collected are the counts of those in enough rows of
-    one class to tell (bounded by the sample), and of each row the places of the chosen terms."""
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", frequent: float = FREQUENT, **how) -> Machine:
+    """The machine of a sample. Terms are counted on the workers; collected are the chosen ones, bounded by the sample, and of
+    each row their places."""
     rows = sample(docs, labels, label, **how)
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or toxic in (0, n):
@@ -139,12 +146,21 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_terms:
             every, at = np.unique(np.concatenate(found), return_inverse=True)
             yield pa.record_batch([pa.array(every.view(np.int64)), pa.array(np.bincount(at, minlength=len(every))), pa.array(np.bincount(at, weights=y, minlength=len(every)).astype(np.int64))], names=["term", "n", "pos"])
 
-    rate, term = toxic / n, F.col("term")
+    rate = toxic / n
     spread = F.sqrt(F.col("n") * F.lit(rate * (1 - rate)))
     found = rows.select("y", "terms").mapInArrow(counts, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    far = found.where((F.col("n") >= LEAST) & (F.abs(F.col("pos") - F.col("n") * rate) >= 3 * spread))
-    best = far.orderBy(F.desc(F.abs(F.col("pos") - F.col("n") * rate) / spread), term).limit(most_terms).select("term").collect()
-    chosen = np.sort(np.array([r.term for r in best], np.int64).view(np.uint64))
+    telling = (F.col("n") >= LEAST) & (F.abs(F.col("pos") - F.col("n") * rate) >= SINGLE * spread)
+    often = F.col("n") >= max(LEAST, frequent * n)
+    kept = found.where(telling | often).select("term", telling.alias("telling"), often.alias("often")).collect()
+    sorted_ = lambda which: np.sort(np.array([r.term for r in kept if which(r)], np.int64).view(np.uint64))
+    of_pairs = interacting(rows, sorted_(lambda r: r.often))
+    chosen = np.union1d(sorted_(lambda r: r.telling), of_pairs)
+    few = _placed(rows, chosen)
+    return fit([p for p, _ in few], np.array([y for _, y in few]), chosen)
+
+
+def _placed(rows: DataFrame, chosen: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Of each row of the sample the places of the ``chosen`` terms, and y; in the order of ids."""
     model, narrow = rows.sparkSession.sparkContext.broadcast(Machine(0.0, chosen)), np.min_scalar_type(len(chosen))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +170,59 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_terms:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "y", "places"])
 
     few = sorted(rows.mapInArrow(own, "id string, y int, places binary").collect())
-    return fit([np.frombuffer(r.places, narrow) for r in few], np.array([r.y for r in few]), chosen)
+    return [(np.frombuffer(r.places, narrow), r.y) for r in few]
+
+
+def interacting(rows: DataFrame, often: np.ndarray) -> np.ndarray:
+    """Those of the sorted terms ``often`` that tell the classes apart together with another: see ``PAIR``.
+
+    Broadcast: places of these terms in the sample, bounded by it.
+    """
+    if len(often) < 2:
+        return often[:0]
+    spark, few = rows.sparkSession, _placed(rows, often)
+    y = np.array([y for _, y in few], np.float32)
+    shared = spark.sparkContext.broadcast((np.concatenate([p for p, _ in few]), np.cumsum([0, *(len(p) for p, _ in few)]), y))
+    blocks = -(-len(often) // BLOCK)
+
+    def block(k: int) -> np.ndarray:
+        place, starts, y = shared.value
+        of = np.repeat(np.arange(len(y)), np.diff(starts))
+        place = place.astype(np.int32)  # narrower where the terms are few
+        own = place // BLOCK == k
+        out = np.zeros((len(y), BLOCK), np.float32)
+        out[of[own], place[own] % BLOCK] = 1
+        return out
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = shared.value[2]
+        for batch in batches:
+            for pair in batch.column(0).to_pylist():
+                i, j = divmod(pair, blocks)
+                if i > j:
+                    continue
+                a, b = block(i), block(j)
+                deviating = np.abs(contrast(a, b, y)) >= PAIR
+                places = np.unique(np.concatenate([np.flatnonzero(deviating.any(1)) + i * BLOCK, np.flatnonzero(deviating.any(0)) + j * BLOCK]))
+                yield pa.record_batch([pa.array(places)], names=["place"])
+
+    found = spark.range(0, blocks * blocks, 1, blocks * blocks).mapInArrow(tried, "place long").distinct().collect()
+    return often[np.sort(np.array([r.place for r in found], np.int64))]
+
+
+def contrast(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each column of ``a`` with each of ``b``: the toxic share with both, less that with either alone, plus that with neither, in its deviations.
+
+    0 where one of these has fewer than ``CELL`` rows.
+    """
+    shares, spread, enough = 0.0, 0.0, True
+    n, pos = a.T @ b, (a * y[:, None]).T @ b
+    na, nb, pa_, pb = a.sum(0)[:, None], b.sum(0)[None], (a * y[:, None]).sum(0)[:, None], (b * y[:, None]).sum(0)[None]
+    for sign, count, toxic in ((1, n, pos), (-1, na - n, pa_ - pos), (-1, nb - n, pb - pos), (1, len(y) - na - nb + n, y.sum() - pa_ - pb + pos)):
+        p = (toxic + 0.5) / (count + 1)
+        shares, spread = shares + sign * p, spread + p * (1 - p) / (count + 1)
+        enough &= count >= CELL
+    return np.where(enough, shares / np.sqrt(spread), 0.0)
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:

@@ -58,3 +58,30 @@ def test_held_out_accuracy(spark, sf):
     docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     got = toxicity.report(docs, marks).join(marks, "doc_id").where("held_out").select((F.col("predicted") == F.col("toxic")).alias("right")).collect()
     assert sum(r.right for r in got) / len(got) >= 0.9
+
+
+def test_pairs_that_tell_only_together(spark):
+    """Toxic where both words stand or neither: neither says anything by itself."""
+    rng, rows, labels = random.Random(11), [], []
+    for i in range(1500):
+        both = [w for w in ("rotter", "newcomers") if rng.random() < 0.5]
+        words = [f"w{rng.randrange(200)}" for _ in range(25)] + both
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(len(both) != 1)))
+    docs, marks = made(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.report(docs, marks).collect()}
+    held = [got[i].predicted == y for i, y in labels if got[i].held_out]
+    assert sum(held) / len(held) >= 0.98
+
+
+def test_contrast_equals_four_shares():
+    rng = np.random.default_rng(2)
+    a, b, y = (rng.random((400, k)) < 0.4 for k in (3, 5, 1))
+    a, b, y = a.astype(np.float32), b.astype(np.float32), y[:, 0].astype(np.float32)
+    got = toxicity.contrast(a, b, y)
+    for i in range(3):
+        for j in range(5):
+            cells = [(s, y[(a[:, i] == u) & (b[:, j] == v)]) for s, u, v in ((1, 1, 1), (-1, 1, 0), (-1, 0, 1), (1, 0, 0))]
+            p = [(s, (c.sum() + 0.5) / (len(c) + 1), len(c) + 1) for s, c in cells]
+            assert abs(got[i, j] - sum(s * q for s, q, _ in p) / sum(q * (1 - q) / n for _, q, n in p) ** 0.5) < 1e-4
