@@ -13,11 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import scratch
 
 # Results of a query; parameters of the lexical weights; partitions probed.
 TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 #: Queries of a block, blocks that one pass of the documents serves, and documents that a task scores against a block at once.
 QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
+#: Bytes of vectors that a task holds while queries pass.
+HELD = 128 << 20
 #: Parts of a probed partition, and queries whose distances to centroids are held at once.
 PARTS, PROBE_ROWS = 8, 256
 
@@ -30,30 +33,21 @@ def top_of_each(scored: DataFrame, k: int, group: str = "qid", by: str = "score"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int | None = None, column: str = "embedding") -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int | None = None, column: str = "embedding", folder: str | None = None) -> DataFrame:
     """(qid, docid, rank, score) by inner product, exact.
 
-    Queries go out in blocks of a bounded size, ``BLOCKS`` of them for each pass of the vectors; a task keeps its own best
-    k of each query, so what is shuffled is k rows a query and task. digits: scores are rounded before they are ranked. Vectors
-    null, or with null or non-finite components, take no part; vectors of unlike lengths are an error.
+    Queries are written to ``folder`` (by default a new one in the shared folder) in files of at most ``QUERY_BLOCK`` rows; the driver sees
+    the files' names alone. A task holds some of its vectors at once, reads one file of queries after the other, and
+    sends its best k of each query, so the vectors are read once and what is shuffled is k rows a query and ``HELD`` bytes of
+    vectors. digits: scores are rounded before they are ranked. Vectors null, or with null or non-finite components, take
+    no part; vectors of unlike lengths are an error.
     """
-    spark, queries = queries.sparkSession, V.usable(queries, column)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    numbered = queries.select("qid", V.doubles(F.col(column)).alias("vec"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
+    spark, folder = queries.sparkSession, folder or scratch(queries.sparkSession, "dense-queries")
+    asked = V.usable(queries, column).select("qid", V.doubles(F.col(column)).alias("vec"))
+    asked.repartition("qid").write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(folder)
+    files = sorted(spark.read.schema("qid string, vec array<double>").parquet(folder).inputFiles())
     docs = V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec"))
-    out = None
-    for first in range(0, blocks, BLOCKS):
-        shared = []
-        for block in range(first, min(first + BLOCKS, blocks)):
-            if rows := numbered.where(F.col("block") == block).orderBy("qid").collect():
-                shared.append(spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vec for r in rows], float))))
-        if shared:
-            part = docs.mapInArrow(_scored(shared, k, digits), "qid string, docid string, score double")
-            out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid string, docid string, score double")
-    return top_of_each(out, k).select("qid", "docid", "rank", "score")
+    return top_of_each(docs.mapInArrow(_scored(files, k, digits), "qid string, docid string, score double"), k).select("qid", "docid", "rank", "score")
 
 
 class _Best:
@@ -74,23 +68,38 @@ class _Best:
         return pa.record_batch([pa.array(np.array(names, object)[i].tolist(), pa.string()), pa.array(self.ids[i, j].tolist(), pa.string()), pa.array(self.scores[i, j])], names=["qid", "docid", "score"])
 
 
-def _scored(shared, k: int, digits: int | None):
-    """A task's own best k of each query, sent once, at its end."""
+def _scored(files: list[str], k: int, digits: int | None):
+    """A task's own best k of each query, for every ``HELD`` bytes of its vectors."""
+    from ..sources.connector import rows_of
     from .cluster import _batch_vectors
 
+    def against(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([i for batch in held for i in batch.column(0).to_pylist()], "U")
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], None
+        for file in files:
+            block = rows_of(file)
+            if not block.num_rows:
+                continue
+            width = len(block.column("vec")[0])
+            x = np.concatenate([_batch_vectors(batch, width) for batch in held])[order] if x is None else x
+            q = _batch_vectors(block.combine_chunks().to_batches()[0], x.shape[1])
+            best = _Best(len(q), k)
+            for lo in range(0, len(x), AT_ONCE):
+                s = q @ x[lo : lo + AT_ONCE].T
+                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[lo : lo + AT_ONCE])
+            yield best.rows(block.column("qid").to_pylist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(names, q, _Best(len(q), k)) for names, q in (s.value for s in shared)]
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(lo, AT_ONCE)
-                ids = np.array(part.column(0).to_pylist(), "U")
-                order = np.argsort(ids, kind="stable")
-                x = _batch_vectors(part, blocks[0][1].shape[1])[order].T
-                for _, q, best in blocks:
-                    s = q @ x
-                    best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
-        for names, _, best in blocks:
-            yield best.rows(names)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD:
+                yield from against(held)
+                held = []
+        if held:
+            yield from against(held)
 
     return run
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import batches, cluster, corpus, evaluate, ivf, mine, models, retrieve, sample
+from ..session import scratch
 from ..sources import files
 from . import pipelines
 
@@ -106,19 +107,6 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc_id").cast("string").alias("docid"), F.to_json(fields).alias("raw"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or on this machine in a local session without one."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="rankloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 

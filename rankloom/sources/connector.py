@@ -38,6 +38,14 @@ def _place(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def rows_of(uri: str):
+    """The rows of one Parquet file, as an Arrow table."""
+    import pyarrow.parquet as pq
+
+    system, path = _place(uri)
+    return pq.read_table(path, filesystem=system, partitioning=None)
+
+
 class Bucket(InputPartition):
     def __init__(self, files: list[str]):
         self.files = files

@@ -242,6 +242,7 @@ def test_blocks_and_passes_change_nothing(spark, sf, block, blocks, monkeypatch)
     want = found()
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
     monkeypatch.setattr(retrieve, "BLOCKS", blocks)
+    monkeypatch.setattr(retrieve, "HELD", 100 * block)
     assert found() == want and want[0] and want[1]
 
 
