@@ -32,8 +32,9 @@ from .topk import by_length, dealt
 
 #: Vectors of a shard, queries of a block.
 SHARD, QUERY_BLOCK = 8192, 1024
-#: Links a node makes (twice as many may arrive on the lowest level), candidates they are chosen from, width of the beam.
-LINKS, CANDIDATES, BEAM = 16, 48, 96
+#: Links a node makes (twice as many may arrive on the lowest level), candidates they are chosen from; the least width of the
+#: beam, and its width for each component of the vectors, as more of them leave more ways to the nearest.
+LINKS, CANDIDATES, BEAM, WIDER = 16, 48, 96, 2
 
 
 def unit(mat: np.ndarray) -> np.ndarray:
@@ -231,7 +232,7 @@ def found(folder: str, q_count: int, none: frozenset[int], k: int, beam: int):
 
 
 def _best(q: dict, ids: np.ndarray, ends: np.ndarray, starts: np.ndarray, mat: np.ndarray, graph: dict, k: int, beam: int) -> pa.RecordBatch:
-    got = search(graph, unit(q["mat"]).astype(np.float32), k + 1, beam)
+    got = search(graph, unit(q["mat"]).astype(np.float32), k + 1, max(beam, WIDER * mat.shape[1]))
     row, col = np.nonzero(got >= 0)
     at = got[row, col]
     score = cosine(q["mat"][row], mat[at])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from rankloom.llm import ann
 
@@ -61,3 +62,23 @@ def test_graph_survives_packing():
     assert all(np.array_equal(a, b) for x in ("nodes", "graph") for a, b in zip(shard[x], again[x], strict=True))
     one = ann.build(np.array([5]), mat[:1])
     assert ann.search(one, ann.unit(mat[:2]).astype(np.float32), 3).tolist() == [[0, -1, -1]] * 2
+
+
+@pytest.mark.parametrize("d", [64, 256])
+def test_recall_over_full_shards(d):
+    """Queries from outside of three shards of the size that is used, vectors without any structure."""
+    rng = np.random.default_rng(d)
+    shards, q = [rng.standard_normal((ann.SHARD, d)) for _ in range(3)], rng.standard_normal((60, d))
+    unit = ann.unit(q).astype(np.float32)
+    scores = np.concatenate([unit @ ann.unit(x).astype(np.float32).T for x in shards], axis=1)
+    want = np.argsort(-scores, axis=1)[:, :5]
+    found = []
+    for i, x in enumerate(shards):
+        ids = np.arange(ann.SHARD) + i * ann.SHARD
+        block = {"mat": q, "vec_id": -1 - np.arange(len(q))}
+        found.append(ann._best(block, ids, np.arange(1, ann.SHARD + 1), np.arange(ann.SHARD), x, ann.build(ids, x), 5, ann.BEAM).to_pandas())
+    import pandas as pd
+
+    best = pd.concat(found).sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(5)
+    got = best.groupby("query_id").vec_id.apply(set)
+    assert np.mean([len(got[-1 - i] & set(w.tolist())) / 5 for i, w in enumerate(want)]) >= 0.93
