@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import batches, cluster, corpus, evaluate, ivf, mine, models, retrieve, sample
+from ..operators import batches, cluster, corpus, evaluate, ivf, kmeans, mine, models, retrieve, sample
 from ..session import scratch
 from ..sources import files
 from . import pipelines
@@ -213,6 +213,14 @@ def prompt_build(spark, d):
     return docs(spark, d).select("docid", T.prompt(TEMPLATE, F.col("doctext")).alias("prompt"))
 
 
+@query(f"SELECT doc_id::VARCHAR AS docid, {_quoted(TEMPLATE.split('{document}')[0])} || {_first('text', 512)} || {_quoted(TEMPLATE.split('{document}')[1].replace('{query}', '').rstrip())} AS prompt FROM documents")
+def template_prompts(spark, d):
+    """The prompts of ``prompt_build``, their template read from its file."""
+    lines = "\n".join(f"    {x}".rstrip() for x in TEMPLATE.rstrip("\n").split("\n"))
+    spark.createDataFrame([(f"3-shot:\n  template: |\n{lines}",)], "value string").coalesce(1).write.text(path := scratch(spark, "template"))
+    return docs(spark, d).select("docid", T.prompt(files.read_template(path, spark=spark), F.col("doctext")).alias("prompt"))
+
+
 def _cut(x: str) -> str:
     out = _strip(x)
     for end in T.GENERATION_ENDS:
@@ -361,8 +369,20 @@ _SWEEP = _lloyd_sql(cluster.ELBOW_KS, cluster.ELBOW_SEED, SWEEP_ROUNDS)
 
 @query(f"WITH {_SWEEP} SELECT k, sse FROM curve")
 def elbow_sweep(spark, d):
-    """The curve after few rounds, from all the vectors and for every number of clusters that they fill."""
-    return rounded(cluster.elbow_curve(vectors(spark, d), iterations=SWEEP_ROUNDS), "sse", digits=4)
+    """The curve after few rounds, from all the vectors and for every number of clusters that they fill, as its file has it in the end."""
+    path = scratch(spark, "sweep")
+    cluster.elbow_curve(vectors(spark, d), iterations=SWEEP_ROUNDS, save=lambda curve: files.write_curve(curve, path))
+    return rounded(files.read_curve(spark, path), "sse", digits=4)
+
+
+@query(f"WITH {_lloyd_sql((10,), cluster.SAMPLER_SEED, SWEEP_ROUNDS)} SELECT n.cluster AS cluster, count(*) AS size, min(vec_id) AS first_seen FROM last JOIN emb USING (docid) GROUP BY n.cluster")
+def kmeans_rounds(spark, d):
+    """Clusters of the sampler after few rounds of k-means, and their sizes."""
+    v = vectors(spark, d)
+    start = kmeans.starts(v, 10, cluster.SAMPLER_SEED)
+    fit = kmeans.lloyd(V.usable(v, "embedding").select(V.doubles(F.col("embedding")).alias("vec")), [kmeans.Problem(start)], SWEEP_ROUNDS)[0]
+    found = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(fit.centroids)], "cluster long, centroid array<double>")
+    return cluster.sizes(with_order(cluster.assigned(v, found)), "ordinal")
 
 
 _KNEE = f"""WITH {_SWEEP},

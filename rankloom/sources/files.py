@@ -140,16 +140,19 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("docid").cast("string").alias("docid"), F.col("embedding").cast("array<float>").alias("embedding"))
 
 
-def read_template(path: str, shots: str = "3-shot") -> str:
-    """A prompt template from a YAML file: {shots: {template: ...}}."""
+def read_template(path: str, shots: str = "3-shot", spark: SparkSession | None = None) -> str:
+    """A prompt template from a YAML file: {shots: {template: ...}}. With a session the file may lie wherever Spark reads."""
+    if spark:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     try:
         import yaml
 
-        with open(path, encoding="utf-8") as f:
-            return yaml.safe_load(f)[shots]["template"]
+        return yaml.safe_load(text)[shots]["template"]
     except ImportError:  # a block scalar is all that is needed
-        with open(path, encoding="utf-8") as f:
-            lines = f.read().split("\n")
+        lines = text.split("\n")
         at = next(i for i, x in enumerate(lines) if re.fullmatch(rf"[\"']?{re.escape(shots)}[\"']?:\s*", x))
         body = lines[at + 2 :]
         body = body[: next((i for i, x in enumerate(body) if x and not x.startswith(" ")), len(body))]
