@@ -6,7 +6,9 @@ characters, at/dot disguises and spelled digits. It keeps, for every edit, where
 in the view maps back to the source characters that produced it. A view's span counts if an edit lies in it.
 
 Clean prose is left alone: a bare "at" counts only with a spelled dot and a common top-level domain after
-it, and digits must still make up a whole address, card number (Luhn) or international phone number.
+it, and digits must still make up a whole address, card number (Luhn) or international phone number. For the same reason a
+disguise is one of limited looseness: at most 8 white-space characters beside a disguised sign, 64 characters before
+it, 6 labels after it, 4 signs between digits. Plain identifiers have no such limits.
 
 Edge cases. Null or empty text: no spans. Repeated rows: each is scanned. Very long texts: every pass is linear
 in the text. Empty table: empty result. Offsets count code points, the end is exclusive.
