@@ -61,7 +61,7 @@ def response(url: str | None, payload: str | None, key: str, date: str = DATE) -
     body = (payload or "").encode("utf-8", "replace")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", target, key)), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block))]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", target, key, digest(block))), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block))]
     return serialised(headers, block)
 
 
@@ -123,7 +123,7 @@ def message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def decoded(headers: list[tuple[str, str]], body: bytes) -> str:
-    m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value(headers, "Content-Type"), re.I) or re.search(r"<meta[^>]*charset\s*=\s*[\"']?([\w.:-]+)", body[:2048].decode("latin-1"), re.I)
+    m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", value(headers, "Content-Type"), re.I) or re.search(r"<meta[^<>]*charset\s*=\s*[\"']?([\w.:-]+)", body.decode("latin-1"), re.I)
     try:
         return body.decode(m[1] if m else "utf-8", "replace")
     except LookupError:

@@ -1,3 +1,4 @@
+import re
 import base64
 import gzip
 import hashlib
@@ -97,3 +98,16 @@ def test_pages(spark):
     assert sorted((str(r.page_id), r.record_id, r.record_sha256) for r in got) == want
     assert all(hashlib.sha256(r.record).hexdigest() == r.record_sha256 for r in got)
     assert warc.linked(pages.limit(0)).count() == 0
+
+
+def test_unlike_pages_of_one_id_have_records_of_their_own():
+    a, b, again = (warc.response("http://a.b/", t, "7") for t in ("<p>one", "<p>two", "<p>one"))
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for x in (a, b, again)]
+    assert ids[0] != ids[1] and ids[0] == ids[2]
+
+
+def test_a_charset_far_into_the_page_is_found():
+    body = (b"<!-- " + b"x" * 5000 + b" -->" + '<meta charset="iso-8859-1"><p>é'.encode("latin-1"))
+    assert "é" in warc.decoded([("Content-Type", "text/html")], body)
+    warc.decoded([], b"<meta" * 200_000)
+    warc.decoded([], b"<meta charset " * 100_000)
