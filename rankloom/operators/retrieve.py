@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stem as S
 from ..functions import vector as V
 from ..session import scratch
 
 # Results of a query; parameters of the lexical weights; partitions probed.
 TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
-#: Queries of a block, blocks that one pass of the documents serves, and documents that a task scores against a block at once.
+#: Queries of a block, blocks of topics whose terms are held at once, and documents that a task scores against a block at once.
 QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
-#: Bytes of vectors that a task holds while queries pass.
-HELD = 128 << 20
+#: Bytes of vectors, and of texts, that a task holds while queries pass.
+HELD, HELD_TEXT = 128 << 20, 32 << 20
 #: Parts of a probed partition, and queries whose distances to centroids are held at once.
 PARTS, PROBE_ROWS = 8, 256
 
@@ -63,8 +65,8 @@ class _Best:
         order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
         self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    def rows(self, names: list[str], above: float = -np.inf) -> pa.RecordBatch:
-        i, j = np.nonzero(self.scores > above)
+    def rows(self, names: list[str]) -> pa.RecordBatch:
+        i, j = np.nonzero(self.scores > -np.inf)
         return pa.record_batch([pa.array(np.array(names, object)[i].tolist(), pa.string()), pa.array(self.ids[i, j].tolist(), pa.string()), pa.array(self.scores[i, j])], names=["qid", "docid", "score"])
 
 
@@ -108,98 +110,94 @@ def _words(text: str | None) -> list[str]:
     return _TERM((text or "").lower())
 
 
-def _field_counts(vocabulary, count: int):
-    """Of a task: for each field, documents that have a term of the topics, and (as term null) documents and lengths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found, total = vocabulary.value, [Counter() for _ in range(count)], [[0, 0] for _ in range(count)]
-        for batch in batches:
-            for f in range(count):
-                for text in batch.column(f):
-                    words = _words(text.as_py())
-                    total[f][0] += 1
-                    total[f][1] += len(words)
-                    found[f].update(known.keys() & set(words))
-        rows = [(f, t, n, 0) for f in range(count) for t, n in found[f].items()] + [(f, None, *total[f]) for f in range(count)]
-        cols = list(zip(*rows, strict=True))
-        yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["field", "term", "n", "words"])
-
-    return run
-
-
-def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: int = TOP_K, digits: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: int = TOP_K, digits: int | None = None, k1: float = K1, b: float = B, folder: str | None = None) -> DataFrame:
     """(qid, docid, rank, score): the k best documents of each topic (qid, qtext) by the sum of the fields' weights.
 
-    The same scores as ``bm25``, which makes a row for each term that a topic and a document share; here a task turns
-    documents into rows of term weights and multiplies them with blocks of topics, and sends its best k. Topics go
-    out in blocks of some ``QUERY_BLOCK``, ``BLOCKS`` of them for each pass, which cuts the texts once to count and once
-    to score; what is broadcast is their words.
+    The same scores as ``bm25``, which makes a row for each term that a topic and a document share. Here topics, with each
+    term's share of the score, are written to ``folder`` (by default a new one in the shared folder) in files of at most ``QUERY_BLOCK``
+    rows. A task keeps the postings of some of its documents at once, reads one file after the other and sends its best k of
+    each topic. The texts are cut once to count and once to score; to the driver go two numbers a field, and file names.
     """
-    spark, names = docs.sparkSession, list(fields)
-    blocks = max(1, -(-topics.count() // QUERY_BLOCK))
-    numbered = topics.select("qid", "qtext", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
-    out = None
-    for first in range(0, blocks, BLOCKS):
-        wanted = []
-        for block in range(first, min(first + BLOCKS, blocks)):
-            if rows := numbered.where(F.col("block") == block).orderBy("qid").collect():
-                wanted.append(([r.qid for r in rows], [Counter(_words(r.qtext)) for r in rows]))
-        if not wanted:
-            continue
-        known = {t: i for i, t in enumerate(sorted({t for _, words in wanted for w in words for t in w}))}
-        vocabulary = spark.sparkContext.broadcast(known)
-        counts = docs.select(*names).mapInArrow(_field_counts(vocabulary, len(names)), "field int, term string, n long, words long")
-        counts = counts.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
-        total = {r.field: (r.n, r.words) for r in counts if r.term is None}
-        idf = np.zeros((len(names), len(known)))
-        for r in counts:
-            if r.term is not None:
-                idf[r.field, known[r.term]] = np.log1p((total[r.field][0] - r.n + 0.5) / (r.n + 0.5))
-        mean = [total[f][1] / total[f][0] if f in total and total[f][1] else 1.0 for f in range(len(names))]
-        shared = spark.sparkContext.broadcast((known, idf, mean, [float(w) for w in fields.values()]))
-        own = [spark.sparkContext.broadcast((qids, *_term_matrix(words, known))) for qids, words in wanted]
-        part = docs.select("docid", *names).mapInArrow(_bm25_scored(shared, own, k, digits, k1, b), "qid string, docid string, score double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid string, docid string, score double")
-    return top_of_each(out, k).select("qid", "docid", "rank", "score")
+    spark, folder = docs.sparkSession, folder or scratch(docs.sparkSession, "bm25-topics")
+    names = list(fields)
+    each = [docs.select(F.lit(f).alias("field"), S.plain(F.coalesce(F.col(name), F.lit(""))).alias("tokens")) for f, name in enumerate(names)]
+    marked = reduce(DataFrame.unionAll, each).select("field", F.size("tokens").alias("words"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("tokens"))).alias("term"))
+    counts = marked.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("words"))).alias("words"))
+    counts.write.parquet(f"{folder}/counts")
+    df = spark.read.parquet(f"{folder}/counts")
+    # a document counts once for each of its terms, and once for the empty term, which carries its length
+    total = {r.field: r for r in df.where("term = ''").select("field", F.col("df").alias("n"), "words").collect()}
+    mean = [total[f].words / total[f].n if f in total and total[f].words else 1.0 for f in range(len(names))]
+    asked = topics.select("qid", F.explode(S.plain(F.col("qtext"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    numbers = spark.createDataFrame([(f, float(total[f].n if f in total else 0), float(w)) for f, w in enumerate(fields.values())], "field int, n double, weight double")  # as few as the fields
+    share = F.col("qtf") * F.col("weight") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    shares = asked.join(df.drop("words"), "term").join(F.broadcast(numbers), "field").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term", "field", share.alias("share")))).alias("t"))
+    written = shares.select("qid", F.col("t.term").alias("terms"), F.col("t.field").alias("fields"), F.col("t.share").alias("shares"))
+    written.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(f"{folder}/topics")
+    files = sorted(spark.read.schema(written.schema).parquet(f"{folder}/topics").inputFiles())
+    found = docs.select("docid", *names).mapInArrow(_bm25_scored(files, mean, k, digits, k1, b), "qid string, docid string, score double")
+    return top_of_each(found, k).select("qid", "docid", "rank", "score")
 
 
-def _term_matrix(topics: list[Counter], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the topics' terms among all known ones, and how often each topic has each of them."""
-    own = np.array(sorted({known[t] for w in topics for t in w}), np.int64)
-    matrix = np.zeros((len(own), len(topics)))
-    for j, w in enumerate(topics):
-        if w:
-            matrix[np.searchsorted(own, [known[t] for t in w]), j] = list(w.values())
-    return own, matrix
+class _Postings:
+    """Of some documents: where each of the ``known`` terms of a field is, and its weight there before its rarity."""
+
+    def __init__(self, ids: list[str], texts: list[list[str | None]], known: set[str], mean: list[float], k1: float, b: float):
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.ids = np.array([ids[i] for i in order], "U")
+        found: dict[tuple[str, int], tuple[list[int], list[float]]] = {}
+        for f, column in enumerate(texts):
+            for place, i in enumerate(order):
+                words = _words(column[i])
+                less = k1 * (1 - b + b * len(words) / mean[f])
+                for term, tf in Counter(filter(known.__contains__, words)).items():
+                    at, weights = found.setdefault((term, f), ([], []))
+                    at.append(place)
+                    weights.append(tf / (tf + less))
+        self.found = {key: (np.array(at, np.int64), np.array(weights)) for key, (at, weights) in found.items()}
+
+    def best(self, terms: list[str], fields: list[int], shares: list[float], k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best, ties to the smaller id."""
+        score = np.zeros(len(self.ids))
+        for term, f, share in zip(terms, fields, shares, strict=True):
+            if (got := self.found.get((term, f))) is not None:
+                score[got[0]] += share * got[1]
+        score = score if digits is None else np.round(score, digits) + 0.0
+        at = np.flatnonzero(score > 0)
+        if len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+        at = at[np.argsort(-score[at], kind="stable")[:k]]
+        return at, score[at]
+
+
+def _bm25_scored(files: list[str], mean: list[float], k: int, digits: int | None, k1: float, b: float):
+    from ..sources.connector import rows_of
 
+    def against(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[x for batch in held for x in batch.column(i).to_pylist()] for i in range(held[0].num_columns)]
+        for lo in range(0, len(files), BLOCKS):
+            blocks = [rows_of(file).to_pydict() for file in files[lo : lo + BLOCKS]]
+            known = {term for topics in blocks for terms in topics["terms"] for term in terms}
+            postings = _Postings(columns[0], columns[1:], known, mean, k1, b)
+            for topics in blocks:
+                qids, places, scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for qid, *own in zip(topics["qid"], topics["terms"], topics["fields"], topics["shares"], strict=True):
+                    at, score = postings.best(*own, k, digits)
+                    qids += [qid] * len(at)
+                    places.append(at)
+                    scores.append(score)
+                yield pa.record_batch([pa.array(qids, pa.string()), pa.array(postings.ids[np.concatenate(places)].tolist(), pa.string()), pa.array(np.concatenate(scores))], names=["qid", "docid", "score"])
 
-def _bm25_scored(shared, own, k: int, digits: int | None, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, mean, weights = shared.value
-        blocks = [(qids, places, matrix, _Best(len(qids), k)) for qids, places, matrix in (x.value for x in own)]
-        get = known.get
-        step = max(16, min(1024, (1 << 22) // max(1, len(known))))
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
-                ids = np.array(part.column(0).to_pylist(), "U")
-                order = np.argsort(ids, kind="stable")
-                value = np.zeros((len(ids), len(known)))
-                for f, weight in enumerate(weights):
-                    texts = part.column(1 + f).to_pylist()
-                    for i, at in enumerate(order):
-                        words = _words(texts[at])
-                        found = np.array([p for p in map(get, words) if p is not None], np.int64)
-                        if len(found):
-                            place, tf = np.unique(found, return_counts=True)
-                            value[i, place] += weight * idf[f, place] * tf / (tf + k1 * (1 - b + b * len(words) / mean[f]))
-                for _, places, matrix, best in blocks:
-                    s = ((value if len(places) == len(known) else value[:, places]) @ matrix).T
-                    best.add(s if digits is None else np.round(s, digits) + 0.0, ids[order])
-        for qids, _, _, best in blocks:
-            yield best.rows(qids, 0.0)
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.nbytes for x in held) >= HELD_TEXT:
+                yield from against(held)
+                held = []
+        if held:
+            yield from against(held)
 
     return run
 

@@ -243,6 +243,7 @@ def test_blocks_and_passes_change_nothing(spark, sf, block, blocks, monkeypatch)
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
     monkeypatch.setattr(retrieve, "BLOCKS", blocks)
     monkeypatch.setattr(retrieve, "HELD", 100 * block)
+    monkeypatch.setattr(retrieve, "HELD_TEXT", 10_000 * blocks)
     assert found() == want and want[0] and want[1]
 
 
