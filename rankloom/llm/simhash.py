@@ -56,8 +56,6 @@ GROUP, CHUNK, AT_ONCE = 50_000, 1_024, 1 << 20
 NEAR_WORDS, NEAR_SEGMENTS, NEAR_BITS, NEAR_DISTANCE, LANE = 5, 28, 12, 60, 5
 #: Of near copies: differing bits of a candidate, rings, and bytes of shingle hashes that a task writes as one array.
 NEAR_REACH, RINGS, SETS_BYTES = 100, 2, 1 << 24
-#: Of near copies: shingles up to which a set is kept in 4 bytes each.
-NARROW = 4_096
 #: Of a set's place: bits of the item where it begins, and bits of a task's files.
 ITEMS, FILES = 28, 12
 #: Of near copies: the least size of a chunk, and the size up to which a bucket's pairs are listed without pivots.
@@ -230,18 +228,8 @@ def wide_fingerprint(text: str | None, words: int = NEAR_WORDS, seed: int = SEED
     return wide_bits(shingles(text, words, seed))
 
 
-def stored(h: np.ndarray) -> np.ndarray:
-    """A set as it is kept: of a small one the high halves of its hashes, as 4 bytes each; sorted either way.
-
-    Among ``NARROW`` hashes, chance makes one of 4 bytes agree with another's once in 250 texts.
-    """
-    return (h >> np.uint64(32)).astype("<u4") if len(h) <= NARROW else h.astype("<u8").view("<u4")
-
-
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether sets of sorted hashes have a Jaccard similarity of 0.8 or more."""
-    if x.dtype != y.dtype:
-        x, y = ((h >> np.uint64(32)).astype("<u4") if h.dtype.itemsize == 8 else h for h in (x, y))
     both = np.concatenate([x, y])
     both.sort()
     return 9 * np.count_nonzero(both[1:] == both[:-1]) >= 4 * len(both)
@@ -267,7 +255,7 @@ def wide_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
                     sets.append(shingles(batch.column(1)[lo + len(sets)].as_py()))
                     size += sets[-1].nbytes
                 n = np.array([len(x) for x in sets])
-                kept = [stored(x) if len(x) else np.zeros(1, "<u4") for x in sets]  # an empty set has a place of its own too
+                kept = [x.astype("<u8") if len(x) else np.zeros(1, "<u8") for x in sets]  # an empty set has a place of its own too
                 room = np.array([len(x) for x in kept])
                 file, files = task << FILES | files, files + 1  # of an attempt: one that dies is never read
                 put(folder, str(file), np.concatenate(kept))
@@ -279,9 +267,7 @@ def wide_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def shingles_at(folder: str, place: int, n: int) -> np.ndarray:
-    wide = n > NARROW
-    found = piece(folder, str(place >> ITEMS), "<u4", place & (1 << ITEMS) - 1, 2 * n if wide else n)
-    return found.view("<u8") if wide else found
+    return piece(folder, str(place >> ITEMS), "<u8", place & (1 << ITEMS) - 1, n)
 
 
 def segments_of(fps: list[bytes]) -> np.ndarray:

@@ -302,6 +302,22 @@ def test_nearly_every_pair_at_the_limit_agrees_in_a_segment():
     assert hit.mean() > 0.998
 
 
+@pytest.mark.parametrize("n", [4, 5, 6, 8, 10, 12, 16, 20, 40])
+def test_short_texts_at_the_limit_are_candidates(n):
+    """Of texts of few shingles, the pairs that differ as much as 0.8 allows."""
+    rng, a, b = np.random.default_rng(n), [], []
+    fits = [(both, x, n - both) for both in range(1, n + 1) for x in range(n) if 5 * both >= 4 * (n + x)]
+    fits = [f for f in fits if f[1] + f[2] == max(x + y for _, x, y in fits)]
+    for i in range(1000):
+        both, x, y = fits[i % len(fits)]
+        h = rng.integers(0, 2**63, both + x + y).astype(np.uint64)
+        a.append(simhash.wide_bits(np.sort(h[: both + x])))
+        b.append(simhash.wide_bits(np.sort(np.concatenate([h[:both], h[both + x :]]))))
+    a, b = simhash.segments_of(a), simhash.segments_of(b)
+    hit = (simhash.ring_values(a) == simhash.ring_values(b)).any(axis=1) & ((a != b).sum(axis=(1, 2)) <= simhash.NEAR_REACH)
+    assert hit.mean() >= (0.98 if n < 6 else 0.99)
+
+
 def test_an_id_on_unlike_rows_keeps_each_text(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
     rows = [(1, a, "s"), (1, b, "s"), (2, b, "s"), (3, a + " more", "s"), (3, c, "s"), (3, c, "t"), (4, None, "s"), (4, "", "s")]
@@ -315,3 +331,11 @@ def test_rows_without_an_id_stand_for_nothing(spark):
     a = " ".join(f"a{i}" for i in range(60))
     got = simhash.one_of_each(made(spark, [(None, a, "s"), (None, a, "s"), (5, a + " x", "s"), (6, a + " y", "s")])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (5, a + " x")]
+
+
+def test_long_and_short_sets_are_compared_by_whole_hashes():
+    """Hashes that agree in one half alone are no common shingles, however many or few a text has."""
+    for n in (8, 9000):
+        low = np.arange(n, dtype=np.uint64)
+        assert not simhash.alike(low << np.uint64(32), (low << np.uint64(32)) + np.uint64(1))
+        assert simhash.alike(low << np.uint64(32), low << np.uint64(32))
