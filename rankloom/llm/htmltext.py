@@ -4,7 +4,9 @@ A page becomes a sequence of items, text runs and tags. A text run scores the we
 tag its own weight; words in the main part score positive, tags negative, so the contiguous region with the highest
 sum is the article. One linear scan finds it. The weights are log-odds of a kind of item inside against outside of the
 regions marked in labelled pages. Words are told apart by where they stand: inside an article element, outside
-one although the page has one, in a link, elsewhere. As sums stop short of an article's last list or first headline,
+one although the page has one, in a link; on pages without an article element by their block too: one that is half links
+or more, one of fewer than ``FEW`` words in no paragraph, heading or the like, or running text. So neither article elements
+nor known names are needed. As sums stop short of an article's last list or first headline,
 the region then grows to the article element it lies in, or else to the blocks it begins and ends in.
 
 Menus, page footers, asides and scripts are no article text by their nature. Page headers, forms, and elements whose
@@ -57,6 +59,11 @@ _BESIDE = frozenset("box wrap wrapper container block section area list item ite
 _MAIN_NAMES = frozenset("main articlebody article-body".split())
 
 
+#: A block of fewer words that stands in a division, cell or other container directly is no running text.
+FEW = 16
+_TEXT_BLOCKS = _HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption address".split())
+
+
 class Item:
     """A text run or a tag: kind (what its weight goes by), words, text, whether it is left out, and its element."""
 
@@ -199,6 +206,26 @@ def _settle(out: list[Item], elements: list[Element]) -> None:
         for x in out:
             if x.kind == "word:other":
                 x.kind = "word:outside"
+    else:
+        _by_blocks(out, elements)
+
+
+def _by_blocks(out: list[Item], elements: list[Element]) -> None:
+    """Of words in no link, which stand in blocks that are half links, and which in loose blocks of few words."""
+    block: list[Item] = []
+    loose = [True] * len(elements)
+    for i, e in enumerate(elements):
+        loose[i] = e.name not in _TEXT_BLOCKS if e.name in _BLOCKS else loose[e.parent] if i else True
+    for x in [*out, Item("/html", 0)]:
+        if x.words and not x.noise:
+            block.append(x)
+        elif block and x.kind.lstrip("/") in _BLOCKS:
+            words, links = sum(y.words for y in block), sum(y.words for y in block if y.kind == "word:link")
+            kind = "word:beside" if 2 * links >= words else "word:few" if words < FEW and loose[block[0].owner] else ""
+            for y in block:
+                if kind and y.kind == "word:other":
+                    y.kind = kind
+            block = []
 
 
 def items(page: str) -> list[Item]:

@@ -1,3 +1,4 @@
+import re
 import time
 
 import pytest
@@ -107,6 +108,48 @@ def test_hand_written_pages(page, want):
     assert htmltext.main_text(page) == want
 
 
+STRIP = "<div><a href='/'>Start</a> <a href='/n'>News</a> | <a href='/s'>Sport</a></div>"
+UNNAMED = [
+    # nested divisions with names that tell nothing, a column of links beside the text
+    (f'<body><div class="zq1">{STRIP}<div>Signed in as guest</div></div><div class="zq2"><div class="zq3"><h1>Bridge</h1>{LONG}</div><div class="zq4"><h4>More</h4><ul><li><a href="/a">The mill by the lake</a></li><li><a href="/b">The market on Sunday</a></li></ul></div></div><div class="zq5">Printed in town</div></body>', f"Bridge\n{WANT}"),
+    # text in plain divisions, short facts before and after
+    (f"<body>{STRIP}<section><div>Four minutes</div></section><section><div>{TEXT}</div><div>{TEXT}</div><div>{TEXT}</div></section><section><div>Seen by 2,040 readers</div></section></body>", WANT),
+    # short items within the text stay
+    (f"<body>{STRIP}<div><h1>Bread</h1><p>{TEXT}</p><ul><li>flour</li><li>water</li></ul><p>{TEXT}</p></div><div>Print this</div></body>", f"Bread\n{TEXT}\nflour\nwater\n{TEXT}"),
+    # everything in the body itself
+    (f"<body>{STRIP}<div>Late edition</div><h1>Bridge</h1>{LONG}<div>Page two</div></body>", f"Bridge\n{WANT}"),
+    # words among links are none of the text
+    (f"<body><div>{LONG}</div><div>See also <a href='/1'>the mill by the lake</a> and <a href='/2'>the market on Sunday in the old town</a></div></body>", WANT),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), UNNAMED)
+def test_pages_without_article_element_or_known_names(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize(("page", "want"), UNNAMED)
+def test_the_scan_alone_decides(page, want, monkeypatch):
+    """No element and no name counts as noise."""
+    monkeypatch.setattr(htmltext, "_NEVER", frozenset("script style title head".split()))
+    monkeypatch.setattr(htmltext, "_UNLESS_MAIN", frozenset())
+    monkeypatch.setattr(htmltext, "_NOISE_WORDS", frozenset())
+    assert htmltext.main_text(page) == want
+
+
+def test_given_pages_with_plain_divisions_alone(spark):
+    """The table's pages without their telling tags: articles and all else are divisions."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").collect()]
+    same = [0, 0]
+    for page in pages:
+        plain = re.sub(r"<(/?)article[^>]*>", r"<\1div>", page)
+        bare = re.sub(r"<(/?)(?:nav|footer)[^>]*>", r"<\1div>", plain).replace('class="ad"', "")
+        want = htmltext.main_text(page)
+        same[0] += htmltext.main_text(plain) == want
+        same[1] += htmltext.main_text(bare) == want
+    assert same[0] == len(pages) and same[1] >= 0.9 * len(pages)
+
+
 @pytest.mark.parametrize("part", ["<a ", "<b>x ", '<a b="', "<head>x ", "<p>", "<div>", "<i><div><b>", "</i>", "<li>", "<td>", "<a ='<a >'", "<!--", "<script>", '<b class="', "&", "<"])
 def test_hostile_pages_take_linear_time(part):
     took = []
