@@ -62,8 +62,8 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def assigned(vectors: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:
-    """(docid, cluster, distance): the nearest centroid of every vector by L2, ties to the smaller cluster.
+def assigned(vectors: DataFrame, centroids: DataFrame, column: str = "embedding", carry: bool = False) -> DataFrame:
+    """(docid, cluster, distance): the nearest centroid of every vector by L2, ties to the smaller cluster. carry: and ``vec``, the vector.
 
     Vectors null, or with null or non-finite components, take no part; one of another length than the centroids is an
     error. Without centroids: cluster -1.
@@ -81,9 +81,10 @@ def assigned(vectors: DataFrame, centroids: DataFrame, column: str = "embedding"
                 near = ((x - c[at]) ** 2).sum(1)  # again, without cancellation
                 closer = near < best
                 best, cluster = np.where(closer, near, best), np.where(closer, ids[at], cluster)
-            yield pa.record_batch([batch.column("docid"), pa.array(cluster), pa.array(best)], names=["docid", "cluster", "distance"])
+            more = [batch.column("vec")] if carry else []
+            yield pa.record_batch([batch.column("docid"), pa.array(cluster), pa.array(best), *more], names=["docid", "cluster", "distance", "vec"][: 3 + len(more)])
 
-    return V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "docid string, cluster long, distance double")
+    return V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec")).mapInArrow(run, "docid string, cluster long, distance double" + ", vec array<double>" * carry)
 
 
 def nearest_documents(vectors: DataFrame, centroids: DataFrame, column: str = "embedding") -> DataFrame:

@@ -23,8 +23,8 @@ TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
 #: Bytes of vectors, and of texts, that a task holds while queries pass.
 HELD, HELD_TEXT = 128 << 20, 32 << 20
-#: Parts of a probed partition, and queries whose distances to centroids are held at once.
-PARTS, PROBE_ROWS = 8, 256
+#: Queries whose distances to centroids are held at once.
+PROBE_ROWS = 256
 
 _TERM = re.compile(r"[a-z0-9]+").findall
 
@@ -44,34 +44,77 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, digits: int |
     vectors. digits: scores are rounded before they are ranked. Vectors null, or with null or non-finite components, take
     no part; vectors of unlike lengths are an error.
     """
-    spark, folder = queries.sparkSession, folder or scratch(queries.sparkSession, "dense-queries")
     asked = V.usable(queries, column).select("qid", V.doubles(F.col(column)).alias("vec"))
-    asked.repartition("qid").write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(folder)
-    files = sorted(spark.read.schema("qid string, vec array<double>").parquet(folder).inputFiles())
+    files = _query_files(asked, folder or scratch(queries.sparkSession, "dense-queries"))
     docs = V.usable(vectors, column).select("docid", V.doubles(F.col(column)).alias("vec"))
     return top_of_each(docs.mapInArrow(_scored(files, k, digits), "qid string, docid string, score double"), k).select("qid", "docid", "rank", "score")
 
 
+def _query_files(asked: DataFrame, folder: str) -> list[str]:
+    """The files of at most ``QUERY_BLOCK`` rows that queries with a ``qid`` are written to."""
+    asked.repartition("qid").write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(folder)
+    return sorted(asked.sparkSession.read.schema(asked.schema).parquet(folder).inputFiles())
+
+
 class _Best:
-    """The best k scores of each query so far, ties to the smaller id."""
+    """The best k scores of each query so far, as places of documents, ties to the smaller place."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.scores, self.ids = k, np.zeros((queries, 0)), np.zeros((queries, 0), "U1")
+        self.k, self.scores, self.places = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
+
+    def add(self, scores: np.ndarray, first: int) -> None:
+        """scores: (queries, documents), the documents from place ``first`` on, which is after all places so far."""
+        if not scores.size:
+            return
+        if self.scores.shape[1] < self.k:
+            near = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+            scores, places = np.concatenate([self.scores, np.take_along_axis(scores, near, 1)], 1), np.concatenate([self.places, near + first], 1)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+            self.scores, self.places = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
+            return
+        i, j = np.nonzero(scores > self.scores[:, -1:])  # a later document loses ties
+        if not len(i):
+            return
+        rows, at = np.unique(i, return_inverse=True)
+        owner = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        scores, places = np.concatenate([self.scores[rows].ravel(), scores[i, j]]), np.concatenate([self.places[rows].ravel(), j + first])
+        order, count = np.lexsort((-scores, owner)), np.bincount(owner)
+        keep = order[((count.cumsum() - count)[:, None] + np.arange(self.k)).ravel()].reshape(-1, self.k)
+        self.scores[rows], self.places[rows] = scores[keep], places[keep]
+
+    def rows(self, names: list[str], ids: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(self.scores > -np.inf)
+        return pa.record_batch([pa.array(np.array(names, object)[i].tolist(), pa.string()), pa.array(ids[self.places[i, j]].tolist(), pa.string()), pa.array(self.scores[i, j])], names=["qid", "docid", "score"])
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """scores: (queries, documents), the documents in the order of ids."""
-        near = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
-        scores, ids = np.concatenate([self.scores, np.take_along_axis(scores, near, 1)], 1), np.concatenate([self.ids, ids[near]], 1)
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
-    def rows(self, names: list[str]) -> pa.RecordBatch:
-        i, j = np.nonzero(self.scores > -np.inf)
-        return pa.record_batch([pa.array(np.array(names, object)[i].tolist(), pa.string()), pa.array(self.ids[i, j].tolist(), pa.string()), pa.array(self.scores[i, j])], names=["qid", "docid", "score"])
+def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    return scores if digits is None else np.round(scores, digits) + 0.0  # no minus zero
 
 
-def _scored(files: list[str], k: int, digits: int | None):
-    """A task's own best k of each query, for every ``HELD`` bytes of its vectors."""
+def _held(against, most: int = HELD):
+    """Batches of a task's documents, passed to ``against`` whenever they are ``most`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= most:
+                yield from against(held)
+                held, size = [], 0
+        if held:
+            yield from against(held)
+
+    return run
+
+
+def _scored(files: list[str], k: int, digits: int | None, probing: bool = False):
+    """A task's own best k of each query, for every ``HELD`` bytes of its vectors.
+
+    probing: documents have a ``cluster``, queries ``clusters``, and only documents of a query's clusters are scored.
+    """
     from ..sources.connector import rows_of
     from .cluster import _batch_vectors
 
@@ -79,6 +122,7 @@ def _scored(files: list[str], k: int, digits: int | None):
         ids = np.array([i for batch in held for i in batch.column(0).to_pylist()], "U")
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], None
+        homes = np.concatenate([np.asarray(batch.column("cluster")) for batch in held])[order] if probing else None
         for file in files:
             block = rows_of(file)
             if not block.num_rows:
@@ -86,24 +130,25 @@ def _scored(files: list[str], k: int, digits: int | None):
             width = len(block.column("vec")[0])
             x = np.concatenate([_batch_vectors(batch, width) for batch in held])[order] if x is None else x
             q = _batch_vectors(block.combine_chunks().to_batches()[0], x.shape[1])
+            asking: dict[int, list[int]] = {}
+            for i, clusters in enumerate(block.column("clusters").to_pylist() if probing else ()):
+                for c in clusters:
+                    asking.setdefault(c, []).append(i)
             best = _Best(len(q), k)
             for lo in range(0, len(x), AT_ONCE):
-                s = q @ x[lo : lo + AT_ONCE].T
-                best.add(s if digits is None else np.round(s, digits) + 0.0, ids[lo : lo + AT_ONCE])
-            yield best.rows(block.column("qid").to_pylist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.nbytes for b in held) >= HELD:
-                yield from against(held)
-                held = []
-        if held:
-            yield from against(held)
+                if not probing:
+                    s = q @ x[lo : lo + AT_ONCE].T
+                else:
+                    own = homes[lo : lo + AT_ONCE]
+                    s = np.full((len(q), len(own)), -np.inf)
+                    for c in np.unique(own).tolist():
+                        if c in asking:
+                            at = np.flatnonzero(own == c)
+                            s[np.ix_(asking[c], at)] = q[asking[c]] @ x[lo + at].T
+                best.add(_rounded(s, digits), lo)
+            yield best.rows(block.column("qid").to_pylist(), ids)
 
-    return run
+    return _held(against)
 
 
 def _words(text: str | None) -> list[str]:
@@ -188,18 +233,7 @@ def _bm25_scored(files: list[str], mean: list[float], k: int, digits: int | None
                     scores.append(score)
                 yield pa.record_batch([pa.array(qids, pa.string()), pa.array(postings.ids[np.concatenate(places)].tolist(), pa.string()), pa.array(np.concatenate(scores))], names=["qid", "docid", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(x.nbytes for x in held) >= HELD_TEXT:
-                yield from against(held)
-                held = []
-        if held:
-            yield from against(held)
-
-    return run
+    return _held(against, HELD_TEXT)
 
 
 def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -248,22 +282,24 @@ def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
 def probed(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES, column: str = "embedding", digits: int | None = None) -> DataFrame:
     """Approximate (qid, docid, rank, score): only partitions of the nearest centroids are scored.
 
-    A popular partition is a hot key of the join on both sides; it is dealt into ``PARTS`` parts by the document, and
-    the queries that probe it, far fewer, go to each part.
+    Queries go in files with their partitions, as in ``dense``; a task holds some vectors with theirs, and of each partition meets
+    the queries that probe it as one product of matrices. What is shuffled is k rows a query and ``HELD`` bytes of vectors.
     """
     from .cluster import assigned
 
-    vectors = V.usable(vectors, column)
-    part = F.pmod(F.xxhash64("docid"), F.lit(PARTS)).cast("int")
-    homes = vectors.join(assigned(vectors, centroids, column).select("docid", "cluster"), "docid").select("cluster", "docid", F.col(column).alias("dvec"), part.alias("part"))
-    near = _probes(queries, centroids, probes, column).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    score = V.dot(F.col("qvec"), F.col("dvec"))
-    scored = near.join(homes, ["cluster", "part"]).select("qid", "docid", (score if digits is None else F.round(score, digits)).alias("score"))
-    return top_of_each(scored, k).select("qid", "docid", "rank", "score")
+    homes = assigned(vectors, centroids, column, carry=True).select("docid", "vec", "cluster")
+    asked = _nearest(queries, centroids, probes, column).select("qid", F.col("qvec").alias("vec"), "clusters")
+    files = _query_files(asked, scratch(queries.sparkSession, "probed-queries"))
+    return top_of_each(homes.mapInArrow(_scored(files, k, digits, True), "qid string, docid string, score double"), k).select("qid", "docid", "rank", "score")
 
 
 def _probes(queries: DataFrame, centroids: DataFrame, few: int, column: str) -> DataFrame:
-    """(qid, qvec, cluster): the few nearest centroids of each query, ties to the smaller cluster.
+    """(qid, qvec, cluster): a row for each of the few nearest centroids of a query, ties to the smaller cluster."""
+    return _nearest(queries, centroids, few, column).select("qid", "qvec", F.explode("clusters").alias("cluster"))
+
+
+def _nearest(queries: DataFrame, centroids: DataFrame, few: int, column: str) -> DataFrame:
+    """(qid, qvec, clusters): the few nearest centroids of each query, ties to the smaller cluster.
 
     Centroids are held in slices of bounded size, distances a batch of rows at a time; of each slice the nearest stay.
     """
@@ -283,11 +319,11 @@ def _probes(queries: DataFrame, centroids: DataFrame, few: int, column: str) ->
                     far, cluster = np.concatenate([far, np.take_along_axis(d, near, 1)], 1), np.concatenate([cluster, ids[near]], 1)
                     best = np.lexsort((cluster, far), axis=1)[:, :few]
                     far, cluster = np.take_along_axis(far, best, 1), np.take_along_axis(cluster, best, 1)
-                at = pa.array(np.repeat(np.arange(rows.num_rows), cluster.shape[1]))
-                yield pa.record_batch([rows.column(0).take(at), rows.column(1).take(at), pa.array(cluster.ravel())], names=["qid", "qvec", "cluster"])
+                ends = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * cluster.shape[1])
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.ListArray.from_arrays(ends, pa.array(cluster.ravel()))], names=["qid", "qvec", "clusters"])
 
     rows = V.usable(queries, column).select("qid", V.doubles(F.col(column)).alias("vec"))
-    return rows.mapInArrow(run, "qid string, qvec array<double>, cluster long")
+    return rows.mapInArrow(run, "qid string, qvec array<double>, clusters array<long>")
 
 
 def partition_centroids(tokens: DataFrame, partitions: int, share: float = 0.3, seed: int = 0, column: str = "dvec") -> DataFrame:
@@ -299,20 +335,97 @@ def partition_centroids(tokens: DataFrame, partitions: int, share: float = 0.3,
 
 
 def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, centroids: DataFrame, k: int = TOP_K, probes: int = PROBES, digits: int | None = None) -> DataFrame:
-    """(qid, docid, rank, score): documents with a token in a probed partition, scored in full by ``max_sim``.
+    """(qid, docid, rank, score): documents with a token in a probed partition, scored in full, as ``max_sim`` does.
 
-    query_tokens: (qid, qpos, qvec); doc_tokens: (docid, pos, dvec). Each query token probes its nearest partitions.
+    query_tokens: (qid, qpos, qvec); doc_tokens: (docid, pos, dvec). Each query token probes its nearest partitions. Queries are
+    written in files, each with all its tokens and partitions; a task holds some documents, reads one file after the other and
+    sends its best k of each query, so no row is made for a query and a document or their tokens. Vectors null, or with null
+    or non-finite components, take no part; vectors of unlike lengths are an error.
     """
     from .cluster import assigned
 
-    keyed = doc_tokens.withColumn("key", F.concat_ws("|", "docid", "pos"))
-    homes = assigned(keyed.select(F.col("key").alias("docid"), F.col("dvec").alias("embedding")), centroids).select(F.col("docid").alias("key"), "cluster")
-    where = keyed.select("key", "docid").join(homes, "key").select("cluster", "docid").distinct()
-    near = _probes(query_tokens.select("qid", F.col("qvec").alias("embedding")), centroids, probes, "embedding").select("qid", "cluster").distinct()
-    chosen = near.join(where, "cluster").select("qid", "docid").distinct()
-    found = max_sim(query_tokens, chosen.join(doc_tokens, "docid").select("qid", "docid", "dvec"))
-    found = found if digits is None else found.withColumn("score", F.round("score", digits))
-    return top_of_each(found, k).select("qid", "docid", "rank", "score")
+    spark = query_tokens.sparkSession
+    own = V.usable(query_tokens, "qvec").where("qid IS NOT NULL")
+    places = own.groupBy("qid", "qpos").agg(F.collect_list(V.doubles(F.col("qvec"))).alias("t")).groupBy("qid").agg(F.collect_list("t").alias("tokens"))
+    near = _probes(own.select("qid", F.col("qvec").alias("embedding")), centroids, probes, "embedding").groupBy("qid").agg(F.collect_set("cluster").alias("clusters"))
+    files = _query_files(places.join(near, "qid").select("qid", "tokens", "clusters"), scratch(spark, "late-queries"))
+    homes = assigned(doc_tokens.where("docid IS NOT NULL"), centroids, "dvec", carry=True)
+    docs = homes.groupBy("docid").agg(F.collect_list("vec").alias("tokens"), F.collect_set("cluster").alias("clusters"))
+    return top_of_each(docs.mapInArrow(_late(files, k, digits), "qid string, docid string, score double"), k).select("qid", "docid", "rank", "score")
+
+
+def _ragged(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of vectors: all vectors as a matrix, where each list begins, and how many it has."""
+    lengths = np.asarray(rows.value_lengths(), np.int64)
+    vectors = rows.flatten()
+    sizes = np.unique(np.asarray(vectors.value_lengths()))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of unlike lengths: {sizes.tolist()}")
+    return np.asarray(vectors.flatten()).reshape(len(vectors), -1), lengths.cumsum() - lengths, lengths
+
+
+def _members(rows: pa.Array, places: dict[int, int]) -> np.ndarray:
+    """(rows, places): whether a row's list has the number of a place."""
+    out = np.zeros((len(rows), len(places)), np.float32)
+    for i, own in enumerate(rows.to_pylist()):
+        out[i, [places[c] for c in own if c in places]] = 1
+    return out
+
+
+def _late(files: list[str], k: int, digits: int | None):
+    """A task's own best k of each query by late interaction, for every ``HELD`` bytes of its documents' tokens."""
+    from ..sources.connector import rows_of
+
+    def sums(block: pa.Table, x: np.ndarray, squares: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(queries, documents) of documents by falling length: those that have a token at a place are the first ones."""
+        tokens = block.column("tokens").combine_chunks()
+        count = np.asarray(tokens.value_lengths(), np.int64)
+        q, at, many = _ragged(tokens.flatten())  # at a spot of a query may be several vectors, of which the best counts
+        first = count.cumsum() - count
+        total = np.zeros((len(count), len(begin)))
+        for spot in range(count.max(initial=0)):
+            rows = np.flatnonzero(count > spot)
+            best = np.full((len(rows), len(begin)), -np.inf)
+            for other in range(many[first[rows] + spot].max()):
+                some = np.flatnonzero(many[first[rows] + spot] > other)
+                v = q[at[first[rows[some]] + spot] + other]
+                vv = (v * v).sum(1)[:, None]
+                for pos in range(length.max()):
+                    n = int(np.searchsorted(-length, -pos))  # documents with more than pos tokens
+                    t = begin[:n] + pos
+                    sim = 2 * (v @ x[t].T)
+                    sim -= squares[t]
+                    sim -= vv
+                    np.minimum(sim, 0, out=sim)
+                    if len(some) == len(rows):
+                        np.maximum(best[:, :n], sim, out=best[:, :n])
+                    else:
+                        best[some, :n] = np.maximum(best[some, :n], sim)
+            total[rows] += best
+        return total
+
+    def against(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = pa.Table.from_batches(held)
+        docs = docs.take(pa.array(np.argsort(np.array(docs.column("docid").to_pylist(), "U"), kind="stable"))).combine_chunks()
+        ids, (x, begin, length) = np.array(docs.column("docid").to_pylist(), "U"), _ragged(docs.column("tokens").combine_chunks())
+        squares, homes = (x * x).sum(1), docs.column("clusters").combine_chunks()
+        for file in files:
+            block = rows_of(file)
+            if not block.num_rows:
+                continue
+            best = _Best(block.num_rows, k)
+            for lo in range(0, len(ids), QUERY_BLOCK):
+                chunk = slice(lo, lo + QUERY_BLOCK)
+                order = np.argsort(-length[chunk], kind="stable")
+                score = np.empty((block.num_rows, len(order)))
+                score[:, order] = sums(block, x, squares, begin[chunk][order], length[chunk][order])
+                own = homes.slice(lo, QUERY_BLOCK)
+                places = {c: i for i, c in enumerate(np.unique(np.asarray(own.flatten())).tolist())}
+                met = _members(block.column("clusters").combine_chunks(), places) @ _members(own, places).T > 0
+                best.add(np.where(met, _rounded(score, digits), -np.inf), lo)
+            yield best.rows(block.column("qid").to_pylist(), ids)
+
+    return _held(against)
 
 
 def pool_stats(run: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
