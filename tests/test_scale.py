@@ -1,8 +1,11 @@
 """What grows no faster than the input: rows that plans make, and the results beside them."""
 
+import re
+
 import numpy as np
 
-from rankloom.operators import retrieve
+from rankloom.operators import evaluate, retrieve
+from rankloom.plans import queries
 
 
 def plan(df) -> str:
@@ -42,3 +45,31 @@ def test_late_interaction_makes_no_row_for_a_query_and_a_document(spark):
         got = sorted(map(tuple, found.select("qid", "docid", "rank", "score").collect()))
         assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
         assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-6)
+
+
+def test_probed_partitions_are_products_of_matrices(spark):
+    v = spark.createDataFrame([("a", [0.0, 1.0]), ("a", [0.0, 2.0]), ("b", [3.0, 0.5]), ("c", [4.0, 0.0])], "docid string, embedding array<double>")
+    q = spark.createDataFrame([("x", [0.0, 1.0])], "qid string, embedding array<double>")
+    c = spark.createDataFrame([(0, [0.0, 1.0]), (7, [3.0, 0.0])], "cluster long, centroid array<double>")
+    found = retrieve.probed(q, v, c, 5, 2)
+    assert "Join" not in plan(found)
+    # an id that two vectors share is no reason to score one with the other's partition
+    assert sorted((r.docid, r["rank"], r.score) for r in found.collect()) == [("a", 1, 2.0), ("a", 2, 1.0), ("b", 3, 0.5), ("c", 4, 0.0)]
+    assert sorted(r.docid for r in retrieve.probed(q, v, c, 5, 1).collect()) == ["a", "a"]
+
+
+def test_metrics_by_class_are_those_of_the_listed_judgments(spark):
+    d = [(f"d{i:02}", i % 3 if i % 7 else None) for i in range(30)] + [("d03", 0), ("d03", 1), ("lone", 9), (None, 1)]
+    docs = spark.createDataFrame(d, "docid string, label int")
+    queries = docs.where("docid IN ('d00', 'd01', 'd03', 'd08', 'd11', 'lone')").withColumnRenamed("docid", "qid")
+    qrels = queries.join(docs, "label").where("qid <> docid").select("qid", "docid", "label").selectExpr("qid", "docid", "1 AS rel")
+    run = queries.select("qid").distinct().join(docs.select("docid").where("docid IS NOT NULL").distinct()).selectExpr("qid", "docid", "CAST(row_number() OVER (PARTITION BY qid ORDER BY md5(concat(qid, docid))) AS INT) AS rank")
+    classes = evaluate.Classes(queries, docs)
+    for listed, counted in ((evaluate.ndcg(run, qrels), evaluate.ndcg(run, classes)), (evaluate.recall(run, qrels, 12), evaluate.recall(run, classes, 12))):
+        want, got = ({r[0]: round(r[1], 9) for r in x.collect()} for x in (listed, counted))
+        assert want == got and len(want) == 4
+
+
+def test_metrics_query_makes_no_row_for_a_judgment(spark, sf):
+    made = plan(queries.ndcg_at_10(spark, sf)) + plan(queries.metrics_mean(spark, sf))
+    assert "label#" in made and not re.search(r"Join Inner, \(\(?label", made)
