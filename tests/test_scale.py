@@ -85,3 +85,13 @@ def test_index_finds_documents_whose_tokens_crowd_each_other(spark, tmp_path):
     got = {r.docid for r in ivf.search(spark, path, asked, str(tmp_path / "p"), 20, 4, 20).collect()}
     want = {r.docid for r in retrieve.late_interaction(asked, tokens, spark.createDataFrame([(0, [0.0] * 16)], "cluster long, centroid array<double>"), 20, 1).collect()}
     assert len(got) == 20 and len(got & want) >= 18
+
+
+def test_blocks_are_made_where_documents_are_numbered():
+    """A range that two batches share is one block a term, with its documents in order: no row is made for a word."""
+    import pyarrow as pa
+
+    docs = pa.table({"docid": ["a", "b", "c"], "number": [4, 5, 8], "lens": [[2], [1], [0]], "tokens": [[["x", "x"]], [["x"]], [[]]]}).to_batches(max_chunksize=1)
+    got = pa.Table.from_batches(list(lexical._blocks(["f"], [1.0], 0.9, 0.4, 4)(iter(docs)))).to_pylist()
+    assert [(r["term"], r["range"], r["docids"], r["n"]) for r in got] == [("x", 1, ["a", "b"], 2)]
+    assert np.allclose(got[0]["weights"], [2 / (2 + 0.9 * 1.4), 1 / 1.9]) and got[0]["most"] == max(got[0]["weights"])
