@@ -38,7 +38,7 @@ from .common import crc_rest, staged, staged_path
 from .store import mapped, put
 
 #: Tokens that a task merges at once (2^20 at most), and scores at once; tokens of a slice; slices at least; the model's order, 2 or 3.
-FLUSH, SCORE_AT_ONCE, SLICE, SLICES, ORDER = 1 << 20, 250_000, 2_000_000, 16, 3
+FLUSH, SCORE_AT_ONCE, SLICE, SLICES, ORDER = 1 << 20, 500_000, 2_000_000, 16, 3
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 _END = xxhash.xxh64_digest(b"\x00end")
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end"))
@@ -84,11 +84,11 @@ def tokens(texts, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         yield np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.array(ends), done + len(ends)
 
 
-def before(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of each token the one before it in its text, ``BEGIN`` for the first."""
+def before(ids: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
+    """Of each token the one before it in its text, ``first`` for the first."""
     out = np.empty_like(ids)
     out[1:] = ids[:-1]
-    out[np.concatenate([[0], ends[:-1]])] = BEGIN
+    out[np.concatenate([[0], ends[:-1]])] = first
     return out
 
 
@@ -399,55 +399,70 @@ class Model:
     hot: np.ndarray
     hot_sums: np.ndarray
 
-    def _each(self, name: str, key: np.ndarray, parts: np.ndarray, width: int) -> np.ndarray:
-        """Numbers of keys in the tables of their slices; equal keys are looked up once. parts: -1 for none."""
-        own, at, back = np.unique(key, return_index=True, return_inverse=True)
-        parts, out = parts[at], np.zeros((len(own), width), np.int64)
-        order = np.argsort(parts, kind="stable")
-        cuts = np.searchsorted(parts[order], np.arange(self.slices + 1))
-        for part in range(self.slices):
-            i = order[cuts[part] : cuts[part + 1]]
-            if len(i):
-                out[i] = look_in(self.words.folder, f"{name}-{part}", own[i], width)
-        return out[back]
+    def _each(self, name: str, key: np.ndarray, parts: np.ndarray, width: int, order: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of keys in the tables of their slices, which see them in order; a part of ``slices`` is none. order: that of the keys, if known."""
+        parts = parts.astype(np.min_scalar_type(self.slices))  # small numbers are sorted in one pass or two
+        order = np.argsort(key) if order is None else order
+        order = order[np.argsort(parts[order], kind="stable")]
+        cuts = np.searchsorted(parts[order], np.arange(self.slices + 1, dtype=parts.dtype))
+        own, found = key[order], np.zeros((cuts[-1], width), np.int64)
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            found[cuts[part] : cuts[part + 1]] = look_in(self.words.folder, f"{name}-{part}", own[cuts[part] : cuts[part + 1]], width)
+        out = np.zeros((len(key), width), np.int64)
+        out[order[: cuts[-1]]] = found
+        return out
 
     def token_scores(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: whether it is known, and log10 of its base and of its model probability."""
-        own, back = np.unique(h, return_inverse=True)
+        """Of each token: whether it is known, and log10 of its base and of its model probability.
+
+        What a word alone decides is worked out once for each distinct word.
+        """
+        own, w_at = np.unique(h, return_inverse=True)
         if not self.kinds:
             return np.zeros(len(h), bool), np.full(len(h), np.log10(0.5 / 0.5)), np.zeros(len(h))
         ids = self.words.look_up(own)
         count, follows = self.words.numbers(ids, "counts", "<u8"), self.words.numbers(ids, "before", "<u8")
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
-        low = (follows - np.array([0.0, *self.lower])[np.minimum(follows, 3)]) / self.pairs + self.left / (self.kinds + 1)
-        w, low = ids[back], low[back]
-        v = before(w, ends)
-        u = before(v, ends) if self.order > 2 else np.full(len(w), BEGIN)
-        known = (w != UNKNOWN) & (v != UNKNOWN)
-        share = low
+        low = ((follows - np.array([0.0, *self.lower])[np.minimum(follows, 3)]) / self.pairs + self.left / (self.kinds + 1))[w_at]
+        ids = np.append(ids, BEGIN)
+        v_at = before(w_at, ends, len(own))
+        u_at = before(v_at, ends, len(own)) if self.order > 2 else np.full(len(h), len(own))
+        none, no, is_hot = self.slices, ids == UNKNOWN, np.isin(ids, self.hot)
+        own = pair_key(ids, _A)
+        home = sliced(own, self.slices)
+        u, v, w = ids[u_at], ids[v_at], ids[w_at]
+        hot = np.flatnonzero(is_hot[v_at])
+        parts = home[v_at]  # as ``slice_of`` has it
+        parts[hot] = sliced(pair_key(u[hot], own[v_at[hot]]), self.slices)
+        known, share, context, order = ~(no[w_at] | no[v_at]), low, pair_key(u, v), None
         if self.order > 2:
-            key, hot = pair_key(v, w), np.isin(v, self.hot)
-            cont = self._each("bi", key, np.where(known & ~hot, slice_of(v, u, self.hot, self.slices), -1), 1)[:, 0]
-            if hot.any():
-                cont = np.where(hot, self._each("hot", key, np.where(known & hot, sliced(key, self.slices), -1), 1)[:, 0], cont)
-            sums = self._each("middle", pair_key(v, _B), np.where((v != UNKNOWN) & ~hot, slice_of(v, u, self.hot, self.slices), -1), 4)
-            if hot.any():
-                sums[hot] = self.hot_sums[np.searchsorted(self.hot, v[hot])]
-            share = self._interpolated(cont, sums, self.middle, low)
+            key = pair_key(v, w)
+            order = np.argsort(key)
+            usual = known.copy()
+            usual[hot] = False
+            cont = self._each("bi", key, np.where(usual, parts, none), 1, order)[:, 0]
+            hot = hot[known[hot]]
+            if len(hot):
+                cont[hot] = self._each("hot", key[hot], sliced(key[hot], self.slices), 1)[:, 0]
+            sums = self._each("middle", pair_key(ids, _B), np.where(no | is_hot, none, home), 4)
+            sums[is_hot] = self.hot_sums[np.searchsorted(self.hot, ids[is_hot])]
+            share = self._interpolated(cont, sums[v_at], self.middle, low)
+            starts = np.concatenate([[0], ends[:-1]])
             seen = np.concatenate([[False], cont[:-1] > 0])  # the context (u, v) is the bigram of the token before
-            seen[np.concatenate([[0], ends[:-1]])] = False
-        context = pair_key(u, v)
-        parts = np.where((u != UNKNOWN) & (v != UNKNOWN), slice_of(v, u, self.hot, self.slices), -1)
-        sums = self._each("context", context, parts, 4)
+            seen[starts] = False
+            begins = np.zeros(len(h) + 1, bool)
+            begins[starts], begins[-1] = True, True
+            order = np.concatenate([(order + 1)[~begins[order + 1]], starts])  # so are their orders
+        sums = self._each("context", context, np.where(no[u_at] | no[v_at], none, parts), 4, order)
         if self.order > 2:
             sums[seen & (sums[:, 0] == 0)] = (1, 1, 0, 0)
-        n = self._each("tri", pair_key(context, w), np.where(known, parts, -1), 1)[:, 0]
-        return (count > 0)[back], base[back], np.log10(self._interpolated(n, sums, self.upper, share))
+        n = self._each("tri", pair_key(context, w), np.where(known, parts, none), 1)[:, 0]
+        return (count > 0)[w_at], base[w_at], np.log10(self._interpolated(n, sums, self.upper, share))
 
     def _interpolated(self, n: np.ndarray, sums: np.ndarray, cut: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
         """The discounted share of counts n, and the rest given out by ``lower``; that alone without a context."""
         with np.errstate(divide="ignore", invalid="ignore"):
-            rest = (sums[:, 1:] @ np.array(cut)) / sums[:, 0]
+            rest = (sums[:, 1] * cut[0] + sums[:, 2] * cut[1] + sums[:, 3] * cut[2]) / sums[:, 0]
             own = np.where(n > 0, (n - np.array([0.0, *cut])[np.minimum(n, 3)]) / sums[:, 0], 0.0)
         return np.where(sums[:, 0] > 0, own + rest * lower, lower)
 

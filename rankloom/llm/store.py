@@ -32,13 +32,13 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     system, path = _place(folder)
     if isinstance(system, fs.LocalFileSystem):
         file = f"{path}/{name}"
-        return np.memmap(file, kind, "r") if os.path.getsize(file) else np.zeros(0, kind)
+        return np.asarray(np.memmap(file, kind, "r")) if os.path.getsize(file) else np.zeros(0, kind)
     with tempfile.TemporaryFile() as copy:
         with system.open_input_stream(f"{path}/{name}") as source:
             while chunk := source.read(1 << 24):
                 copy.write(chunk)
         copy.flush()
-        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
+        return np.asarray(np.memmap(copy, kind, "r")) if copy.tell() else np.zeros(0, kind)
 
 
 def put_rows(folder: str, name: str, rows: pa.Table | pa.RecordBatch) -> None:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from rankloom.llm import ngram
@@ -87,3 +88,15 @@ def test_held_out_texts_score_above_base(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
     r = ngram.report(docs).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert r["sum(score)"] > r["sum(base_score)"]
+
+
+def test_what_a_word_decides_is_worked_out_once(spark, monkeypatch):
+    """Slices and sums of middle words are those of distinct words, not of every token; scores don't depend on the order of lookups."""
+    trained = ngram.train(spark.createDataFrame([("a b a c a b",), ("b a",)], "text string"))
+    asked, plain = [], ngram.pair_key
+    monkeypatch.setattr(ngram, "pair_key", lambda context, word: asked.append(len(context)) or plain(context, word) if np.ndim(word) == 0 else plain(context, word))
+    h, ends, _ = next(ngram.tokens(["a b " * 50, "c never a"], 1000))
+    _, _, scores = trained.token_scores(h, ends)
+    assert max(asked) <= len(set(h.tolist())) + 1
+    h, ends, _ = next(ngram.tokens(["c never a"], 1000))
+    assert np.allclose(scores[-len(h) :], trained.token_scores(h, ends)[2], rtol=1e-12)
