@@ -23,6 +23,8 @@ TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
 #: Bytes of vectors, and of texts, that a task holds while queries pass.
 HELD, HELD_TEXT = 128 << 20, 32 << 20
+#: Rows of a batch that a task sends where it sends all scores.
+ROWS_OUT = 1 << 16
 #: Queries whose distances to centroids are held at once.
 PROBE_ROWS = 256
 
@@ -184,29 +186,46 @@ def bm25_top(topics: DataFrame, docs: DataFrame, fields: dict[str, float], k: in
     return top_of_each(found, k).select("qid", "docid", "rank", "score")
 
 
+def _occurrences(text: str | list[str] | None, known: set[str]) -> Iterator[tuple[str, int, int]]:
+    """Of each known term in a document of one text or several: how often it occurs, and the words of the longest text that has it."""
+    if isinstance(text, list) and len(text) > 1:
+        tf, words = Counter(), Counter()
+        for one in text:
+            for term, n, length in _occurrences(one, known):
+                tf[term] += n
+                words[term] = max(words[term], length)
+        yield from ((term, n, words[term]) for term, n in tf.items())
+    elif text:
+        words = _words(text[0] if isinstance(text, list) else text)
+        yield from ((term, n, len(words)) for term, n in Counter(filter(known.__contains__, words)).items())
+
+
 class _Postings:
-    """Of some documents: where each of the ``known`` terms of a field is, and its weight there before its rarity."""
+    """Of some documents, in the order of their ids if these are given: where each of the ``known`` terms of a field is, and its weight there before its rarity."""
 
-    def __init__(self, ids: list[str], texts: list[list[str | None]], known: set[str], mean: list[float], k1: float, b: float):
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        self.ids = np.array([ids[i] for i in order], "U")
+    def __init__(self, ids: list[str] | None, texts: list[list], known: set[str], mean: list[float], k1: float, b: float):
+        order = range(len(texts[0])) if ids is None else sorted(range(len(ids)), key=ids.__getitem__)
+        self.count, self.ids = len(order), None if ids is None else np.array([ids[i] for i in order], "U")
         found: dict[tuple[str, int], tuple[list[int], list[float]]] = {}
         for f, column in enumerate(texts):
             for place, i in enumerate(order):
-                words = _words(column[i])
-                less = k1 * (1 - b + b * len(words) / mean[f])
-                for term, tf in Counter(filter(known.__contains__, words)).items():
+                for term, tf, length in _occurrences(column[i], known):
                     at, weights = found.setdefault((term, f), ([], []))
                     at.append(place)
-                    weights.append(tf / (tf + less))
+                    weights.append(tf / (tf + k1 * (1 - b + b * length / mean[f])))
         self.found = {key: (np.array(at, np.int64), np.array(weights)) for key, (at, weights) in found.items()}
 
-    def best(self, terms: list[str], fields: list[int], shares: list[float], k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best, ties to the smaller id."""
-        score = np.zeros(len(self.ids))
+    def score(self, terms: list[str], fields: list[int], shares: list[float]) -> np.ndarray:
+        """Of every document, zero where it has none of the terms."""
+        score = np.zeros(self.count)
         for term, f, share in zip(terms, fields, shares, strict=True):
             if (got := self.found.get((term, f))) is not None:
                 score[got[0]] += share * got[1]
+        return score
+
+    def best(self, terms: list[str], fields: list[int], shares: list[float], k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best, ties to the smaller id."""
+        score = self.score(terms, fields, shares)
         score = score if digits is None else np.round(score, digits) + 0.0
         at = np.flatnonzero(score > 0)
         if len(at) > k:
@@ -243,21 +262,55 @@ def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
-def bm25(topics: DataFrame, docs: DataFrame, text: str = "doctext", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(topics: DataFrame, docs: DataFrame, text: str = "doctext", k1: float = K1, b: float = B, folder: str | None = None) -> DataFrame:
     """(qid, docid, score) of every document that shares a term with a topic (qid, qtext).
 
-    Documents are cut down to the topics' terms before anything is shuffled by term; a common term is a hot key that
-    adaptive execution splits, and scores are summed map-side.
+    Rows of one docid are one document: they meet in a shuffle of the texts, and are written to ``folder`` (by default a new one in
+    the shared folder) as topics are, in files of at most ``QUERY_BLOCK``. A task then holds some documents' postings, as in ``bm25_top``,
+    and sends its scores as it goes: no row is made for a shared term, and no pair of topic and document is shuffled or kept.
     """
+    spark, folder = docs.sparkSession, folder or scratch(docs.sparkSession, "bm25-all")
+    plain = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
     q = terms(topics, "qid", "qtext").select("qid", "term", F.col("tf").alias("qtf"))
-    lengths = docs.select(F.size(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda t: t != "")).alias("len"))
-    n, avg = lengths.agg(F.count("*"), F.avg("len")).first()
-    d = terms(docs, "docid", text).join(q.select("term").distinct(), "term", "left_semi")
-    df = d.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log1p((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = d.join(q.join(idf, "term"), "term")
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(float(avg or 1))))
-    return hits.groupBy("qid", "docid").agg(F.sum(weight).alias("score"))
+    n, avg = docs.select(F.size(plain(F.col(text))).alias("len")).agg(F.count("*"), F.avg("len")).first()
+    merged = docs.select(F.col("docid").cast("string").alias("docid"), F.col(text).alias("text")).repartition("docid").groupBy("docid").agg(F.collect_list("text").alias("texts"))
+    merged.write.parquet(f"{folder}/docs")
+    merged = spark.read.schema(merged.schema).parquet(f"{folder}/docs")
+    each = merged.select(F.explode(F.array_distinct(F.flatten(F.transform("texts", plain)))).alias("term"))
+    df = each.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    share = F.col("qtf") * F.log1p((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    shares = q.join(df, "term").groupBy(F.col("qid").cast("string").alias("qid")).agg(F.sort_array(F.collect_list(F.struct("term", share.alias("share")))).alias("t"))
+    written = shares.select("qid", F.col("t.term").alias("terms"), F.col("t.share").alias("shares"))
+    written.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(f"{folder}/topics")
+    files = sorted(spark.read.schema(written.schema).parquet(f"{folder}/topics").inputFiles())
+    return merged.mapInArrow(_bm25_every(files, float(avg or 1), k1, b), "qid string, docid string, score double")
+
+
+def _bm25_every(files: list[str], mean: float, k1: float, b: float):
+    """Every positive score of a task's documents, in batches of about ``ROWS_OUT`` rows."""
+    from ..sources.connector import rows_of
+
+    def against(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([batch.column(0) for batch in held])
+        texts = [x for batch in held for x in batch.column(1).to_pylist()]
+        for lo in range(0, len(files), BLOCKS):
+            blocks = [rows_of(file).to_pydict() for file in files[lo : lo + BLOCKS]]
+            known = {term for topics in blocks for terms in topics["terms"] for term in terms}
+            postings = _Postings(None, [texts], known, [mean], k1, b)
+            for topics in blocks:
+                qids, places, scores, rows = pa.array(topics["qid"], pa.string()), [], [], 0
+                for i, own in enumerate(zip(topics["terms"], topics["shares"], strict=True)):
+                    score = postings.score(own[0], [0] * len(own[0]), own[1])
+                    at = np.flatnonzero(score > 0)
+                    places.append((np.full(len(at), i), at))
+                    scores.append(score[at])
+                    rows += len(at)
+                    if rows >= ROWS_OUT or i == len(qids) - 1:
+                        who, at = (np.concatenate(x) for x in zip(*places, strict=True))
+                        yield pa.record_batch([qids.take(pa.array(who)), ids.take(pa.array(at)), pa.array(np.concatenate(scores))], names=["qid", "docid", "score"])
+                        places, scores, rows = [], [], 0
+
+    return _held(against, HELD_TEXT)
 
 
 def bm25_fields(topics: DataFrame, docs: DataFrame, fields: dict[str, float]) -> DataFrame:

@@ -95,3 +95,23 @@ def test_blocks_are_made_where_documents_are_numbered():
     got = pa.Table.from_batches(list(lexical._blocks(["f"], [1.0], 0.9, 0.4, 4)(iter(docs)))).to_pylist()
     assert [(r["term"], r["range"], r["docids"], r["n"]) for r in got] == [("x", 1, ["a", "b"], 2)]
     assert np.allclose(got[0]["weights"], [2 / (2 + 0.9 * 1.4), 1 / 1.9]) and got[0]["most"] == max(got[0]["weights"])
+
+
+def test_all_bm25_scores_are_sent_by_the_task_that_has_the_document(spark, tmp_path):
+    """No pair of topic and document meets in a join or an aggregate; rows of one id are one document; a word in all texts counts."""
+    rows = [("a", "x y x"), ("b", "Y z"), ("a", "x, q"), ("c", None), ("d", "nothing"), (None, "z z"), ("e", "x")]
+    docs = spark.createDataFrame(rows, "docid string, doctext string")
+    topics = spark.createDataFrame([("1", "x z x"), ("2", "never"), ("3", "q"), ("4", None)], "qid string, qtext string")
+    found = retrieve.bm25(topics, docs, folder=str(tmp_path / "all"))
+    assert not re.search("Join|Aggregate", plan(found))
+    words = [(i, (t or "").lower().replace(",", "").split()) for i, t in rows]
+    mean = sum(len(w) for _, w in words if w) / sum(t is not None for _, t in rows)
+    want = {}
+    for qid, asked in (("1", {"x": 2, "z": 1}), ("3", {"q": 1})):
+        for term, qtf in asked.items():
+            has = {i for i, w in words if term in w}
+            for i in has:
+                tf, length = sum(w.count(term) for j, w in words if j == i), max(len(w) for j, w in words if j == i and term in w)
+                want[qid, i] = want.get((qid, i), 0) + qtf * np.log1p((len(rows) - len(has) + 0.5) / (len(has) + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * length / mean))
+    got = {(r.qid, r.docid): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
