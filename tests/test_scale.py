@@ -115,3 +115,17 @@ def test_all_bm25_scores_are_sent_by_the_task_that_has_the_document(spark, tmp_p
                 want[qid, i] = want.get((qid, i), 0) + qtf * np.log1p((len(rows) - len(has) + 0.5) / (len(has) + 0.5)) * tf / (tf + 0.9 * (0.6 + 0.4 * length / mean))
     got = {(r.qid, r.docid): r.score for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_postings_take_few_bytes_an_entry():
+    import tracemalloc
+
+    words = [f"w{i}" for i in range(100)]
+    texts, known = [" ".join(words)] * 2000, set(words)
+    tracemalloc.start()
+    try:
+        made = retrieve._Postings([f"{i:04}" for i in range(2000)], [texts], known, [100.0], 0.9, 0.4)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(len(at) for at, _ in made.found.values()) == 200_000 and most < 30 * 200_000
