@@ -23,7 +23,9 @@ TOP_K, K1, B, PROBES = 100, 0.9, 0.4, 32
 #: Queries of a block, blocks of topics whose terms are held at once, and documents that a task scores against a block at once.
 QUERY_BLOCK, BLOCKS, AT_ONCE = 1024, 16, 4096
 #: Bytes of vectors, and of texts, that a task holds while queries pass.
-HELD, HELD_TEXT = 128 << 20, 16 << 20
+HELD, HELD_TEXT = 32 << 20, 16 << 20
+#: Scores, of a block's queries with documents, that a dense search has at once.
+CELLS = 1 << 21
 #: Rows of a batch that a task sends where it sends all scores.
 ROWS_OUT = 1 << 16
 #: Queries whose distances to centroids are held at once.
@@ -63,12 +65,17 @@ class _Best:
     """The best k scores of each query so far, as places of documents, ties to the smaller place."""
 
     def __init__(self, queries: int, k: int):
-        self.k, self.scores, self.places = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64)
+        self.k, self.scores, self.places, self.seen = k, np.zeros((queries, 0)), np.zeros((queries, 0), np.int64), 0
 
     def add(self, scores: np.ndarray, first: int) -> None:
         """scores: (queries, documents), the documents from place ``first`` on, which is after all places so far."""
-        if not scores.size:
-            return
+        while scores.size:
+            step = max(2 * self.k, self.seen)  # no more than were seen, so that few are better than the k kept
+            self._add(scores[:, :step], first)
+            self.seen += step
+            scores, first = scores[:, step:], first + step
+
+    def _add(self, scores: np.ndarray, first: int) -> None:
         if self.scores.shape[1] < self.k:
             near = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
             scores, places = np.concatenate([self.scores, np.take_along_axis(scores, near, 1)], 1), np.concatenate([self.places, near + first], 1)
@@ -91,11 +98,16 @@ class _Best:
 
 
 def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
-    return scores if digits is None else np.round(scores, digits) + 0.0  # no minus zero
+    """``scores``, rounded in place."""
+    if digits is not None:
+        np.round(scores, digits, out=scores)
+        scores += 0.0  # no minus zero
+    return scores
 
 
-def _held(against, most: int = HELD):
-    """Batches of a task's documents, passed to ``against`` whenever they are ``most`` bytes."""
+def _held(against, most: int | None = None):
+    """Batches of a task's documents, passed to ``against`` whenever they are ``most`` bytes, by default ``HELD``."""
+    most = HELD if most is None else most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -125,24 +137,30 @@ def _scored(files: list[str], k: int, digits: int | None, probing: bool = False)
         ids = np.array([i for batch in held for i in batch.column(0).to_pylist()], "U")
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], None
+        place = np.argsort(order)
         homes = np.concatenate([np.asarray(batch.column("cluster")) for batch in held])[order] if probing else None
         for file in files:
             block = rows_of(file)
             if not block.num_rows:
                 continue
             width = len(block.column("vec")[0])
-            x = np.concatenate([_batch_vectors(batch, width) for batch in held])[order] if x is None else x
+            if x is None:
+                x, lo = np.empty((len(ids), width)), 0
+                for batch in held:
+                    x[place[lo : lo + batch.num_rows]] = _batch_vectors(batch, width)
+                    lo += batch.num_rows
+                held.clear()  # the matrix has all that is needed of them
             q = _batch_vectors(block.combine_chunks().to_batches()[0], x.shape[1])
             asking: dict[int, list[int]] = {}
             for i, clusters in enumerate(block.column("clusters").to_pylist() if probing else ()):
                 for c in clusters:
                     asking.setdefault(c, []).append(i)
-            best = _Best(len(q), k)
-            for lo in range(0, len(x), AT_ONCE):
+            best, step = _Best(len(q), k), max(1, min(AT_ONCE, CELLS // len(q)))
+            for lo in range(0, len(x), step):
                 if not probing:
-                    s = q @ x[lo : lo + AT_ONCE].T
+                    s = q @ x[lo : lo + step].T
                 else:
-                    own = homes[lo : lo + AT_ONCE]
+                    own = homes[lo : lo + step]
                     s = np.full((len(q), len(own)), -np.inf)
                     for c in np.unique(own).tolist():
                         if c in asking:

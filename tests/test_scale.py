@@ -129,3 +129,34 @@ def test_postings_take_few_bytes_an_entry():
     finally:
         tracemalloc.stop()
     assert sum(len(at) for at, _ in made.found.values()) == 200_000 and most < 30 * 200_000
+
+
+def test_dense_search_lets_go_of_batches_and_takes_few_scores_at_once(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    q, x = rng.standard_normal((40, 8)).round(1), rng.standard_normal((900, 8)).round(1)
+    spark.createDataFrame([(f"q{i:02}", row.tolist()) for i, row in enumerate(q)], "qid string, vec array<double>").coalesce(1).write.parquet(path := str(tmp_path / "q"))
+    ids = rng.permutation(900)
+    held = [pa.record_batch([pa.array([f"d{i:03}" for i in ids[lo : lo + 300]]), pa.array([x[i].tolist() for i in ids[lo : lo + 300]])], names=["docid", "vec"]) for lo in (0, 300, 600)]
+    sizes, add = [], retrieve._Best._add
+    monkeypatch.setattr(retrieve._Best, "_add", lambda self, scores, first: sizes.append(scores.shape[1]) or add(self, scores, first))
+    monkeypatch.setattr(retrieve, "CELLS", 40 * 64)
+    passed = []
+    monkeypatch.setattr(retrieve, "_held", lambda against: passed.append(against))
+    retrieve._scored(spark.read.parquet(path).inputFiles(), 7, 6)
+    found = pa.Table.from_batches(list(passed[0](held))).to_pylist()
+    assert not held and max(sizes) <= 64
+    scores = np.round(q @ x.T, 6) + 0.0
+    want = {(f"q{i:02}", f"d{j:03}", scores[i, j]) for i in range(40) for j in np.lexsort((np.arange(900), -scores[i]))[:7]}
+    assert {(r["qid"], r["docid"], r["score"]) for r in found} == want
+
+
+def test_search_keeps_less_than_all_of_a_tile_for_the_first_best(monkeypatch):
+    sizes, add = [], retrieve._Best._add
+    monkeypatch.setattr(retrieve._Best, "_add", lambda self, scores, first: sizes.append(scores.shape[1]) or add(self, scores, first))
+    scores = np.random.default_rng(12).standard_normal((3, 4000)).round(2)
+    best = retrieve._Best(3, 10)
+    best.add(scores, 5)
+    assert sizes[0] == 20 and sum(sizes) == 4000
+    assert (best.places - 5 == [np.lexsort((np.arange(4000), -row))[:10] for row in scores]).all()
