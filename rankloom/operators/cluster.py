@@ -174,13 +174,14 @@ def fit_centroids(vectors: DataFrame, k: int, seed: int = SAMPLER_SEED, iteratio
 def elbow_curve(vectors: DataFrame, ks: tuple[int, ...] = ELBOW_KS, seed: int = ELBOW_SEED, iterations: int = ITERATIONS, save=None, key: str = "docid", column: str = "embedding") -> DataFrame:
     """(k, sse) for each k that the vectors can fill: the sum of squared cosine distances to the own centroid.
 
-    All ks start from the vectors whose keys have the least hash, and share the scans of ``kmeans.lloyd``; the vectors are cached
-    meanwhile. save: called with the curve so far after each k, in the order of ks.
+    All ks start from the vectors whose keys have the least hash, and share the scans of ``kmeans.lloyd``; the vectors are dealt
+    out evenly, to each core a part at least, and cached meanwhile. save: called with the curve so far after each k, in the order of ks.
     """
     from . import kmeans
 
     spark = vectors.sparkSession
-    points = V.usable(vectors, column).select(V.doubles(F.col(column)).alias("vec")).cache()
+    points = V.usable(vectors, column).select(V.doubles(F.col(column)).alias("vec"))
+    points = points.repartition(max(spark.sparkContext.defaultParallelism, points.rdd.getNumPartitions())).cache()  # a file's only row group is one task
     try:
         n = points.count()
         ks = tuple(k for k in ks if k <= n)

@@ -3,7 +3,8 @@
 A problem is a range of components and its starting centroids. All problems that still move share a scan, so the scans of a
 sweep over many k are those of its slowest k. A task sends, for each cluster it met, a sum and a count. Centroids are
 held in groups about some of their own; a group is skipped for a vector if its nearest member can't be nearer than
-what was found: distance to the group's middle less the group's radius, by the triangle inequality.
+what was found: distance to the group's middle less the group's radius, by the triangle inequality. Where that skips little,
+all distances are taken, in single precision; vectors whose two nearest centroids are closer than its error are decided in double.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..functions import vector as V
 
 #: Centroids up to which groups don't pay, vectors that a task compares at once, and bytes of centroids that one scan serves.
 PLAIN, AT_ONCE, LARGEST = 64, 2048, 256 << 20
+#: Vectors that groups are tried on first, the share of distances from which they don't pay, and distances that a task has at once without them.
+TRIED, PAYS, CELLS = 256, 0.25, 1 << 21
 
 
 @dataclass
@@ -41,10 +44,10 @@ class Fit:
 
 
 class Grouped:
-    """Centroids in about sqrt(k) groups, each about one of them, with the group's radius."""
+    """Centroids in about sqrt(k) groups, each about one of them, with the group's radius, as long as groups pay."""
 
     def __init__(self, c: np.ndarray):
-        self.c, self.squares, self.counted = c, (c * c).sum(1), 0
+        self.c, self.squares, self.counted, self.single = c, (c * c).sum(1), 0, None
         self.groups: list[np.ndarray] = []
         if len(c) > PLAIN:
             middles = c[:: max(1, round(len(c) ** 0.5))]
@@ -55,16 +58,40 @@ class Grouped:
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each row, ties to the smaller number."""
-        out = np.empty(len(x), np.int64)
-        for lo in range(0, len(x), AT_ONCE):
-            out[lo : lo + AT_ONCE] = self._some(x[lo : lo + AT_ONCE])
+        out, lo, step = np.empty(len(x), np.int64), 0, TRIED
+        while lo < len(x):
+            if not self.groups:
+                step = max(1, min(AT_ONCE, CELLS // len(self.c)))
+            part, before = x[lo : lo + step], self.counted
+            out[lo : lo + step] = self._of_groups(part) if self.groups else self._of_all(part)
+            if self.groups and self.counted - before > PAYS * len(part) * len(self.c):
+                self.groups = []
+            lo, step = lo + step, AT_ONCE
         return out
 
-    def _some(self, x: np.ndarray) -> np.ndarray:
+    def _of_all(self, x: np.ndarray) -> np.ndarray:
+        if self.single is None:
+            with np.errstate(over="ignore"):
+                self.single = np.ascontiguousarray(np.concatenate([-2 * self.c, self.squares[:, None]], 1).T.astype(np.float32))
+            self.longest, self.room = np.sqrt(self.squares.max()), np.empty((max(1, min(AT_ONCE, CELLS // len(self.c))), len(self.c)), np.float32)
+        self.counted += len(x) * len(self.c)
+        squares, rows = (x * x).sum(1), np.arange(len(x))
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = np.matmul(np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float32), self.single, out=self.room[: len(x)])  # without the vector's own square
+            at = d.argmin(1)
+            least = d[rows, at].astype(float)
+            d[rows, at] = np.inf
+            bound = self.longest * (2 * np.sqrt(squares) + self.longest)
+            # twice the rounding of a sum of so many products; out of single precision's range nothing is decided
+            error = np.where((bound < 1e30) & (self.longest > 1e-15), 1.1 * 2.0**-23 * (x.shape[1] + 4) * bound, np.inf)
+            near = np.flatnonzero(~(d.min(1) - least > error))
+        if len(near):
+            self.counted += len(near) * len(self.c)
+            at[near] = _squared(x[near], squares[near], self.c, self.squares).argmin(1)
+        return at
+
+    def _of_groups(self, x: np.ndarray) -> np.ndarray:
         squares = (x * x).sum(1)
-        if not self.groups:
-            self.counted += len(x) * len(self.c)
-            return _squared(x, squares, self.c, self.squares).argmin(1)
         self.counted += len(x) * len(self.middles)
         near = np.sqrt(_squared(x, squares, self.middles, self.middle_squares))
         least = near - self.radius  # no member of the group is nearer
@@ -91,10 +118,20 @@ def _squared(x: np.ndarray, xx: np.ndarray, c: np.ndarray, cc: np.ndarray) -> np
 _PARTIAL = "problem int, cluster long, n long, total array<double>, sse double, cosine_sse double, distances long"
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*found, strict=True)) if found else [[]] * 7
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64())
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["problem", "cluster", "n", "total", "sse", "cosine_sse", "distances"])
+def _rows(problem: int, cluster: np.ndarray, n: np.ndarray, total: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(len(total) + 1, dtype=np.int32) * total.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total.ravel()))
+    columns = [pa.array(np.full(len(n), problem, np.int32)), pa.array(cluster), pa.array(n), lists, *map(pa.array, numbers)]
+    return pa.record_batch(columns, names=["problem", "cluster", "n", "total", "sse", "cosine_sse", "distances"])
+
+
+def _by_problem(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of each problem the columns after it, ``total`` as a matrix."""
+    of = np.asarray(batch.column(0))
+    for problem in np.unique(of).tolist():
+        own = batch.filter(pa.array(of == problem))
+        columns = [np.asarray(c.flatten()).reshape(own.num_rows, -1) if name == "total" else np.asarray(c) for name, c in zip(own.schema.names, own.columns, strict=True)]
+        yield problem, columns[1:]
 
 
 def _partials(shared, measure: bool):
@@ -121,32 +158,38 @@ def _partials(shared, measure: bool):
                         row[own] += np.add.reduceat(e[order], first)
         for i, _, _, grouped, total, count, errors in problems:
             met = np.flatnonzero(count)
-            yield _rows([(i, int(k), int(count[k]), total[k].tolist(), float(errors[0, k]), float(errors[1, k]), grouped.counted if k == met[0] else 0) for k in met])
+            counted = np.where(np.arange(len(met)) == 0, grouped.counted, 0)
+            for lo in range(0, len(met), AT_ONCE):
+                some = met[lo : lo + AT_ONCE]
+                yield _rows(i, some, count[some], total[some], *errors[:, some], counted[lo : lo + AT_ONCE])
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums of the same problem and cluster, added up."""
-    sums: dict[tuple[int, int], list] = {}
+    sums: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for problem, cluster, n, total, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (problem, cluster) in sums:
-                s = sums[problem, cluster]
-                s[0], s[1], s[2] = s[0] + n, s[1] + np.array(total), [a + b for a, b in zip(s[2], rest, strict=True)]
-            else:
-                sums[problem, cluster] = [n, np.array(total), rest]
-    yield _rows([(*k, n, total.tolist(), *rest) for k, (n, total, rest) in sorted(sums.items())])
+        for problem, columns in _by_problem(batch):
+            if problem in sums:
+                columns = [np.concatenate(pair) for pair in zip(sums[problem], columns, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            own, first = np.unique(columns[0][order], return_index=True)
+            sums[problem] = [own, *(np.add.reduceat(c[order], first, axis=0) for c in columns[1:])]
+    for problem, columns in sorted(sums.items()):
+        yield _rows(problem, *columns)
 
 
 def _scan(vectors: DataFrame, active: list[tuple[int, Problem, np.ndarray]], measure: bool):
-    """Rows of ``_PARTIAL``, one a problem and cluster; more than one scan only if the centroids exceed ``LARGEST``."""
+    """A problem and columns of ``_PARTIAL`` in turn, one row a cluster; more than one scan only if the centroids exceed ``LARGEST``."""
     spark, found, batch, size = vectors.sparkSession, [], [], 0
     for i, problem, c in [*active, (None, None, None)]:
         if batch and (i is None or size + c.nbytes > LARGEST):
             shared = spark.sparkContext.broadcast(batch)
             sums = vectors.select("vec").mapInArrow(_partials(shared, measure), _PARTIAL)
-            found += sums.repartition("problem", "cluster").mapInArrow(_merged, _PARTIAL).collect()  # one row a centroid
+            merged = sums.repartition("problem", "cluster").mapInArrow(_merged, _PARTIAL).toArrow()  # one row a centroid
+            found += [part for rows in merged.to_batches() if rows.num_rows for part in _by_problem(rows)]
+            shared.destroy()
             batch, size = [], 0
         if i is not None:
             batch.append((i, problem.lo, problem.hi, c))
@@ -166,9 +209,9 @@ def lloyd(vectors: DataFrame, problems: list[Problem], iterations: int) -> list[
         if not active:
             break
         moved = {i: fits[i].centroids.copy() for i in active}
-        for r in _scan(vectors, [(i, problems[i], fits[i].centroids) for i in active], False):
-            moved[r.problem][r.cluster] = np.array(r.total) / r.n
-            fits[r.problem].distances += r.distances
+        for i, (own, n, total, _, _, distances) in _scan(vectors, [(i, problems[i], fits[i].centroids) for i in active], False):
+            moved[i][own] = total / n[:, None]
+            fits[i].distances += int(distances.sum())
         still = []
         for i in active:
             fits[i].scans += 1
@@ -176,10 +219,10 @@ def lloyd(vectors: DataFrame, problems: list[Problem], iterations: int) -> list[
                 still.append(i)
             fits[i].centroids = moved[i]
         active = still
-    for r in _scan(vectors, [(i, p, fits[i].centroids) for i, p in enumerate(problems)], True):
-        fits[r.problem].sse += r.sse
-        fits[r.problem].cosine_sse += r.cosine_sse
-        fits[r.problem].distances += r.distances
+    for i, (_, _, _, sse, cosine_sse, distances) in _scan(vectors, [(i, p, fits[i].centroids) for i, p in enumerate(problems)], True):
+        fits[i].sse += float(sse.sum())
+        fits[i].cosine_sse += float(cosine_sse.sum())
+        fits[i].distances += int(distances.sum())
     return fits
 
 

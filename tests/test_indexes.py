@@ -63,6 +63,34 @@ def test_grouped_nearest_is_exact():
         assert np.allclose(want[np.arange(500), got], want.min(1)) and got[0] in (3, 7)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-22, 1e25, 1e100])
+def test_nearest_without_clusters_takes_each_distance_once_and_is_exact(scale):
+    rng = np.random.default_rng(4)
+    c, x = rng.standard_normal((900, 24)) * scale, rng.standard_normal((3000, 24)) * scale
+    c[500], c[7] = c[3] * (1 + 1e-9), c[3]  # nearer to one another than single precision tells
+    x[:100] = c[3] * (1 + np.linspace(-1e-6, 1e-6, 100))[:, None]
+    grouped = kmeans.Grouped(c)
+    got = grouped.nearest(x)
+    want = kmeans._squared(x, (x * x).sum(1), c, (c * c).sum(1))
+    assert np.array_equal(got, want.argmin(1)) and not grouped.groups and grouped.single.dtype == np.float32
+    assert grouped.counted < 3000 * 900 * (1.2 if scale == 1.0 else 2.2)
+
+
+def test_one_centroid_and_one_vector():
+    assert kmeans.Grouped(np.ones((1, 3))).nearest(np.zeros((2, 3))).tolist() == [0, 0]
+    assert kmeans.Grouped(np.zeros((2, 3))).nearest(np.ones((1, 3))).tolist() == [0]
+
+
+def test_sweep_uses_every_core_for_a_file_that_is_one_task(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((80, 4))
+    df, parts, scan = vecs(spark, x).coalesce(1), [], kmeans._scan
+    monkeypatch.setattr(kmeans, "_scan", lambda v, *a: parts.append(v.rdd.getNumPartitions()) or scan(v, *a))
+    curve = cluster.elbow_curve(df, (5, 70), iterations=3).collect()
+    begin = kmeans.starts(df, 70, cluster.ELBOW_SEED)
+    assert set(parts) == {spark.sparkContext.defaultParallelism}
+    assert np.allclose([r.sse for r in curve], [plain_lloyd(x, begin[:k], 3)[1] for k in (5, 70)])
+
+
 def test_elbow_curve_saves_every_k(spark):
     rng = np.random.default_rng(3)
     df, seen = vecs(spark, rng.standard_normal((60, 4))), []
