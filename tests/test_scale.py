@@ -3,6 +3,8 @@
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import evaluate, ivf, lexical, retrieve
 from rankloom.plans import queries
@@ -160,3 +162,54 @@ def test_search_keeps_less_than_all_of_a_tile_for_the_first_best(monkeypatch):
     best.add(scores, 5)
     assert sizes[0] == 20 and sum(sizes) == 4000
     assert (best.places - 5 == [np.lexsort((np.arange(4000), -row))[:10] for row in scores]).all()
+
+
+def lexical_case(seed, documents=400, topics=25):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(["the"] + [words[min(299, int(rng.expovariate(1 / 40)))] for _ in range(n)])
+    docs = [(f"d{i}", text(rng.randrange(0, 80)) if i % 17 else None, text(3) if i % 5 else "") for i in range(documents)]
+    return docs, [(f"q{i}", text(rng.randrange(1, 9))) for i in range(topics)] + [("none", "zzz"), ("empty", ""), ("null", None)]
+
+
+def test_stored_search_makes_no_row_for_a_topic_and_a_range_or_document(spark, tmp_path):
+    """Nothing of the texts is written but the postings, and pairs of topic and document meet in no join or sum."""
+    rows, asked = lexical_case(1)
+    docs, topics = spark.createDataFrame(rows, "docid string, body string, head string"), spark.createDataFrame(asked, "qid string, qtext string")
+    lexical.build(docs, path := str(tmp_path / "i"), ["body", "head"], slices=4)
+    search = lexical.Search(topics, path, {"body": 1.0, "head": 0.5}, scratch := str(tmp_path / "s"), k=10, digits=6)
+    found = search.run()
+    assert set(re.findall(r"Join \w+", plan(found))) == {"Join LeftSemi"} and "sum(" not in plan(found) and found.count() == 25 * 10
+    kept = {p.name for p in [*(tmp_path / "i").iterdir(), *(tmp_path / "s").iterdir()] if p.is_dir()}
+    assert kept == {"postings", "tasks", "terms", "fields", "tokens", "asked", "topics"} and spark.read.parquet(f"{scratch}/topics").count() == 25
+    listed = spark.read.schema(lexical._ROWS).parquet(f"{path}/postings")
+    assert listed.where("slice >= 0").count() <= 2 * 4 * spark.sparkContext.defaultParallelism  # a row for each chunk, field and slice
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_stored_search_over_many_chunks_equals_scoring_everything(spark, tmp_path, monkeypatch, k):
+    """Chunks and what a task holds may be small, documents lie in one partition, fields be searched in any number and order."""
+    monkeypatch.setattr(lexical, "CHUNK", 4000)
+    monkeypatch.setattr(lexical, "HELD_TEXT", 6000)
+    rows, asked = lexical_case(2)
+    docs, topics = spark.createDataFrame(rows, "docid string, body string, head string"), spark.createDataFrame(asked, "qid string, qtext string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few bytes would stay together
+    try:
+        lexical.build(docs.coalesce(1), path := str(tmp_path / "i"), ["body", "head"], per_range=7, slices=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    chunks = [r.chunk for r in spark.read.schema(lexical._ROWS).parquet(f"{path}/postings").where(F.col("slice") == lexical.DOCUMENTS).select("chunk").distinct().collect()]
+    assert len(chunks) > 4 and len({c >> 33 for c in chunks}) > 1  # one partition was dealt out
+    for fields in ({"head": 0.5, "body": 2.0}, {"body": 1.0}):
+        search = lexical.Search(topics, path, fields, str(tmp_path / f"s{len(fields)}"), k=k, digits=6)
+        assert sorted(map(tuple, search.run().collect())) == sorted(map(tuple, retrieve.bm25_top(topics, docs, fields, k, 6).collect()))
+
+
+def test_stored_search_of_nothing(spark, tmp_path):
+    docs, topics = spark.createDataFrame([("a", "x"), ("b", None)], "docid string, body string"), spark.createDataFrame([("q", "x y")], "qid string, qtext string")
+    for name, d, t, want in (("all", docs, topics, [("q", "a", 1)]), ("no_docs", docs.limit(0), topics, []), ("no_topics", docs, topics.limit(0), []), ("no_words", docs.where("docid = 'b'"), topics, [])):
+        lexical.build(d, path := str(tmp_path / name), ["body"], slices=4)
+        found = lexical.Search(t, path, {"body": 1.0}, str(tmp_path / f"{name}-s"), k=5).run().collect()
+        assert [(r.qid, r.docid, r["rank"]) for r in found] == want
