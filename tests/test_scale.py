@@ -213,3 +213,20 @@ def test_stored_search_of_nothing(spark, tmp_path):
         lexical.build(d, path := str(tmp_path / name), ["body"], slices=4)
         found = lexical.Search(t, path, {"body": 1.0}, str(tmp_path / f"{name}-s"), k=5).run().collect()
         assert [(r.qid, r.docid, r["rank"]) for r in found] == want
+
+
+def test_english_index_counts_lengths_without_stems_and_finds_the_same(spark, tmp_path):
+    """Lengths are of words, so no row goes to Python to be counted; stems are made where postings are, of distinct words."""
+    from rankloom.functions import stem as S
+
+    texts = ["The cats' running motors, and a runner's", "motoring cats ran to Ponies", "it is the", "", None, "relational conditions relate; conditional CATS"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts * 9)], "docid string, body string")
+    topics = spark.createDataFrame([("1", "the relating cat"), ("2", "ponies or motors"), ("3", "the of")], "qid string, qtext string")
+    assert "Eval" not in plan(lexical._cut(docs, ["body"], "english"))
+    stemmed = docs.select("docid", F.array_join(S.english(F.col("body")), " ").alias("body"))
+    asked = topics.select("qid", F.array_join(S.english(F.col("qtext")), " ").alias("qtext"))
+    got = []
+    for name, d, t, analyzer in (("e", docs, topics, "english"), ("p", stemmed, asked, "plain")):
+        lexical.build(d, path := str(tmp_path / name), ["body"], analyzer, True, slices=4)
+        got.append(sorted(map(tuple, lexical.Search(t, path, {"body": 1.0}, str(tmp_path / f"{name}-s"), analyzer, 7, 6).run().collect())))
+    assert got[0] == got[1] and len(got[0]) == 14
